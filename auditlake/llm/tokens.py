@@ -2,9 +2,10 @@
 
 Short texts are encoded in one go. Long ones are cut into overlapping chunks that are
 pre-tokenised in parallel; two neighbours are stitched at the first place of their overlap where
-both see a pre-token begin. The pattern looks only ahead, so from such a place on both see the
-same pre-tokens, and the pieces between stitches can be encoded on their own. Bytes of the pieces'
-ids, put together, are the text again.
+both see a pre-token begin after a character that is no white space (a run of white space looks
+at what follows it). The pattern looks only ahead, so from such a place on both see the same
+pre-tokens, and the pieces between stitches can be encoded on their own. Bytes of the pieces' ids,
+put together, are the text again.
 """
 
 from __future__ import annotations
@@ -103,7 +104,7 @@ def _pretokenise(size: int, overlap: int):
         for batch in batches:
             head, tail = [], []
             for k, chunk in zip(batch.column("_k").to_pylist(), batch.column("_chunk").to_pylist(), strict=True):
-                begins = [m.start() for m in pattern.finditer(chunk)]
+                begins = [b for m in pattern.finditer(chunk) if (b := m.start()) and not chunk[b - 1].isspace()]
                 head.append([b + k * size for b in begins if b < overlap])
                 tail.append([b + k * size for b in begins if b >= size])
             kind = pa.list_(pa.int64())
