@@ -7,12 +7,29 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import packing, terms, tokens
+from auditlake.llm import credentials, packing, terms, tokens
 from auditlake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = credentials.locate(table(spark, sf_dir, "files"), "file_id", "content", "relative_path").withColumn("src", F.lit("files"))
+    findings = credentials.locate(table(spark, sf_dir, "findings"), "finding_id", "snippet").withColumn("src", F.lit("findings"))
+    return files.unionByName(findings)
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # A row's places leave one task in order, so lines of one row are told apart without a shuffle of texts.
+    return _places(spark, sf_dir).select("src", "row_id", "line_no").distinct()
+
+
+def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole text of every file with its credentials masked."""
+    files = table(spark, sf_dir, "files").select("file_id", "relative_path", "content")
+    return credentials.redacted(files, "content", "relative_path").select("file_id", "relative_path", "redacted")
+
+
 def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = terms.term_stats(table(spark, sf_dir, "findings"), ["rule_id", "category"], ["tags"])
     return stats.withColumnRenamed("records", "findings")
@@ -31,7 +48,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p4_found, p4_terms, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_terms, p6_ids, p7_containers)}
 
 
 #: White space as the term rule strips it, for engines whose own class is ASCII only.
