@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import credentials, packing, terms, tokens
+from auditlake.llm import credentials, history, packing, terms, tokens
 from auditlake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +30,10 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return credentials.redacted(files, "content", "relative_path").select("file_id", "relative_path", "redacted")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return history.repeats(table(spark, sf_dir, "findings"))
+
+
 def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = terms.term_stats(table(spark, sf_dir, "findings"), ["rule_id", "category"], ["tags"])
     return stats.withColumnRenamed("records", "findings")
@@ -48,7 +52,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p4_found, p4_terms, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p4_found, p4_terms, p6_ids, p7_containers)}
 
 
 #: White space as the term rule strips it, for engines whose own class is ASCII only.
