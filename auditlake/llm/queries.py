@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import credentials, history, packing, terms, tokens
+from auditlake.llm import credentials, history, packing, provenance, terms, tokens
 from auditlake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -43,6 +43,18 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p4_terms(spark, sf_dir).where(F.col("mark").isNotNull()).select("field_name", "term", "mark")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return provenance.classify(table(spark, sf_dir, "files")).where("not_by_hand").select("file_id")
+
+
+def p5_hand_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files that remain as hand-written source, with their language and size."""
+    files = table(spark, sf_dir, "files")
+    made = provenance.classify(files).where("NOT not_by_hand").select(F.col("file_id").alias("_f"))
+    kept = files.where(F.length("content") > 0).select("file_id", "project", "relative_path", "language", "size")
+    return kept.join(made, F.col("file_id") == F.col("_f"), "left_semi")
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode(table(spark, sf_dir, "documents"))
 
@@ -52,7 +64,7 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p4_found, p4_terms, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p4_found, p4_terms, p5_found, p5_hand_written, p6_ids, p7_containers)}
 
 
 #: White space as the term rule strips it, for engines whose own class is ASCII only.
