@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from auditlake.llm import credentials, history, packing, provenance, terms, tokens
+from auditlake.llm import credentials, history, packing, provenance, sentences, terms, tokens
 from auditlake.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -63,8 +63,12 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.split(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p4_found, p4_terms, p5_found, p5_hand_written, p6_ids, p7_containers)}
+    return {f.__name__: f for f in (p1_found, p1_redacted, p2_found, p4_found, p4_terms, p5_found, p5_hand_written, p6_ids, p7_containers, p8_found)}
 
 
 #: White space as the term rule strips it, for engines whose own class is ASCII only.
