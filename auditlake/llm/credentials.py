@@ -345,7 +345,8 @@ def redact(text: str | None, path: str | None = None) -> str | None:
         out.append(text[at:a])
         value = text[a:b]
         if value.startswith("-----BEGIN"):
-            value = re.sub(r"(?<!-)(?<=-----)(?P<b>[^-]*)(?=-----END)", lambda m: re.sub(r"[A-Za-z0-9+/=]", "*", m["b"]), value)
+            head, body, end = re.match(r"(?s)(-----BEGIN [^-]*-----)(.*?)(-----END.*|\Z)", value).groups()
+            value = head + re.sub(r"\\[nrt]|[A-Za-z0-9+/=]", lambda m: m[0] if m[0][0] == "\\" else "*", body) + end
             out.append(value)
         else:
             parts = re.split(r"([\"'`]\s*(?:\+|\.{1,2}|&|~|\|\|)?\s*[\"'`])", value)
