@@ -10,9 +10,9 @@ probed (the rarest n - 0.43 n + 1), the longer statement of a pair probing the s
 kept if the words after its positions can still make up the common part that is due. Candidates
 are verified on the whole sequences; exact copies are folded before and unfolded after.
 
-Any fixed order of the words gives the same pairs; rarity keeps hits few. Words above a fixed
-share of all statements (a list whose size that share bounds, whatever the data) are ordered by
-their counts and come last, all others by a hash.
+Any fixed order of the words gives the same pairs; rarity keeps hits few. The most frequent words,
+from a sketch of fixed size over all statements, are ordered by their counts and come last, all
+others by a hash.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions.paths import normal_path
@@ -31,8 +31,8 @@ from auditlake.session import checkpointed
 
 #: Two statements are the same from this agreement on: twice the common words over all words.
 AGREEMENT = 0.6
-#: A word is common from this share of all statements on; at most words-per-statement / share are.
-COMMON_WORD_SHARE = 0.0005
+#: Words that the sketch of word counts keeps at a time.
+TRACKED_WORDS = 8192
 _WORD = re.compile(r"\w+")
 
 
@@ -63,23 +63,36 @@ def _probed(n: int) -> int:
 
 
 def statements(findings: DataFrame, id_col: str = "finding_id") -> DataFrame:
-    """(_id, _g, _h, snippet) of the rows that can repeat or be repeated; null rule, file or snippet never are."""
+    """(_id, _c, _g, snippet) of the rows that can repeat or be repeated; null rule, file or snippet never are.
+
+    ``_g`` stands for the group (rule and file however spelled), ``_c`` for the group and the exact
+    snippet: copies share it, so it names a statement's text from here on.
+    """
     rows = findings.where(F.col("rule_id").isNotNull() & F.col("file").isNotNull() & F.col("snippet").isNotNull() & F.col(id_col).isNotNull())
     file = normal_path(F.col("file"))
-    return rows.select(F.col(id_col).cast("long").alias("_id"), F.xxhash64("rule_id", file).alias("_g"), F.xxhash64(file, F.lit("|"), "rule_id").alias("_h"), "snippet")
+    named = rows.select(F.col(id_col).cast("long").alias("_id"), "rule_id", file.alias("_f"), "snippet")
+    return named.select("_id", F.xxhash64("rule_id", "_f", "snippet").alias("_c"), F.xxhash64("rule_id", "_f").alias("_g"), "snippet")
 
 
 def fold_copies(rows: DataFrame) -> DataFrame:
-    """One row per group and exact snippet: the smallest id stands for all copies; combined before the shuffle."""
-    return rows.groupBy("_g", "_h", "snippet").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_copies"))
+    """(_c, _id, _copies): the smallest id of each text and its number of copies; combined before the shuffle."""
+    return rows.groupBy("_c").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_copies"))
+
 
+def texts_of(rows: DataFrame) -> DataFrame:
+    """(_c, _h, snippet), a row per text; shuffled once, by the key that the joins use."""
+    return rows.select("_c", F.col("_g").alias("_h"), "snippet").repartition("_c").dropDuplicates(["_c", "_h", "snippet"])
 
-def word_order(rows: DataFrame, share: float = COMMON_WORD_SHARE) -> dict[str, int]:
-    """The common words and their counts over all rows; their number is bounded by words-per-statement / share."""
-    words = rows.select(F.explode(F.array_distinct(F.expr(r"regexp_extract_all(snippet, '[\\p{L}\\p{N}_]+', 0)"))).alias("w"))
-    counts = words.groupBy("w").agg(F.count(F.lit(1)).alias("n"))
-    total = rows.agg(F.count(F.lit(1)).alias("total"))
-    return {r["w"]: r["n"] for r in counts.crossJoin(F.broadcast(total)).where(F.col("n") > F.greatest(F.lit(20.0), share * F.col("total"))).select("w", "n").collect()}
+
+def word_order(rows: DataFrame, tracked: int = TRACKED_WORDS) -> dict[str, int]:
+    """The frequent words and their counts over all rows, from a sketch of fixed size that every row goes through.
+
+    The sketch knows every word above 1 / ``tracked`` of all words, with an error below that; at
+    most ``tracked`` / 4 come back. Only the sketches of the tasks are shuffled.
+    """
+    words = rows.select(F.explode(F.expr(r"regexp_extract_all(snippet, '[\\p{L}\\p{N}_]+', 0)")).alias("w"))
+    top = words.agg(F.expr(f"approx_top_k(w, {tracked // 4}, {tracked})").alias("top")).first()["top"] or []
+    return {r["item"]: r["count"] for r in top if r["count"] > 20}
 
 
 def _segments(order: dict[str, int]):
@@ -88,8 +101,9 @@ def _segments(order: dict[str, int]):
 
         hashed: dict[str, int] = {}
         for batch in batches:
-            ids, sizes, lists = [], [], []
-            for i, snippet in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            texts = dict(zip(batch.column(0).to_pylist(), zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), strict=True))
+            names, groups, sizes, lists = [], [], [], []
+            for c, (g, snippet) in texts.items():
                 words = _WORD.findall(snippet)
                 n = len(words)
                 if not n:
@@ -104,31 +118,29 @@ def _segments(order: dict[str, int]):
                         h = hashed[name] = xxhash.xxh3_64_intdigest(name) - (1 << 63)
                     keys.append((order.get(w, 0), h))
                 keys.sort()
-                ids.append(i)
+                names.append(c)
+                groups.append(g)
                 sizes.append(n)
                 lists.append([h for _, h in keys[: _probed(n)]])
             if len(hashed) > 500_000:
                 hashed.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["_id", "_n", "_words"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(groups, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["_c", "_g", "_n", "_words"])
 
     return run
 
 
-def segments(folded: DataFrame, order: dict[str, int]) -> DataFrame:
-    """(_key, _id, _n, _at): the probed segments of each statement; those at ``_at`` below ``_stored(n)`` are also stored."""
-    words = folded.select("_id", "snippet", "_g").mapInArrow(_with_group(_segments(order)), "_id bigint, _n int, _words array<bigint>, _g bigint")
-    return words.select("_id", "_n", "_g", F.posexplode("_words").alias("_at", "_w")).select(F.xxhash64("_g", "_w").alias("_key"), "_id", "_n", "_at")
+def segments(rows: DataFrame, order: dict[str, int]) -> DataFrame:
+    """(_key, _c, _n, _at): the probed segments of each text; those at ``_at`` below ``_stored(n)`` are also stored."""
+    words = rows.select("_c", "_g", "snippet").mapInArrow(_segments(order), "_c bigint, _g bigint, _n int, _words array<bigint>")
+    placed = words.select("_c", "_n", "_g", F.posexplode("_words").alias("_at", "_w")).select(F.shiftrightunsigned(F.xxhash64("_g", "_w"), 14).alias("_key"), "_c", (F.col("_n") * 65536 + F.col("_at")).alias("_na"))
+    return placed.select("_key", "_c", F.shiftright("_na", 16).alias("_n"), F.col("_na").bitwiseAND(65535).alias("_at"))
 
 
-def _with_group(run):
-    def grouped(batches):
-        for batch in batches:
-            for out in run([batch]):
-                # statements without a word have no segment and left no row
-                group = dict(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True))
-                yield pa.RecordBatch.from_arrays([*out.columns, pa.array([group[i] for i in out.column(0).to_pylist()], pa.int64())], [*out.schema.names, "_g"])
-
-    return grouped
+def shared(found: DataFrame) -> DataFrame:
+    """The segments that two texts or more have; one that a text has alone meets nothing. Copies no task saw together fold here."""
+    key = Window.partitionBy("_key")
+    met = found.withColumn("_lo", F.min("_c").over(key)).withColumn("_hi", F.max("_c").over(key)).where("_lo <> _hi")
+    return met.select("_key", "_c", "_n", "_at").dropDuplicates(["_key", "_c", "_n", "_at"])
 
 
 def _stored_size(n: Column) -> Column:
@@ -136,9 +148,9 @@ def _stored_size(n: Column) -> Column:
 
 
 def _candidates(probing: DataFrame, stored: DataFrame) -> DataFrame:
-    """Pairs (_a, _b) that share a segment and may still agree enough; the probing statement is not the shorter one."""
-    p = probing.select(F.col("_key"), F.col("_id").alias("_pid"), F.col("_n").alias("_pn"), F.col("_at").alias("_pat"))
-    s = stored.where(F.col("_at") < _stored_size(F.col("_n"))).select(F.col("_key"), F.col("_id").alias("_sid"), F.col("_n").alias("_sn"), F.col("_at").alias("_sat"))
+    """Pairs (_a, _b) of texts that share a segment and may still agree enough; the probing one is not the shorter."""
+    p = probing.select(F.col("_key"), F.col("_c").alias("_pid"), F.col("_n").alias("_pn"), F.col("_at").alias("_pat"))
+    s = stored.where(F.col("_at") < _stored_size(F.col("_n"))).select(F.col("_key"), F.col("_c").alias("_sid"), F.col("_n").alias("_sn"), F.col("_at").alias("_sat"))
     owed = F.ceil(F.lit(AGREEMENT / 2) * (F.col("_pn") + F.col("_sn")) - 1e-9)
     longer = (F.col("_pn") > F.col("_sn")) | ((F.col("_pn") == F.col("_sn")) & (F.col("_pid") != F.col("_sid")))
     room = F.least(F.col("_pn") - F.col("_pat"), F.col("_sn") - F.col("_sat")) >= owed
@@ -171,12 +183,15 @@ def _differ(a: frozenset[str], b: frozenset[str]) -> bool:
     return not any(x == y or (min(len(x), len(y)) >= 8 and (x.startswith(y) or y.startswith(x))) for x in a for y in b)
 
 
-def links(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
-    """The pairs (_a, _b) whose statements are the same, judged on the whole snippets."""
-    a = left.select(F.col("_id").alias("_a"), F.col("snippet").alias("_x"), F.col("_h").alias("_ha"))
-    b = right.select(F.col("_id").alias("_b"), F.col("snippet").alias("_y"), F.col("_h").alias("_hb"))
-    texts = pairs.join(a, "_a").join(b, "_b").where("_ha = _hb").select("_a", "_b", "_x", "_y")
-    return texts.mapInArrow(_verify, "_a bigint, _b bigint")
+def links(pairs: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
+    """(_a, _b): ids, the smaller first, of the pairs of texts that are the same statement, judged on the whole snippets."""
+    x = texts.select(F.col("_c").alias("_a"), F.col("_h").alias("_ha"), F.col("snippet").alias("_x"))
+    y = texts.select(F.col("_c").alias("_b"), F.col("_h").alias("_hb"), F.col("snippet").alias("_y"))
+    both = pairs.join(x, "_a").join(y, "_b").where("_ha = _hb").select("_a", "_b", "_x", "_y")
+    same = both.mapInArrow(_verify, "_a bigint, _b bigint")
+    ids = first.select("_c", "_id")
+    named = same.join(ids.toDF("_a", "_i"), "_a").join(ids.toDF("_b", "_j"), "_b")
+    return named.select(F.least("_i", "_j").alias("_a"), F.greatest("_i", "_j").alias("_b"))
 
 
 def _roots(first: DataFrame) -> DataFrame:
@@ -199,23 +214,14 @@ def repeats(findings: DataFrame, id_col: str = "finding_id") -> DataFrame:
     rows may come in any order; an id met twice counts as one. Empty input gives no rows.
     """
     rows = statements(findings, id_col)
-    folded = fold_copies(rows)
-    found = segments(folded, word_order(rows))
-    # A segment that stands alone meets nothing; dropping it here keeps the join to those that do.
-    met = found.withColumn("_c", F.count(F.lit(1)).over(_by_key())).where("_c > 1")
-    linked = links(_candidates(met, met), folded, folded)
+    met = shared(segments(rows, word_order(rows)))
+    first = fold_copies(rows)
+    linked = links(_candidates(met, met), texts_of(rows), first)
     roots = _roots(linked.groupBy("_b").agg(F.min("_a").alias("_a")))
-    standing = folded.join(roots, F.col("_id") == F.col("_b"), "left").where(F.col("_a").isNotNull() | (F.col("_copies") > 1))
-    kept = standing.select(F.col("_g").alias("_kg"), F.col("_h").alias("_kh"), F.xxhash64("snippet").alias("_ks"), F.coalesce("_a", "_id").alias("dup_of"))
-    members = rows.select("_id", "_g", "_h", F.xxhash64("snippet").alias("_s"))
-    joined = members.join(kept, (F.col("_g") == F.col("_kg")) & (F.col("_h") == F.col("_kh")) & (F.col("_s") == F.col("_ks")))
-    return joined.where(F.col("_id") > F.col("dup_of")).select("dup_of", F.col("_id").alias(id_col))
-
-
-def _by_key():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("_key")
+    standing = first.join(roots, F.col("_id") == F.col("_b"), "left").where(F.col("_a").isNotNull() | (F.col("_copies") > 1))
+    kept = standing.select("_c", F.coalesce("_a", "_id").alias("dup_of"))
+    joined = rows.select("_id", "_c").join(kept, "_c")
+    return joined.where(F.col("_id") > F.col("dup_of")).select("dup_of", F.col("_id").alias(id_col)).distinct()
 
 
 class HistoryIndex:
@@ -223,37 +229,39 @@ class HistoryIndex:
 
     ``deduplicate`` probes the stored segments with those of the batch, links the batch to what is
     accepted and within itself, and appends the statements that are new. The history is read only
-    as segments (by an equi join on their key) and as the snippets of the candidates.
+    as segments (by an equi join on their key) and as the texts of the candidates.
     """
 
     def __init__(self, path: str, order: dict[str, int] | None = None):
         self.path, self.order, self.batches = path, order, 0
 
-    def _stored(self, spark, name: str) -> DataFrame | None:
-        return spark.read.parquet(f"{self.path}/{name}") if self.batches else None
+    def _stored(self, spark: SparkSession, name: str) -> DataFrame:
+        return spark.read.parquet(f"{self.path}/{name}")
 
     def deduplicate(self, batch: DataFrame, id_col: str = "finding_id") -> DataFrame:
         """(dup_of, finding_id) of the batch's repeats; ids must rise from batch to batch."""
         spark = batch.sparkSession
-        rows = statements(batch, id_col)
-        folded = checkpointed(fold_copies(rows))
+        rows = checkpointed(statements(batch, id_col))
+        first = fold_copies(rows)
         if self.order is None:
             self.order = word_order(rows)
-        new = checkpointed(segments(folded, self.order))
-        old = self._stored(spark, "segments")
-        pairs, texts = _candidates(new, new), folded
-        if old is not None:
-            pairs = pairs.unionByName(_candidates(new, old)).unionByName(_candidates(old, new))
-            texts = folded.select("_id", "_h", "snippet").unionByName(self._stored(spark, "statements").select("_id", "_h", "snippet"))
-            kept = self._stored(spark, "statements")
-            exact = folded.alias("f").join(kept.alias("k"), ["_g", "_h", "snippet"]).select(F.col("k._id").alias("_a"), F.col("f._id").alias("_b"))
-        linked = links(pairs.distinct(), texts, texts)
-        linked = linked if old is None else linked.unionByName(exact)
-        roots = _roots(linked.groupBy("_b").agg(F.min("_a").alias("_a")))
-        accepted = folded.join(roots.select("_b"), F.col("_id") == F.col("_b"), "left_anti")
+        new = checkpointed(segments(rows, self.order).dropDuplicates(["_key", "_c", "_n", "_at"]))
+        pairs, texts = _candidates(new, new), texts_of(rows)
+        if self.batches:
+            old, kept = self._stored(spark, "segments"), self._stored(spark, "statements")
+            pairs = pairs.unionByName(_candidates(new, old)).unionByName(_candidates(old, new)).distinct()
+            fresh = first.join(kept.select("_c"), "_c", "left_anti").select("_c", "_id")
+            texts = texts.join(kept.select("_c"), "_c", "left_anti").unionByName(kept.select("_c", "_h", "snippet"))
+            ids = fresh.unionByName(kept.select("_c", "_id"))
+            exact = first.join(kept.select("_c", F.col("_id").alias("_a")), "_c").select("_a", F.col("_id").alias("_b"))
+            found = links(pairs, texts, ids).unionByName(exact)
+        else:
+            found = links(pairs, texts, first)
+        roots = _roots(found.groupBy("_b").agg(F.min("_a").alias("_a")))
+        accepted = checkpointed(first.join(roots.select(F.col("_b").alias("_id")), "_id", "left_anti").select("_c", "_id").join(texts_of(rows), "_c"))
         accepted.write.mode("append").parquet(f"{self.path}/statements")
-        new.join(accepted.select("_id"), "_id", "left_semi").write.mode("append").parquet(f"{self.path}/segments")
+        new.join(accepted.select("_c"), "_c", "left_semi").write.mode("append").parquet(f"{self.path}/segments")
         self.batches += 1
-        standing = folded.join(roots, F.col("_id") == F.col("_b"), "left").select(F.col("_g").alias("_kg"), F.col("_h").alias("_kh"), F.col("snippet").alias("_ks"), F.coalesce("_a", "_id").alias("dup_of"))
-        joined = rows.join(standing, (F.col("_g") == F.col("_kg")) & (F.col("_h") == F.col("_kh")) & (F.col("snippet") == F.col("_ks")))
-        return checkpointed(joined.where(F.col("_id") > F.col("dup_of")).select("dup_of", F.col("_id").alias(id_col)))
+        standing = first.join(roots, F.col("_id") == F.col("_b"), "left").select("_c", F.coalesce("_a", "_id").alias("dup_of"))
+        joined = rows.select("_id", "_c").join(standing, "_c")
+        return checkpointed(joined.where(F.col("_id") > F.col("dup_of")).select("dup_of", F.col("_id").alias(id_col)).distinct())
