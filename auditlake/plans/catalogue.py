@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from auditlake.plans import skew_queries
+from auditlake.plans import finding_queries, skew_queries, source_queries
 
-MODULES = (skew_queries,)
-FLAGSHIP = "p3_key_profile"
+MODULES = (finding_queries, skew_queries, source_queries)
+FLAGSHIP = "pattern_rules"
 
 
 def queries():

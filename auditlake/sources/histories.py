@@ -1,0 +1,73 @@
+"""Added lines of a version history, advisories, baselines."""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from auditlake.operators.mask import batches_of
+from auditlake.rules.dependencies import ADVISORY
+from auditlake.rules.scan import detect_secrets, star
+
+LEAK_LINE = 1_000
+_COMMIT = re.compile(r"^commit ([0-9a-f]{7,40})")
+_DATE = re.compile(r"^Date:\s+(.*)")
+_FILE = re.compile(r"^\+\+\+ (?:b/)?(.*)")
+SCHEMA = pa.schema([("commit", pa.string()), ("date", pa.string()), ("file", pa.string()), ("kind", pa.string()), ("severity", pa.string()), ("fingerprint", pa.string()), ("redacted", pa.string())])
+
+
+def _leaks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import hashlib
+
+    def rows():
+        for batch in batches:
+            for log in batch.column(0).to_pylist():
+                commit = date = file = None
+                for line in (log or "").split("\n"):
+                    if m := _COMMIT.match(line):
+                        commit, file = m[1], None
+                    elif m := _DATE.match(line):
+                        date = m[1].strip()
+                    elif m := _FILE.match(line):
+                        file = None if m[1] == "/dev/null" else m[1]
+                    elif line.startswith("+") and file and len(line) <= LEAK_LINE:
+                        for kind, severity, value, _ in detect_secrets(line[1:], True):
+                            yield [commit, date, file, kind, severity, hashlib.sha1(value.encode()).hexdigest()[:12], star(value)]
+
+    yield from batches_of(rows(), SCHEMA)
+
+
+def leaks_in_logs(logs: DataFrame, text_col: str = "value") -> DataFrame:
+    """Secrets in the added lines of patch logs (``git log -p --date=iso``), a log or a part of it a row that begins at a commit."""
+    return logs.select(text_col).mapInArrow(_leaks, "commit string, date string, file string, kind string, severity string, fingerprint string, redacted string")
+
+
+def leaks(added: DataFrame, present: DataFrame | None = None) -> DataFrame:
+    """One row a secret: first and last commit, files, and whether it still stands (``present``: (fingerprint))."""
+    test = F.col("file").rlike(r"(?i)(^|/)(tests?|spec|fixtures|examples?|mocks?)/")
+    rows = added.groupBy("fingerprint", "kind").agg(
+        F.min_by("commit", "date").alias("first_commit"), F.min("date").alias("first_date"), F.max_by("commit", "date").alias("last_commit"), F.max("date").alias("last_date"), F.count_distinct("commit").alias("commits"),
+        F.array_sort(F.collect_set("file")).alias("files"), F.first("redacted").alias("redacted"), F.first("severity").alias("severity"), F.min(test.cast("int")).alias("test_data"),
+    )
+    if present is None:
+        return rows
+    now = present.select(F.col("fingerprint").alias("_f")).distinct()
+    return rows.join(now, F.col("fingerprint") == F.col("_f"), "left").withColumn("still_present", F.col("_f").isNotNull()).drop("_f")
+
+
+def read_advisories(spark: SparkSession, path: str) -> DataFrame:
+    """Advisories of a JSON dump, a record a line."""
+    return spark.read.schema(ADVISORY).json(path)
+
+
+def write_baseline(fingerprints: DataFrame, path: str) -> None:
+    """Sorted distinct fingerprints as JSON lines."""
+    fingerprints.select("fingerprint").distinct().sort("fingerprint").write.mode("overwrite").json(path)
+
+
+def read_baseline(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("fingerprint string").json(path)
