@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os
+import re
 from dataclasses import dataclass, field, fields, is_dataclass, replace
 
 #: Severities with rank and weight, categories with weight and order, as the scores need them.
@@ -86,39 +87,14 @@ def merged(base, changes: dict):
     return replace(base, **out)
 
 
+_JSON_PART = re.compile(r'"(?:[^"\\]|\\.)*"|//[^\n]*|/\*[\s\S]*?(?:\*/|\Z)')
+_TRAILING = re.compile(r'"(?:[^"\\]|\\.)*"|,(?=\s*[}\]])')
+
+
 def strip_json_comments(text: str) -> str:
     """JSON without comments and trailing commas; what strings hold stays."""
-    out, i, n, quoted = [], 0, len(text), False
-    while i < n:
-        c = text[i]
-        if quoted:
-            out.append(c)
-            if c == "\\" and i + 1 < n:
-                out.append(text[i + 1])
-                i += 1
-            elif c == '"':
-                quoted = False
-        elif c == '"':
-            quoted = True
-            out.append(c)
-        elif text.startswith("//", i):
-            end = text.find("\n", i)
-            i = n if end < 0 else end
-            continue
-        elif text.startswith("/*", i):
-            end = text.find("*/", i + 2)
-            i = n if end < 0 else end + 2
-            continue
-        elif c == ",":
-            j = i + 1
-            while j < n and text[j].isspace():
-                j += 1
-            if j >= n or text[j] not in "}]":
-                out.append(c)
-        else:
-            out.append(c)
-        i += 1
-    return "".join(out)
+    keep_strings = lambda m: m[0] if m[0][0] == '"' else ""
+    return _TRAILING.sub(keep_strings, _JSON_PART.sub(keep_strings, text))
 
 
 def load_config(folder: str, names: tuple[str, ...] = ("auditlake.config.json", ".auditlake.json", "auditlake.json"), **overrides) -> Config:

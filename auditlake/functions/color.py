@@ -104,7 +104,7 @@ def wcag_level(ratio: Column) -> Column:
 
 def to_hex(c: Column) -> Column:
     part = lambda x: F.lower(F.lpad(F.hex(F.least(F.greatest(F.floor(c[x] + 0.5), F.lit(0)), F.lit(255)).cast("long")), 2, "0"))
-    return F.concat(F.lit("#"), part("r"), part("g"), part("b"))
+    return F.when(c.isNotNull(), F.concat(F.lit("#"), part("r"), part("g"), part("b")))
 
 
 def suggest(fg: Column, bg: Column, wanted: float) -> Column:

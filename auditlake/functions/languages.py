@@ -32,7 +32,7 @@ def detect_language(path: Column) -> Column:
     """Whole names first, then templates, environment and container files, then the extension; 'unknown' else."""
     name = base_name(path)
     return (
-        F.when(_lookup(NAMES, name).isNotNull(), _lookup(NAMES, name))
+        F.when(name.isin(*NAMES), _lookup(NAMES, name))
         .when(name.endswith(".blade.php"), "blade")
         .when(name.rlike(r"^\.env(\..+)?$"), "dotenv")
         .when(name.rlike(r"(?i)^dockerfile[.\-]"), "docker")

@@ -330,8 +330,8 @@ def routes(files: DataFrame) -> DataFrame:
     pages = app.select("project", "file", F.lit("files").alias("framework"), F.lit("page").alias("kind"), F.lit("PAGE").alias("method"), paths.file_route(F.regexp_extract("file", routed, 1)).alias("raw"), F.lit(1).alias("line"))
     static = files.where((F.col("language") == "html") & F.col("content").rlike(r"(?i)<html\b|<!doctype")).select("project", "file", F.lit("static").alias("framework"), F.lit("page").alias("kind"), F.lit("PAGE").alias("method"), paths.file_route(F.col("file")).alias("raw"), F.lit(1).alias("line"))
     all_ = code.unionByName(pages).unionByName(static)
-    pattern = paths.normal_route(F.col("raw"))
-    with_pattern = all_.withColumn("pattern", pattern)
+    # bound by the grouping, so that the expression of a route is not derived anew for each column that builds on it
+    with_pattern = all_.groupBy("project", "file", "framework", "kind", "method", "raw", "line").agg(F.max(paths.normal_route(F.col("raw"))).alias("pattern"))
     return with_pattern.withColumn("regex", paths.route_regex(F.col("pattern"))).withColumn("segments", F.size(F.filter(F.split("pattern", "/"), lambda s: s != ""))).withColumn("dynamic", F.col("pattern").rlike(r"[:*{<\[]"))
 
 

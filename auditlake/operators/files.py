@@ -20,11 +20,9 @@ def describe(files: DataFrame, config: Config | None = None) -> DataFrame:
     rows = files.where(F.col("relative_path").isNotNull()).select(
         "file_id", "project", path.alias("file"), F.when(F.coalesce(F.col("size"), F.length("content")) <= config.max_file_size, F.col("content")).alias("content"), F.coalesce(F.col("size"), F.length("content").cast("long")).alias("size")
     )
-    latest = rows.groupBy("project", "file").agg(F.max_by(F.struct("file_id", "content", "size"), F.coalesce("file_id", F.lit(-1))).alias("_l"))
-    named = latest.select("project", "file", "_l.file_id", "_l.content", "_l.size")
     language = languages.detect_language(F.col("file"))
-    return (
-        named.withColumn("name", paths.base_name(F.col("file")))
+    named = (
+        rows.withColumn("name", paths.base_name(F.col("file")))
         .withColumn("ext", paths.extension(F.col("file")))
         .withColumn("language", language)
         .withColumn("family", languages.family_of(F.col("language")))
@@ -33,6 +31,10 @@ def describe(files: DataFrame, config: Config | None = None) -> DataFrame:
         .withColumn("is_generated", languages.is_generated(F.col("file"), F.col("content")))
         .withColumn("is_image", languages.is_image(F.col("file")))
     )
+    # What follows from the path groups with it: behind the aggregate these are plain columns, which later filters read instead of deriving them again.
+    keys = ("project", "file", "name", "ext", "language", "family", "is_test", "is_vendored", "is_image")
+    latest = named.groupBy(*keys).agg(F.max_by(F.struct("file_id", "content", "size", "is_generated"), F.coalesce("file_id", F.lit(-1))).alias("_l"))
+    return latest.select(*keys, "_l.file_id", "_l.content", "_l.size", "_l.is_generated")
 
 
 def lines(files: DataFrame, id_col: str = "file_id", text_col: str = "content", *keep: str) -> DataFrame:

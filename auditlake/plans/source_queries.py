@@ -91,7 +91,7 @@ def http_urls(spark, sf_dir):
 def express_routes(spark, sf_dir):
     """Routes that scripts declare, in normal form, with their expression."""
     rows = table(spark, sf_dir, "files").where(F.col("content").isNotNull())
-    pattern = r"app\.(?:get|post|put|delete)\(['\"](/[^'\"]*)['\"]"
+    pattern = r"(?:app|router|Route)(?:\.|::)(?:get|post|put|delete)\(['\"](/[^'\"]*)['\"]"
     raw = rows.select("project", F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(1))).alias("raw"))
     routed = raw.withColumn("pattern", paths.normal_route(F.col("raw")))
     return routed.groupBy("project", "pattern").agg(F.count(F.lit(1)).alias("n")).withColumn("segments", F.size(F.filter(F.split("pattern", "/"), lambda s: s != "")))
@@ -172,7 +172,7 @@ def secret_scan(spark, sf_dir):
 def hex_secrets(spark, sf_dir):
     """Quoted hexadecimal secrets per kind of key: first place, files, redacted value; the shape that SQL can say too."""
     found = _lines(spark, sf_dir).where(F.length("text") <= 2000)
-    key, value = F.lower(F.regexp_extract("text", r"(?i)(password|passwd|secret|token|api_?key|access_?key|private_?key)[\"']?\s*(=>|[:=])\s*[\"']([0-9a-f]{24,64})[\"']", 1)), F.regexp_extract("text", r"(?i)(password|passwd|secret|token|api_?key|access_?key|private_?key)[\"']?\s*(=>|[:=])\s*[\"']([0-9a-f]{24,64})[\"']", 3)
+    key, value = F.lower(F.regexp_extract("text", r"(?i)(pass(?:word|wd|wort|phrase)?|secret|token|api_?key|access_?key|private_?key|pwd|contrasena|mot_?de_?passe)[\"']?\s*(=>|[:=]|was)\s*[\"']([0-9a-f]{24,64})[\"']", 1)), F.regexp_extract("text", r"(?i)(pass(?:word|wd|wort|phrase)?|secret|token|api_?key|access_?key|private_?key|pwd|contrasena|mot_?de_?passe)[\"']?\s*(=>|[:=]|was)\s*[\"']([0-9a-f]{24,64})[\"']", 3)
     rows = found.select("file_id", "line", key.alias("kind"), value.alias("value")).where("value <> ''")
     return rows.groupBy(F.substring(F.sha1("value"), 1, 12).alias("fingerprint"), "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_id").alias("n_files"), F.min("file_id").alias("first_file"), F.min(F.concat(F.substring("value", 1, 4), F.lit("****"))).alias("redacted"))
 
@@ -389,7 +389,7 @@ def oracle_sql() -> dict[str, str]:
     ext = r"CASE WHEN regexp_matches(regexp_extract(relative_path, '[^/]*$'), '^.+\.[^.]+$') THEN lower(regexp_extract(relative_path, '(\.[^./]+)$', 1)) ELSE '' END"
     globs = " ".join(f"WHEN regexp_matches(relative_path, '{glob_regex(g.lstrip('!'))}') THEN {not g.startswith('!')}" for g in reversed(GLOBS))
     advisories = ", ".join(f"('{i}', '{e}', '{p}', '{lo}', {chr(39) + hi + chr(39) if hi else 'NULL'}, '{sev}')" for (i, e, p, lo, hi, _), sev in zip(ADVISORIES, ("critical", "medium", "medium", "low", "low"), strict=True))
-    secret = r"(?i)(password|passwd|secret|token|api_?key|access_?key|private_?key)[\"'']?\s*(=>|[:=])\s*[\"'']([0-9a-f]{24,64})[\"'']"
+    secret = r"(?i)(pass(?:word|wd|wort|phrase)?|secret|token|api_?key|access_?key|private_?key|pwd|contrasena|mot_?de_?passe)[\"'']?\s*(=>|[:=]|was)\s*[\"'']([0-9a-f]{24,64})[\"'']"
     return {
         "file_stack": rf"""SELECT project, {ext} AS language, count(*) AS files, CAST(sum(CASE WHEN content IS NULL OR content = '' THEN 0 ELSE length(content) - length(replace(content, chr(10), '')) + 1 - (CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END) END) AS BIGINT) AS lines,
             CAST(sum(size) AS BIGINT) AS bytes FROM files WHERE relative_path IS NOT NULL GROUP BY 1, 2""",
@@ -405,7 +405,7 @@ def oracle_sql() -> dict[str, str]:
         "comment_runs": rf"WITH {_LINES}, c AS (SELECT file_id, line, line - row_number() OVER (PARTITION BY file_id ORDER BY line) AS i FROM l WHERE regexp_matches(text, '^\s*(//|#)')) SELECT file_id, CAST(min(line) AS INT) AS line, count(*) AS n FROM c GROUP BY file_id, i HAVING count(*) >= 4",
         "token_index": "WITH w AS (SELECT file_id, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS name FROM files WHERE content IS NOT NULL) SELECT name, count(*) AS n, count(DISTINCT file_id) AS n_files FROM w GROUP BY 1",
         "http_urls": rf"WITH {_LINES}, u AS (SELECT file_id, unnest(regexp_extract_all(text, '(https?)://([A-Za-z0-9.-]+)')) AS url FROM l) SELECT split_part(url, '://', 1) AS scheme, lower(split_part(url, '://', 2)) AS host, count(*) AS n, count(DISTINCT file_id) AS n_files FROM u GROUP BY 1, 2",
-        "express_routes": r"""WITH r AS (SELECT project, unnest(regexp_extract_all(content, 'app\.(?:get|post|put|delete)\([''"](/[^''"]*)[''"]', 1)) AS raw FROM files WHERE content IS NOT NULL),
+        "express_routes": r"""WITH r AS (SELECT project, unnest(regexp_extract_all(content, '(?:app|router|Route)(?:\.|::)(?:get|post|put|delete)\([''"](/[^''"]*)[''"]', 1)) AS raw FROM files WHERE content IS NOT NULL),
             p AS (SELECT project, regexp_replace(regexp_replace(trim(raw, ' '), '[?#].*$', ''), '/{2,}', '/', 'g') AS b FROM r), q AS (SELECT project, CASE WHEN length(b) > 1 THEN regexp_replace(b, '/+$', '') ELSE b END AS pattern FROM p)
             SELECT project, pattern, count(*) AS n, CAST(len(list_filter(string_split(pattern, '/'), lambda s: s <> '')) AS INT) AS segments FROM q GROUP BY 1, 2""",
         "js_imports": r"""WITH s AS (SELECT project, unnest(regexp_extract_all(content, 'import [^;\n]*from [''"]([^''"\n]+)[''"]', 1)) AS source FROM files WHERE content IS NOT NULL AND regexp_matches(relative_path, '\.(js|ts)$')) SELECT project, source, count(*) AS n FROM s GROUP BY 1, 2""",
