@@ -103,11 +103,20 @@ def comment_runs(lines: DataFrame, least: int = 4, share: float = 0.6, by: tuple
     return comments.withColumn("_i", island).groupBy(*by, "_i").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n"), F.count_if(code).alias("_c")).where((F.col("n") >= least) & (F.col("_c") >= share * F.col("n"))).select(*by, "line", "n")
 
 
-def identifiers(files: DataFrame) -> DataFrame:
-    """The inverted index (project, name, n, n_files, one file) of identifiers outside comments and literals."""
+def identifier_counts(files: DataFrame) -> DataFrame:
+    """(project, file, name, n) of the identifiers of each file, outside comments and literals."""
     words = files.where(F.col("content").isNotNull()).select("project", "file", F.explode(F.regexp_extract_all(masked(F.col("content"), F.col("family")), F.lit(r"[A-Za-z_$][A-Za-z0-9_$]*"), F.lit(0))).alias("name"))
-    per_file = words.groupBy("project", "name", "file").agg(F.count(F.lit(1)).alias("n"))
-    return per_file.groupBy("project", "name").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_files"), F.min("file").alias("file"))
+    return words.groupBy("project", "name", "file").agg(F.count(F.lit(1)).alias("n"))
+
+
+def inverted(counts: DataFrame) -> DataFrame:
+    """The index (project, name, n, n_files, one file) of counted identifiers."""
+    return counts.groupBy("project", "name").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_files"), F.min("file").alias("file"))
+
+
+def identifiers(files: DataFrame) -> DataFrame:
+    """The inverted index of the identifiers of described files."""
+    return inverted(identifier_counts(files))
 
 
 # imports, by family: pattern with the groups of clause and source; fixed values.

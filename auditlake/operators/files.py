@@ -9,32 +9,45 @@ from auditlake.config import Config
 from auditlake.functions import languages, paths, text
 
 
+#: Superseded captures up to this number are broadcast by their id (8 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def latest_captures(files: DataFrame) -> DataFrame:
+    """The rows of each path's latest capture (largest ``file_id``); contents stay where they were read.
+
+    Only ids and paths are shuffled to find the captures that a later one supersedes. Their ids
+    leave by an anti join: broadcast behind a check of their number, else by a sort-merge join.
+    Rows without an id are kept as they are.
+    """
+    ids = files.where(F.col("file_id").isNotNull()).select("file_id", F.xxhash64("project", F.trim("relative_path")).alias("_k"))
+    last = ids.groupBy("_k").agg(F.max("file_id").alias("_last"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_k", "_last")
+    old = ids.join(last, "_k").where(F.col("file_id") < F.col("_last")).select(F.col("file_id").alias("_old"))
+    if old.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
+        old = F.broadcast(old)
+    return files.join(old, F.col("file_id") == F.col("_old"), "left_anti")
+
+
 def describe(files: DataFrame, config: Config | None = None) -> DataFrame:
-    """One row per captured path: (file_id, project, file, content, size, name, ext, language, family, flags).
+    """One row per captured path: (project, file, name, ext, language, family, flags, file_id, content, size).
 
     Captures of one path keep the latest (largest ``file_id``); contents above the size limit count
-    as unreadable. Null contents stay null and no rule reads them.
+    as unreadable. Null contents stay null and no rule reads them; rows without a path are left out.
     """
     config = config or Config()
     path = F.regexp_replace(F.trim("relative_path"), r"\\", "/")
-    rows = files.where(F.col("relative_path").isNotNull()).select(
-        "file_id", "project", path.alias("file"), F.when(F.coalesce(F.col("size"), F.length("content")) <= config.max_file_size, F.col("content")).alias("content"), F.coalesce(F.col("size"), F.length("content").cast("long")).alias("size")
-    )
-    language = languages.detect_language(F.col("file"))
-    named = (
+    size = F.coalesce(F.col("size"), F.length("content").cast("long"))
+    rows = latest_captures(files.where(F.col("relative_path").isNotNull())).select("project", path.alias("file"), "file_id", F.when(size <= config.max_file_size, F.col("content")).alias("content"), size.alias("size"))
+    return (
         rows.withColumn("name", paths.base_name(F.col("file")))
         .withColumn("ext", paths.extension(F.col("file")))
-        .withColumn("language", language)
+        .withColumn("language", languages.detect_language(F.col("file")))
         .withColumn("family", languages.family_of(F.col("language")))
         .withColumn("is_test", languages.is_test_path(F.col("file")))
         .withColumn("is_vendored", languages.is_vendored_path(F.col("file")))
         .withColumn("is_generated", languages.is_generated(F.col("file"), F.col("content")))
         .withColumn("is_image", languages.is_image(F.col("file")))
     )
-    # What follows from the path groups with it: behind the aggregate these are plain columns, which later filters read instead of deriving them again.
-    keys = ("project", "file", "name", "ext", "language", "family", "is_test", "is_vendored", "is_image")
-    latest = named.groupBy(*keys).agg(F.max_by(F.struct("file_id", "content", "size", "is_generated"), F.coalesce("file_id", F.lit(-1))).alias("_l"))
-    return latest.select(*keys, "_l.file_id", "_l.content", "_l.size", "_l.is_generated")
 
 
 def lines(files: DataFrame, id_col: str = "file_id", text_col: str = "content", *keep: str) -> DataFrame:

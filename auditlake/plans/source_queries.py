@@ -148,7 +148,7 @@ def visible_words(spark, sf_dir):
 
 
 def page_rules(spark, sf_dir):
-    return pages.page_findings(_files(spark, sf_dir)).select("rule_id", "severity", "project", "file", "line")
+    return pages.page_findings(_files(spark, sf_dir).persist()).select("rule_id", "severity", "project", "file", "line")
 
 
 def style_rules(spark, sf_dir):
@@ -178,15 +178,15 @@ def hex_secrets(spark, sf_dir):
 
 
 def quality_rules(spark, sf_dir):
-    return structure.quality_findings(_files(spark, sf_dir)).select("rule_id", "severity", "project", "file", "line")
+    return structure.quality_findings(_files(spark, sf_dir).persist()).select("rule_id", "severity", "project", "file", "line")
 
 
 def deadcode_rules(spark, sf_dir):
-    return structure.deadcode_findings(_files(spark, sf_dir)).select("rule_id", "project", "file", "line", "snippet")
+    return structure.deadcode_findings(_files(spark, sf_dir).persist()).select("rule_id", "project", "file", "line", "snippet")
 
 
 def route_rules(spark, sf_dir):
-    described = _files(spark, sf_dir)
+    described = _files(spark, sf_dir).persist()
     page = pages.pages_of(described)
     nodes = markup.nodes(page, "file_id", "content").join(page.select(F.col("file_id").alias("_p"), "project", "file"), F.col("file_id") == F.col("_p")).drop("_p")
     found = structure.route_findings(code.routes(described), code.links(nodes, described), described)

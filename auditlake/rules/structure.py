@@ -71,7 +71,8 @@ def deadcode_findings(files: DataFrame) -> DataFrame:
     sources = _sources(files)
     imports = code.imports(sources).persist()
     edges = code.import_edges(imports, sources).persist()
-    index = code.identifiers(sources).persist()
+    per_name = code.identifier_counts(sources).persist()
+    index = code.inverted(per_name)
     per_file = sources.where(F.col("family").isin("js", "python", "dart", "php", "ruby") & ~F.col("is_test") & ~F.col("file").rlike(ENTRY) & ~F.col("file").rlike(PLATFORM_OVERLAY) & (F.size(F.split("content", "\n")) >= 3))
     targets = edges.select(F.col("project").alias("_p"), F.col("target").alias("_t")).distinct()
     unreached = per_file.join(targets, (F.col("project") == F.col("_p")) & (F.col("file") == F.col("_t")), "left_anti").select("project", "file")
@@ -91,12 +92,11 @@ def deadcode_findings(files: DataFrame) -> DataFrame:
     counts = index.select(F.col("project").alias("_p"), F.col("name").alias("_n"), F.col("n").alias("_k"), F.col("n_files").alias("_f"), F.col("file").alias("_t"))
     hidden = declared.where(~F.col("exported") & ~F.col("decorated") & (F.length("name") >= 3) & ~F.col("name").rlike(r"^(_|test)") & ~F.col("name").isin(*CONVENTIONAL))
     locals_ = emit(hidden.join(counts.where("_k = 1"), same & (F.col("name") == F.col("_n")), "left_semi").withColumn("snippet", F.col("name")), [check("DEAD-LOCAL", "low", F.lit(True), F.concat(F.lit("Nobody uses "), F.col("name")), "Declaration nobody uses", confidence="tentative")], "deadcode", effort="rapide")
-    own = sources.where(~F.col("file").rlike(r"(^|/)(index|__init__)\.\w+$")).select("project", "file", "content", "family")
-    bound = imports.where((F.col("binding") != "") & ~F.col("type").isin("reexport", "reexport-all", "use", "include", "require") & (F.col("source") != "__future__") & ~F.col("binding").isin("React", "*"))
-    texts = own.select(F.col("project").alias("_p"), F.col("file").alias("_t"), F.col("content").alias("_c"))
-    seen = bound.join(texts, same).where(F.length(F.col("binding")) > 1)
-    uses = F.size(F.filter(F.split("_c", r"[^A-Za-z0-9_$]+"), lambda w: w == F.col("binding")))
-    unused = emit(seen.where((uses <= 1) & ~F.col("_c").contains("TYPE_CHECKING")).withColumn("snippet", F.col("binding")), [check("DEAD-IMPORT", "low", F.lit(True), F.concat(F.lit("Unused: "), F.col("binding")), "Import nobody uses")], "deadcode", effort="rapide")
+    bound = imports.where((F.col("binding") != "") & ~F.col("type").isin("reexport", "reexport-all", "use", "include", "require") & (F.col("source") != "__future__") & ~F.col("binding").isin("React", "*") & ~F.col("file").rlike(r"(^|/)(index|__init__)\.\w+$") & (F.length("binding") > 1))
+    again = per_name.where("n > 1").select(F.col("project").alias("_p"), F.col("file").alias("_t"), F.col("name").alias("_n"))
+    typed = per_name.where("name = 'TYPE_CHECKING'").select(F.col("project").alias("_p"), F.col("file").alias("_t"))
+    once = bound.join(again, same & (F.col("binding") == F.col("_n")), "left_anti").join(typed, same, "left_anti")
+    unused = emit(once.withColumn("snippet", F.col("binding")), [check("DEAD-IMPORT", "low", F.lit(True), F.concat(F.lit("Unused: "), F.col("binding")), "Import nobody uses")], "deadcode", effort="rapide")
     rows = lines_of(sources, "file_id", "content", "project", "file")
     jumps = emit(code.unreachable(rows, ("project", "file")).withColumn("snippet", F.col("text")), [check("DEAD-UNREACHABLE", "medium", F.lit(True), "Code after a jump")], "deadcode", effort="rapide")
     comments = emit(code.comment_runs(rows, by=("project", "file")), [check("DEAD-COMMENTED-CODE", "info", F.lit(True), F.format_string("%d lines", F.col("n")), "Code in comments")], "deadcode", effort="rapide")
@@ -109,6 +109,7 @@ def deadcode_findings(files: DataFrame) -> DataFrame:
 
 def route_findings(routes: DataFrame, links: DataFrame, files: DataFrame) -> DataFrame:
     """Duplicate and odd routes, broken and missing targets, pages nobody links, no page for errors."""
+    routes = routes.persist()
     at = F.concat_ws(":", "file", "line")
     twice = routes.where("kind <> 'mount'").groupBy("project", "framework", "method", "pattern").agg(F.count_distinct(at).alias("n"), F.min("file").alias("file"), F.min_by("line", "file").alias("line"))
     duplicate = emit(twice.where("n >= 2").withColumn("snippet", F.concat_ws(" ", "method", "pattern")), [check("ROUTE-DUPLICATE", "medium", F.lit(True), F.format_string("%d definitions", F.col("n")), "Route defined twice")], "routes")
@@ -123,7 +124,7 @@ def route_findings(routes: DataFrame, links: DataFrame, files: DataFrame) -> Dat
         "routes",
         effort="rapide",
     )
-    inside = code.resolve_links(links)
+    inside = code.resolve_links(links).persist()
     alias = F.explode(F.array_distinct(F.array(F.concat(F.lit("/"), F.col("file")), F.concat(F.lit("/"), F.regexp_replace("file", r"^(public|static|src|www)/", "")), paths.file_route(F.col("file")), paths.file_route(F.regexp_replace("file", r"^(public|static|src|www)/", "")))))
     assets = files.select(F.col("project").alias("_p"), alias.alias("_a")).distinct()
     open_ = inside.join(assets, (F.col("project") == F.col("_p")) & (F.col("path") == F.col("_a")), "left_anti")
