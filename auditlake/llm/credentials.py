@@ -47,6 +47,7 @@ _PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?----
 _URL_LOGIN = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s:/@\"'`<>]*:(?P<v>[^\s/\"'`<>]+?)@(?=[A-Za-z0-9\[_.${%\-])")
 _CONNECTION = re.compile(r"(?i)(?:^|[;\"'`\s])(?:password|pwd|accountkey|sharedaccesskey)\s*=\s*(?P<v>[^;\"'`\s]+)(?=\s*[;\"'`])")
 _HEADER = re.compile(r"(?i)\b(?P<k>bearer|basic|token)\s+(?P<v>[A-Za-z0-9+/=_.\-~]{12,})(?P<cut>…|\.\.\.)?")
+_SQL = re.compile(r"(?i)\b(?:identified\s+(?:with\s+\S+\s+)?by|(?:with\s+)?(?:encrypted\s+)?password)\s*=?\s*'(?P<v>[^'\s]+)'")
 _LOGIN_FLAG = re.compile(r"(?:^|\s)(?:-u|--user)[ =]?['\"]?[\w.\-]+:(?P<v>[^\s'\"]+)|(?:^|\s)--?(?:password|passwd|pass|token|api-key|secret)[ =]['\"]?(?P<w>[^\s'\"]+)")
 
 #: Words that end the name of a secret, joined in lower case, in several languages.
@@ -63,7 +64,7 @@ _WORDS = re.compile(r"[A-Z]+(?![a-zñ])|[A-Z]?[a-zñ]+|[^\W\d_A-Za-zñ]+")
 #: What a line must hold at all, in lower case; one automaton finds them in one pass.
 HINTS = (
     "pass secret token pwd mdp key credential contrase clave kennwort senha parola wachtwoord haslo пароль 密码 密碼 パスワード 비밀번호 "
-    "bearer basic :// akia asia aroa ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- gldt- glrt- glsoat- glptt- xox xapp- sk_live sk_test rk_live rk_test "
+    "bearer basic identified ://  akia asia aroa ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- gldt- glrt- glsoat- glptt- xox xapp- sk_live sk_test rk_live rk_test "
     "whsec_ sk- aiza ya29. sg. npm_ hf_ shp dop_v1 pypi- dckr_ eyj --user"
 ).split() + [" -u ", "\npw", " pw", "_pw", "\"pw", "'pw"]
 _HINT = ahocorasick.Automaton()
@@ -234,6 +235,9 @@ def _in_line(line: str, config: bool, key_above: str | None) -> Iterator[tuple[i
         kind = m["k"].lower()
         if (kind == "basic" and _basic_ok(v)) or (kind != "basic" and re.search(r"\d", v) and len(set(v)) >= 8 and (kind == "bearer" or len(v) >= 20)):
             yield m.span("v")
+    for m in _SQL.finditer(line):
+        if secret_value(m["v"]):
+            yield m.span("v")
     for m in _LOGIN_FLAG.finditer(line):
         name = "v" if m["v"] else "w"
         if secret_value(m[name], True):
@@ -255,10 +259,13 @@ def _in_line(line: str, config: bool, key_above: str | None) -> Iterator[tuple[i
             yield m.span("v")
     m = _BARE.match(line)
     if m and sensitive(m["k"]) and "(" not in m["v"]:
+        v = m["v"]
+        if v[-1] in ";," and line[m.end() :].strip():
+            v = v[:-1]  # more of the line follows: a statement's or a comment's separator
         dotenv = m["op"] == "=" and not m["gap"]
-        mapping = m["op"] == ":" and m["gap"] and m["v"][-1] not in ",;{["
-        if (config or dotenv or mapping) and (dotenv or m["v"][-1] not in ",;{[") and secret_value(m["v"], True) and re.search(r"\d|[^\w.]", m["v"]):
-            yield m.span("v")
+        mapping = m["op"] == ":" and m["gap"] and v and v[-1] not in ",;{["
+        if v and (config or dotenv or mapping) and (dotenv or v[-1] not in ",;{[") and secret_value(v, True) and re.search(r"\d|[^\w.]", v):
+            yield m.start("v"), m.start("v") + len(v)
     if _COMMENT.match(line):
         for m in _PROSE.finditer(line):
             if sensitive(m["k"]) and "(" not in m["v"] and re.search(r"\d", m["v"]) and secret_value(m["v"], True):
