@@ -20,8 +20,8 @@ from auditlake.operators.ranking import number_in_group
 from auditlake.session import checkpointed
 
 CAPACITY = 2048
-#: Above this number of buckets the padding of the test corpora is under a thousandth of the tokens.
-MAX_BUCKETS = 384
+#: With this many buckets the padding of the test corpora is about a five-thousandth of their tokens.
+MAX_BUCKETS = 1024
 
 
 def length_buckets(histogram: dict[int, int], capacity: int, most: int) -> list[int]:
@@ -36,16 +36,11 @@ def length_buckets(histogram: dict[int, int], capacity: int, most: int) -> list[
     n = np.array([histogram[int(s)] for s in sizes], np.float64)
     count, mass = np.concatenate([[0], n.cumsum()]), np.concatenate([[0], (n * sizes).cumsum()])
     k = len(sizes)
-    # cost[i, j]: padding when the lengths i .. j-1 share a bucket, whose bound is the length j-1
-    cost = np.full((k + 1, k + 1), np.inf)
-    for j in range(1, k + 1):
-        cost[:j, j] = sizes[j - 1] * (count[j] - count[:j]) - (mass[j] - mass[:j])
-    best = cost[0].copy()
+    best = np.concatenate([[0.0], sizes * count[1:] - mass[1:]])
     cuts = []
     for _ in range(most - 1):
-        total = best[:, None] + cost
-        cuts.append(total.argmin(axis=0))
-        best = total.min(axis=0)
+        best, cut = _layer(best, sizes, count, mass)
+        cuts.append(cut)
     bounds, j = [], k
     for cut in reversed(cuts):
         bounds.append(int(sizes[j - 1]))
@@ -57,6 +52,38 @@ def length_buckets(histogram: dict[int, int], capacity: int, most: int) -> list[
     return sorted(set(bounds))
 
 
+def _layer(best: np.ndarray, sizes: np.ndarray, count: np.ndarray, mass: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(cost, cut) with one bucket more: the lengths cut[j] .. j-1 share the last bucket.
+
+    The best cut never falls as j rises, so each level of a bisection searches only between the
+    cuts of its neighbours: about k log k steps instead of k squared.
+    """
+    k = len(sizes)
+    new, cut = np.zeros(k + 1), np.zeros(k + 1, np.int64)
+    known = np.array([0, k + 1])
+    low, high = np.array([0]), np.array([k])
+    while True:
+        middle = (known[:-1] + known[1:]) // 2
+        todo = middle > known[:-1]
+        if not todo.any():
+            return new, cut
+        j, lo, hi = middle[todo], low[todo], np.minimum(high[todo], middle[todo] - 1)
+        hi = np.maximum(hi, lo)
+        width = hi - lo + 1
+        start = np.concatenate([[0], width.cumsum()[:-1]])
+        group = np.repeat(np.arange(len(j)), width)
+        i = np.arange(int(width.sum())) - start[group] + lo[group]
+        jj = j[group]
+        cost = best[i] + sizes[jj - 1] * (count[jj] - count[i]) - (mass[jj] - mass[i])
+        least = np.minimum.reduceat(cost, start)
+        at = np.flatnonzero(cost == least[group])
+        first = at[np.unique(group[at], return_index=True)[1]]
+        new[j], cut[j] = least, i[first]
+        known = np.sort(np.concatenate([known, j]))
+        inner = cut[known[1:-1]]
+        low, high = np.concatenate([[0], inner]), np.concatenate([inner, [k]])
+
+
 def _first_fit(left: np.ndarray, sizes: np.ndarray, capacity: int) -> dict[int, int]:
     """The longest item, then again and again the longest that still fits."""
     room, shape = capacity, {}
