@@ -336,6 +336,33 @@ def import_reach(spark, sf_dir):
     return sized.groupBy("root").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("customers"))
 
 
+def _tables(spark, sf_dir):
+    from auditlake.audit import Tables
+
+    return Tables(table(spark, sf_dir, "files"), installed=table(spark, sf_dir, "installed"), advisories=_advisories(spark, sf_dir))
+
+
+def audit_findings(spark, sf_dir):
+    """The whole audit: every analyzer, silenced and ordered."""
+    from auditlake.audit import audit
+
+    return audit(_tables(spark, sf_dir)).ordered()
+
+
+def audit_scores(spark, sf_dir):
+    from auditlake.audit import audit
+
+    return audit(_tables(spark, sf_dir)).scores
+
+
+def file_perimeters(spark, sf_dir):
+    """Files by the deepest folder with a manifest above them."""
+    from auditlake.audit import attributed, perimeters
+
+    described = _files(spark, sf_dir)
+    return attributed(described, perimeters(described)).groupBy("project", "path").agg(F.count(F.lit(1)).alias("n"))
+
+
 def priority_rollup(spark, sf_dir):
     """Order lines at three grains in one pass, as a scale test of the grouping sets that reports use."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
@@ -347,7 +374,7 @@ def queries():
     names = (
         file_stack, language_stack, source_lines, debt_markers, nesting_depth, duplicate_blocks, comment_runs, commented_code, unreachable_code, token_index, identifier_index, http_urls, express_routes, routes, route_match, js_imports, imports, import_edges, declarations, function_units,
         html_elements, visible_words, page_rules, style_rules, style_declarations, pattern_rules, secret_scan, hex_secrets, quality_rules, deadcode_rules, route_rules, project_rules, frameworks, platforms, dependency_rules, lock_packages, resolved_packages, unpinned, advisory_range_join, semver_compare,
-        cvss_scores, contrast_matrix, url_normalise, glob_filter, edit_plan, edit_fold, median_upper, slow_events, import_reach, priority_rollup,
+        cvss_scores, contrast_matrix, url_normalise, glob_filter, edit_plan, edit_fold, median_upper, slow_events, import_reach, priority_rollup, audit_findings, audit_scores, file_perimeters,
     )
     return {f.__name__: f for f in names}
 
