@@ -65,7 +65,7 @@ LICENCES = ("mit licen", "bsd licen", "apache licen", "mpl licen", "isc licen",
 VENDOR_DIRS = frozenset("node_modules bower_components jspm_packages third_party third-party thirdparty 3rdparty vendor vendored external externals site-packages dist-packages pods carthage .venv venv virtualenv godeps".split())
 OUTPUT_DIRS = frozenset("dist .next .nuxt .output .svelte-kit __generated__ __pycache__ generated-sources .parcel-cache .turbo htmlcov".split())
 #: Names of build directories that count at the top, below a public or package folder, or above one another.
-BUILD_DIRS = frozenset("build out target bin obj release debug".split())
+BUILD_DIRS = frozenset("build out target".split())
 BUILD_PARENTS = frozenset("public static www android ios app build target packages apps services modules".split())
 LOCK_FILES = frozenset(
     "package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml pnpm-lock.yml bun.lock composer.lock gemfile.lock cargo.lock poetry.lock pipfile.lock uv.lock pdm.lock pubspec.lock go.sum mix.lock podfile.lock packages.lock.json flake.lock gradle.lockfile conda-lock.yml deno.lock".split()
@@ -103,6 +103,8 @@ def path_says(path: str | None) -> bool:
             return True
         if d in BUILD_DIRS and (i == 0 or dirs[i - 1] in BUILD_PARENTS or (i == 2 and dirs[0] in ("packages", "apps", "services", "modules"))):
             return True
+        if d in ("bin", "obj") and dirs[i + 1 : i + 2] in (["debug"], ["release"]):
+            return True
     return name in LOCK_FILES or bool(_SUFFIX.search(name))
 
 

@@ -5,12 +5,12 @@ from auditlake.llm.provenance import classify, not_by_hand, path_says
 CODE = "function load(a) {\n  return a.map((x) => x.name);\n}\n" * 12
 
 
-@pytest.mark.parametrize("path", ["node_modules/a/b.js", "x/vendor/lib/a.php", "ios/Pods/a/b.m", "third_party/a.c", "dist/a.js", "public/build/a/b.rb", "target/classes/a.java", "app/package-lock.json", "a/b.min.js", "a/b.pb.go", "a/b_pb2.py", "a/b.g.dart", "web\\vendored\\a.py", "venv/lib/site-packages/x/a.py"])
+@pytest.mark.parametrize("path", ["node_modules/a/b.js", "x/vendor/lib/a.php", "ios/Pods/a/b.m", "third_party/a.c", "dist/a.js", "public/build/a/b.rb", "target/classes/a.java", "bin/Debug/a.cs", "app/package-lock.json", "a/b.min.js", "a/b.pb.go", "a/b_pb2.py", "a/b.g.dart", "web\\vendored\\a.py", "venv/lib/site-packages/x/a.py"])
 def test_paths_of_made_files(path):
     assert path_says(path) and not_by_hand(path, CODE)
 
 
-@pytest.mark.parametrize("path", ["src/vendors/a.php", "app/vendor_portal/a.py", "scripts/build/a.sh", "src/dist_panel/a.js", "src/a/dist_b.ts", "src/minify/a.ts", "lib/a.js", "src/generated_report_a.py", "src/bundle/a.js", "tests/a.js", "src/table_lock.ts", None, ""])
+@pytest.mark.parametrize("path", ["src/vendors/a.php", "app/vendor_portal/a.py", "scripts/build/a.sh", "src/dist_panel/a.js", "src/a/dist_b.ts", "src/minify/a.ts", "lib/a.js", "bin/cli.js", "src/generated_report_a.py", "src/bundle/a.js", "tests/a.js", "src/table_lock.ts", None, ""])
 def test_similar_names_are_no_case(path):
     assert not path_says(path) and not not_by_hand(path, CODE)
 
