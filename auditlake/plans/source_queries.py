@@ -97,6 +97,22 @@ def express_routes(spark, sf_dir):
     return routed.groupBy("project", "pattern").agg(F.count(F.lit(1)).alias("n")).withColumn("segments", F.size(F.filter(F.split("pattern", "/"), lambda s: s != "")))
 
 
+def _decorated(spark, sf_dir):
+    rows = table(spark, sf_dir, "files").where(F.col("content").isNotNull())
+    return rows.select("project", F.explode(F.regexp_extract_all("content", F.lit(r'@app\.route\("(/[^"]*)"\)'), F.lit(1))).alias("raw"))
+
+
+def routes_by_decorator(spark, sf_dir):
+    """Routes that Python decorators declare."""
+    return _decorated(spark, sf_dir).groupBy("project", F.col("raw").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def route_groups(spark, sf_dir):
+    """Shapes of routes that a project declares more than once."""
+    shape = F.regexp_replace("raw", "<[^>]*>", "*")
+    return _decorated(spark, sf_dir).groupBy("project", shape.alias("shape")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("raw").alias("patterns")).where("n > 1")
+
+
 def routes(spark, sf_dir):
     return code.routes(_files(spark, sf_dir)).select("project", "file", "framework", "kind", "method", "pattern", "regex", "line")
 
@@ -372,7 +388,7 @@ def priority_rollup(spark, sf_dir):
 
 def queries():
     names = (
-        file_stack, language_stack, source_lines, debt_markers, nesting_depth, duplicate_blocks, comment_runs, commented_code, unreachable_code, token_index, identifier_index, http_urls, express_routes, routes, route_match, js_imports, imports, import_edges, declarations, function_units,
+        file_stack, language_stack, source_lines, debt_markers, nesting_depth, duplicate_blocks, comment_runs, commented_code, unreachable_code, token_index, identifier_index, http_urls, express_routes, routes_by_decorator, route_groups, routes, route_match, js_imports, imports, import_edges, declarations, function_units,
         html_elements, visible_words, page_rules, style_rules, style_declarations, pattern_rules, secret_scan, hex_secrets, quality_rules, deadcode_rules, route_rules, project_rules, frameworks, platforms, dependency_rules, lock_packages, resolved_packages, unpinned, advisory_range_join, semver_compare,
         cvss_scores, contrast_matrix, url_normalise, glob_filter, edit_plan, edit_fold, median_upper, slow_events, import_reach, priority_rollup, audit_findings, audit_scores, file_perimeters,
     )
@@ -457,6 +473,16 @@ def oracle_sql() -> dict[str, str]:
         "contrast_matrix": rf"""WITH h AS (SELECT DISTINCT unnest(regexp_extract_all(lower(content), '#([0-9a-f]{{6}})\b', 1)) AS c FROM files WHERE content IS NOT NULL), p AS (SELECT c, bg FROM h CROSS JOIN (VALUES ('ffffff'), ('000000'), ('777777'), ('0055aa')) b(bg)),
             l AS (SELECT c, bg, {_channel_sql("c")} AS x, {_channel_sql("bg")} AS y FROM p), r AS (SELECT c, bg, floor((greatest(x, y) + 0.05::DOUBLE) / (least(x, y) + 0.05::DOUBLE) * 100 + 0.5) / 100 AS ratio FROM l)
             SELECT c, bg, ratio, CASE WHEN ratio >= 7 THEN 'AAA' WHEN ratio >= 4.5 THEN 'AA' WHEN ratio >= 3 THEN 'AA large' ELSE 'fail' END AS level FROM r""",
+        "commented_code": rf"""WITH {_LINES}, c AS (SELECT file_id, line, text, line - row_number() OVER (PARTITION BY file_id ORDER BY line) AS i FROM l WHERE regexp_matches(text, '^\s*(//|#)\s*\S') AND NOT regexp_matches(text, '^\s*#!')),
+            g AS (SELECT file_id, CAST(min(line) AS INT) AS line, count(*) AS n, count(*) FILTER (regexp_matches(text, '[;{{}}]\s*$|\b(?:if|for|while|return|const|let|var|def|import|function)\b.*[({{=:]|^\s*(?://|#)\s*[\w.$]+\s*(?:=|\()')) AS k FROM c GROUP BY file_id, i)
+            SELECT file_id, line, n FROM g WHERE n >= 4 AND k >= 0.6 * n""",
+        "url_normalise": r"""WITH u AS (SELECT DISTINCT unnest(regexp_extract_all(content, 'https?://[A-Za-z0-9./?=&_%#-]+')) AS url FROM files WHERE content IS NOT NULL),
+            t AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(url, '#.*$', ''), '(?i)([?&])(?:utm_[a-z]+|fbclid|gclid)=[^&]*', '\1', 'g'), '&{2,}', '&', 'g') AS b FROM u),
+            n AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(b, '\?&', '?', 'g'), '[?&]+$', ''), '([^/:])/+$', '\1') AS normal FROM t)
+            SELECT url, normal, regexp_replace(lower(regexp_replace(url, '[?#].*$', '')), '/+$', '') AS comparable,
+              CASE WHEN regexp_extract(url, '^(?:[a-zA-Z][\w+.-]*:)?//[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^(?:[a-zA-Z][\w+.-]*:)?//[^/?#]*([^#]*)', 1) END AS path FROM n""",
+        "routes_by_decorator": r"""WITH r AS (SELECT project, unnest(regexp_extract_all(content, '@app\.route\("(/[^"]*)"\)', 1)) AS raw FROM files WHERE content IS NOT NULL) SELECT project, raw AS pattern, count(*) AS n FROM r GROUP BY 1, 2""",
+        "route_groups": r"""WITH r AS (SELECT project, unnest(regexp_extract_all(content, '@app\.route\("(/[^"]*)"\)', 1)) AS raw FROM files WHERE content IS NOT NULL), g AS (SELECT project, regexp_replace(raw, '<[^>]*>', '*', 'g') AS shape, count(*) AS n, count(DISTINCT raw) AS patterns FROM r GROUP BY 1, 2) SELECT * FROM g WHERE n > 1""",
         "glob_filter": f"SELECT project, count(*) AS n, count(*) FILTER (CASE {globs} ELSE false END) AS ignored FROM files WHERE relative_path IS NOT NULL GROUP BY 1",
         "median_upper": "SELECT event_type, list_sort(list(value))[CAST(floor(count(value) / 2) AS BIGINT) + 1] AS median FROM events WHERE value IS NOT NULL GROUP BY 1",
         "slow_events": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) FILTER (value > 80) AS slow, max(value) AS worst, count(*) AS n FROM events GROUP BY 1",
