@@ -80,8 +80,8 @@ def fold_copies(rows: DataFrame) -> DataFrame:
 
 
 def texts_of(rows: DataFrame) -> DataFrame:
-    """(_c, _h, snippet), a row per text; shuffled once, by the key that the joins use."""
-    return rows.select("_c", F.col("_g").alias("_h"), "snippet").repartition("_c").dropDuplicates(["_c", "_h", "snippet"])
+    """(_id, _h, snippet): texts are fetched by id, so copies of one text spread over all tasks."""
+    return rows.select("_id", F.col("_g").alias("_h"), "snippet")
 
 
 def word_order(rows: DataFrame, tracked: int = TRACKED_WORDS) -> dict[str, int]:
@@ -185,13 +185,12 @@ def _differ(a: frozenset[str], b: frozenset[str]) -> bool:
 
 def links(pairs: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
     """(_a, _b): ids, the smaller first, of the pairs of texts that are the same statement, judged on the whole snippets."""
-    x = texts.select(F.col("_c").alias("_a"), F.col("_h").alias("_ha"), F.col("snippet").alias("_x"))
-    y = texts.select(F.col("_c").alias("_b"), F.col("_h").alias("_hb"), F.col("snippet").alias("_y"))
-    both = pairs.join(x, "_a").join(y, "_b").where("_ha = _hb").select("_a", "_b", "_x", "_y")
-    same = both.mapInArrow(_verify, "_a bigint, _b bigint")
     ids = first.select("_c", "_id")
-    named = same.join(ids.toDF("_a", "_i"), "_a").join(ids.toDF("_b", "_j"), "_b")
-    return named.select(F.least("_i", "_j").alias("_a"), F.greatest("_i", "_j").alias("_b"))
+    named = pairs.join(ids.toDF("_a", "_i"), "_a").join(ids.toDF("_b", "_j"), "_b").select(F.least("_i", "_j").alias("_a"), F.greatest("_i", "_j").alias("_b"))
+    x = texts.select(F.col("_id").alias("_a"), F.col("_h").alias("_ha"), F.col("snippet").alias("_x"))
+    y = texts.select(F.col("_id").alias("_b"), F.col("_h").alias("_hb"), F.col("snippet").alias("_y"))
+    both = named.join(x, "_a").join(y, "_b").where("_ha = _hb").select("_a", "_b", "_x", "_y")
+    return both.mapInArrow(_verify, "_a bigint, _b bigint")
 
 
 def _roots(first: DataFrame) -> DataFrame:
@@ -251,14 +250,12 @@ class HistoryIndex:
             old, kept = self._stored(spark, "segments"), self._stored(spark, "statements")
             pairs = pairs.unionByName(_candidates(new, old)).unionByName(_candidates(old, new)).distinct()
             fresh = first.join(kept.select("_c"), "_c", "left_anti").select("_c", "_id")
-            texts = texts.join(kept.select("_c"), "_c", "left_anti").unionByName(kept.select("_c", "_h", "snippet"))
-            ids = fresh.unionByName(kept.select("_c", "_id"))
             exact = first.join(kept.select("_c", F.col("_id").alias("_a")), "_c").select("_a", F.col("_id").alias("_b"))
-            found = links(pairs, texts, ids).unionByName(exact)
+            found = links(pairs, texts.unionByName(kept.select("_id", "_h", "snippet")), fresh.unionByName(kept.select("_c", "_id"))).unionByName(exact)
         else:
             found = links(pairs, texts, first)
         roots = _roots(found.groupBy("_b").agg(F.min("_a").alias("_a")))
-        accepted = checkpointed(first.join(roots.select(F.col("_b").alias("_id")), "_id", "left_anti").select("_c", "_id").join(texts_of(rows), "_c"))
+        accepted = checkpointed(first.join(roots.select(F.col("_b").alias("_id")), "_id", "left_anti").select("_c", "_id").join(texts, "_id").dropDuplicates(["_id"]))
         accepted.write.mode("append").parquet(f"{self.path}/statements")
         new.join(accepted.select("_c"), "_c", "left_semi").write.mode("append").parquet(f"{self.path}/segments")
         self.batches += 1
