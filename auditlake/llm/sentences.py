@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from auditlake.session import checkpointed
+
 # Abbreviations by what may follow them.
 #: A name or noun follows; a sentence never ends here.
 TITLES = frozenset("ee mr mrs ms dr dra prof profa st ste sr sra srta hr fr frau ing sig sigg dott avv eng exmo mme mlle mgr gen col capt lt sgt rev hon pres gov κ κα кг гр тов проф акад д-р डॉ प्रो श्री सुश्री د أ م".split())
@@ -423,7 +425,8 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in _FIRST.findall(text):
                 if w.islower():
                     first[w] += 1
-    rows = [("t", w, "", n) for w, n in total.items() if n > 1] + [("w", w, x, n) for (w, x), n in within.items() if total[w] > 1] + [("f", w, "", n) for w, n in first.items()]
+    # nothing is dropped here: what a task sees of a word says nothing about the corpus
+    rows = [("t", w, "", n) for w, n in total.items()] + [("w", w, x, n) for (w, x), n in within.items()] + [("f", w, "", n) for w, n in first.items()]
     kinds, words, nexts, counts = zip(*rows, strict=True) if rows else ((), (), (), ())
     yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.string()), pa.array(nexts, pa.string()), pa.array(counts, pa.int64())], ["kind", "word", "next", "n"])
 
@@ -431,21 +434,20 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def corpus_evidence(docs: DataFrame, text_col: str) -> tuple[frozenset[str], frozenset[str]]:
     """(abbreviations, small first words) over the whole corpus.
 
-    Counts are combined in each task before they are summed. Only words above a fixed share of
-    the documents (first words) or met at least ``CORPUS_LEAST`` times with a period and mostly
-    inside sentences come back: short words of a few letters, a list the languages bound.
+    Counts are combined in each task, then summed over the corpus; only sums are held against the
+    bounds, so the number of tasks changes nothing. Only words above a fixed share of the documents
+    (first words) or met at least ``CORPUS_LEAST`` times with a period and mostly inside sentences,
+    whatever follows them, come back: short words of a few letters, a list the languages bound.
     """
     texts = docs.where(F.length(text_col) > 0).select(text_col)
-    counts = texts.mapInArrow(_evidence, "kind string, word string, next string, n bigint").groupBy("kind", "word", "next").agg(F.sum("n").alias("n"))
-    total = texts.agg(F.count(F.lit(1)).alias("total"))
-    known = counts.crossJoin(F.broadcast(total)).where(F.col("n") >= F.when(F.col("kind") == "f", F.greatest(F.lit(3.0), STARTER_SHARE * F.col("total"))).otherwise(F.lit(2)))
-    rows = known.where((F.col("kind") == "f") | (F.col("n") >= CORPUS_LEAST)).select("kind", "word", "next", "n").collect()
-    starters = frozenset(r["word"] for r in rows if r["kind"] == "f")
-    inside: Counter = Counter()
-    for r in rows:
-        if r["kind"] == "w" and r["next"] not in starters:
-            inside[r["word"]] += r["n"]
-    return frozenset(r["word"] for r in rows if r["kind"] == "t" and inside[r["word"]] >= CORPUS_SHARE * r["n"]), starters
+    found = texts.mapInArrow(_evidence, "kind string, word string, next string, n bigint")
+    counts = checkpointed(found.groupBy("kind", "word", "next").agg(F.sum("n").alias("n")))
+    least = max(3.0, STARTER_SHARE * texts.count())
+    first = counts.where((F.col("kind") == "f") & (F.col("n") >= least)).select(F.col("word").alias("next"))
+    met = counts.where("kind <> 'f'").join(first, "next", "left_anti")
+    sums = met.groupBy("word").agg(F.sum(F.expr("if(kind = 't', n, 0)")).alias("total"), F.sum(F.expr("if(kind = 'w', n, 0)")).alias("inside"))
+    mostly = sums.where((F.col("total") >= CORPUS_LEAST) & (F.col("inside") >= CORPUS_SHARE * F.col("total")))
+    return frozenset(r["word"] for r in mostly.select("word").collect()), frozenset(r["next"] for r in first.collect())
 
 
 def _split(splitter: Splitter):

@@ -2,7 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from auditlake.llm.sentences import Splitter, split
+from auditlake.llm.sentences import Splitter, corpus_evidence, split
 
 S = Splitter(frozenset({"sog"}), frozenset({"npm"}))
 
@@ -75,3 +75,11 @@ def test_table(spark):
     got = sorted(tuple(r) for r in split(df).collect())
     assert got == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9), (4, 0, 100004), (4, 105 - 105 + 100005, 100010)]
     assert split(df.limit(0)).count() == 0
+
+
+def test_corpus_counts_are_whole_whatever_the_tasks(spark):
+    # 60 different successors, each met once; a starter after a period counts against the word
+    texts = [f"A qzv. {a}{b} here" for a in "abcdefghij" for b in "klmnop"] + ["npm reads it"] * 6 + ["The xvw. npm reads it"] * 30 + ["A rare. word here"] * 19
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    for tasks in (1, 40, len(texts)):
+        assert corpus_evidence(df.repartition(tasks), "text") == (frozenset({"qzv"}), frozenset({"npm"}))
