@@ -1,4 +1,4 @@
-"""Each new batch against everything accepted so far, without reading the history again.
+"""Each new batch against everything seen so far, without reading the history again.
 
 Statements are compared as sequences of words under a bounded edit distance: with n and m words,
 at least 0.3 (n + m) of them must be common in order, which leaves at most 0.4 (n + m) insertions
@@ -224,41 +224,73 @@ def repeats(findings: DataFrame, id_col: str = "finding_id") -> DataFrame:
 
 
 class HistoryIndex:
-    """Accepted statements and their segments in a folder, for checking batches as they arrive.
-
-    ``deduplicate`` probes the stored segments with those of the batch, links the batch to what is
-    accepted and within itself, and appends the statements that are new. The history is read only
-    as segments (by an equi join on their key) and as the texts of the candidates.
+    """All statements so far, their segments and what each repeats, in a folder, for checking batches as they arrive.
+
+    ``deduplicate`` probes the stored segments with those of the batch, links the batch to the
+    history and within itself, and appends every statement that is new to the folder, those that
+    repeat another with the root they repeat. The history is read only as segments (by an equi
+    join on their key) and as the texts of the candidates. Batches give the rows of ``repeats``
+    over all of them.
+
+    All state is in the folder: the order of words, which the stored segments depend on, is that
+    of the first batch (or ``order``) ever after, and a batch counts once its number is written
+    last. So any instance, also of another process, carries on where the last whole batch ended;
+    what a broken batch left is overwritten, and a batch given again yields its rows again. One
+    batch at a time may be written.
     """
 
     def __init__(self, path: str, order: dict[str, int] | None = None):
-        self.path, self.order, self.batches = path, order, 0
+        self.path, self.order = path, order
+
+    def _exists(self, spark: SparkSession, name: str) -> bool:
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+    def batches(self, spark: SparkSession) -> int:
+        """Whole batches in the folder."""
+        return spark.read.parquet(f"{self.path}/state").count() if self._exists(spark, "state") else 0
 
-    def _stored(self, spark: SparkSession, name: str) -> DataFrame:
-        return spark.read.parquet(f"{self.path}/{name}")
+    def _stored(self, spark: SparkSession, name: str, batches: int) -> DataFrame:
+        parts = [f"{self.path}/{name}/{n}" for n in range(batches)]
+        return spark.read.schema(_STORED[name]).parquet(*parts)
+
+    def _word_order(self, rows: DataFrame, batches: int) -> dict[str, int]:
+        spark, place = rows.sparkSession, f"{self.path}/order"
+        if batches:
+            return {r["word"]: r["n"] for r in spark.read.parquet(place).collect()}
+        order = word_order(rows) if self.order is None else self.order
+        spark.createDataFrame(list(order.items()), "word string, n bigint").write.mode("overwrite").parquet(place)
+        return order
 
     def deduplicate(self, batch: DataFrame, id_col: str = "finding_id") -> DataFrame:
         """(dup_of, finding_id) of the batch's repeats; ids must rise from batch to batch."""
         spark = batch.sparkSession
         rows = checkpointed(statements(batch, id_col))
-        first = fold_copies(rows)
-        if self.order is None:
-            self.order = word_order(rows)
-        new = checkpointed(segments(rows, self.order).dropDuplicates(["_key", "_c", "_n", "_at"]))
-        pairs, texts = _candidates(new, new), texts_of(rows)
-        if self.batches:
-            old, kept = self._stored(spark, "segments"), self._stored(spark, "statements")
-            pairs = pairs.unionByName(_candidates(new, old)).unionByName(_candidates(old, new)).distinct()
-            fresh = first.join(kept.select("_c"), "_c", "left_anti").select("_c", "_id")
-            exact = first.join(kept.select("_c", F.col("_id").alias("_a")), "_c").select("_a", F.col("_id").alias("_b"))
-            found = links(pairs, texts.unionByName(kept.select("_id", "_h", "snippet")), fresh.unionByName(kept.select("_c", "_id"))).unionByName(exact)
+        done = self.batches(spark)
+        order = self._word_order(rows, done)
+        first, texts = fold_copies(rows).select("_c", "_id"), texts_of(rows)
+        if done:
+            old, kept = self._stored(spark, "segments", done), self._stored(spark, "statements", done)
+            first = checkpointed(first.join(kept.select("_c"), "_c", "left_anti"))
+            new = checkpointed(segments(rows.join(first.select("_c"), "_c", "left_semi"), order).dropDuplicates(["_key", "_c", "_n", "_at"]))
+            pairs = _candidates(new, new).unionByName(_candidates(new, old)).unionByName(_candidates(old, new)).distinct()
+            found = links(pairs, texts.unionByName(kept.select("_id", "_h", "snippet")), first.unionByName(kept.select("_c", "_id")))
+            up = found.groupBy("_b").agg(F.min("_a").alias("_a"))
+            above = kept.groupBy(F.col("_id").alias("_a")).agg(F.min("_root").alias("_root"))
+            up = up.join(above, "_a", "left").select("_b", F.coalesce("_root", "_a").alias("_a"))
         else:
-            found = links(pairs, texts, first)
-        roots = _roots(found.groupBy("_b").agg(F.min("_a").alias("_a")))
-        accepted = checkpointed(first.join(roots.select(F.col("_b").alias("_id")), "_id", "left_anti").select("_c", "_id").join(texts, "_id").dropDuplicates(["_id"]))
-        accepted.write.mode("append").parquet(f"{self.path}/statements")
-        new.join(accepted.select("_c"), "_c", "left_semi").write.mode("append").parquet(f"{self.path}/segments")
-        self.batches += 1
-        standing = first.join(roots, F.col("_id") == F.col("_b"), "left").select("_c", F.coalesce("_a", "_id").alias("dup_of"))
-        joined = rows.select("_id", "_c").join(standing, "_c")
+            new = checkpointed(segments(rows, order).dropDuplicates(["_key", "_c", "_n", "_at"]))
+            up = links(_candidates(new, new), texts, first).groupBy("_b").agg(F.min("_a").alias("_a"))
+        roots = _roots(up)
+        rooted = first.join(roots, F.col("_id") == F.col("_b"), "left").select("_c", "_id", F.coalesce("_a", "_id").alias("_root"))
+        named = rooted.join(rows.select("_c", "_id", F.col("_g").alias("_h"), "snippet"), ["_c", "_id"]).dropDuplicates(["_c"])
+        named.select("_c", "_id", "_h", "snippet", "_root").write.mode("overwrite").parquet(f"{self.path}/statements/{done}")
+        new.write.mode("overwrite").parquet(f"{self.path}/segments/{done}")
+        spark.createDataFrame([(done,)], "batch int").coalesce(1).write.mode("append").parquet(f"{self.path}/state")
+        known = self._stored(spark, "statements", done + 1).select("_c", F.col("_root").alias("dup_of"))
+        joined = rows.select("_id", "_c").join(known, "_c")
         return checkpointed(joined.where(F.col("_id") > F.col("dup_of")).select("dup_of", F.col("_id").alias(id_col)).distinct())
+
+
+#: What the folder of an index holds for each batch.
+_STORED = {"statements": "_c bigint, _id bigint, _h bigint, snippet string, _root bigint", "segments": "_key bigint, _c bigint, _n int, _at int"}

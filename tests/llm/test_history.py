@@ -83,3 +83,25 @@ def test_copies_empty_credentials_and_long(spark):
     got = {r.finding_id: r.dup_of for r in history.repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {**{i: 0 for i in range(1, 50)}, 102: 101, 201: 200, 302: 300}
     assert history.repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_index_is_exact_and_carries_on_in_new_instances(spark, tmp_path):
+    rows = _rows(240, seed=7)
+    path, got = str(tmp_path / "index"), {}
+    for k in range(0, 240, 80):
+        # a new instance a batch: a restarted driver knows only the folder
+        part = {r.finding_id: r.dup_of for r in history.HistoryIndex(path).deduplicate(spark.createDataFrame(rows[k : k + 80], SCHEMA)).collect()}
+        got |= part
+    assert got == {r.finding_id: r.dup_of for r in history.repeats(spark.createDataFrame(rows, SCHEMA)).collect()}
+    again = {r.finding_id: r.dup_of for r in history.HistoryIndex(path).deduplicate(spark.createDataFrame(rows[160:], SCHEMA)).collect()}
+    assert again == part
+
+
+def test_index_links_through_a_recorded_repeat(spark, tmp_path):
+    # 3 agrees with 2 only, 2 was a repeat of 1
+    texts = ["a b c d e f g h i j", "a b c d e f g x y z", "d e f g x y z u v w"]
+    index, got = history.HistoryIndex(str(tmp_path / "index")), {}
+    for i, text in enumerate(texts, 1):
+        got |= {r.finding_id: r.dup_of for r in index.deduplicate(spark.createDataFrame([(i, "R", "f", text, None)], SCHEMA)).collect()}
+    assert got == {2: 1, 3: 1}
+    assert index.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
