@@ -132,8 +132,8 @@ def _segments(order: dict[str, int]):
 def segments(rows: DataFrame, order: dict[str, int]) -> DataFrame:
     """(_key, _c, _n, _at): the probed segments of each text; those at ``_at`` below ``_stored(n)`` are also stored."""
     words = rows.select("_c", "_g", "snippet").mapInArrow(_segments(order), "_c bigint, _g bigint, _n int, _words array<bigint>")
-    placed = words.select("_c", "_n", "_g", F.posexplode("_words").alias("_at", "_w")).select(F.shiftrightunsigned(F.xxhash64("_g", "_w"), 14).alias("_key"), "_c", (F.col("_n") * 65536 + F.col("_at")).alias("_na"))
-    return placed.select("_key", "_c", F.shiftright("_na", 16).alias("_n"), F.col("_na").bitwiseAND(65535).alias("_at"))
+    placed = words.select("_c", "_n", "_g", F.posexplode("_words").alias("_at", "_w")).select(F.shiftrightunsigned(F.xxhash64("_g", "_w"), 14).alias("_key"), "_c", F.shiftleft(F.col("_n").cast("long"), 32).bitwiseOR(F.col("_at").cast("long")).alias("_na"))
+    return placed.select("_key", "_c", F.shiftright("_na", 32).cast("int").alias("_n"), F.col("_na").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int").alias("_at"))
 
 
 def shared(found: DataFrame) -> DataFrame:

@@ -105,3 +105,9 @@ def test_index_links_through_a_recorded_repeat(spark, tmp_path):
         got |= {r.finding_id: r.dup_of for r in index.deduplicate(spark.createDataFrame([(i, "R", "f", text, None)], SCHEMA)).collect()}
     assert got == {2: 1, 3: 1}
     assert index.deduplicate(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_very_long_snippets(spark):
+    long = " ".join(f"word{i}" for i in range(70_000))
+    rows = [(1, "R", "f", long, None), (2, "R", "f", long + " tail", None), (3, "R", "f", "word1 word2", None), (4, "R", "f", "head " + long, None)]
+    assert {r.finding_id: r.dup_of for r in history.repeats(spark.createDataFrame(rows, SCHEMA)).collect()} == {2: 1, 4: 1}
