@@ -1,6 +1,7 @@
 """Credentials embedded in source code, configuration and reported snippets.
 
-A text is read as key paths and literal values with the place of each: assignments, mappings,
+YAML, JSON, TOML, INI, properties and dotenv files are read as key paths and values by a stack of
+what is open; every text is read line by line for literal values with the place of each: assignments, mappings,
 attributes, dotenv and YAML lines, setter and define calls, name/value pairs, header and command
 arguments, pieces joined on one line. A value is a credential when its key path ends in a
 sensitive name and its shape is that of a secret, or when its own shape says so (provider tokens,
@@ -65,7 +66,7 @@ _WORDS = re.compile(r"[A-Z]+(?![a-zñ])|[A-Z]?[a-zñ]+|[^\W\d_A-Za-zñ]+")
 HINTS = (
     "pass secret token pwd mdp key credential contrase clave kennwort senha parola wachtwoord haslo пароль 密码 密碼 パスワード 비밀번호 "
     "bearer basic identified ://  akia asia aroa ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- gldt- glrt- glsoat- glptt- xox xapp- sk_live sk_test rk_live rk_test "
-    "whsec_ sk- aiza ya29. sg. npm_ hf_ shp dop_v1 pypi- dckr_ eyj --user"
+    "whsec_ sk- aiza ya29. sg. npm_ hf_ shp dop_v1 pypi- dckr_ eyj --user stringdata"
 ).split() + [" -u ", "\npw", " pw", "_pw", "\"pw", "'pw"]
 _HINT = ahocorasick.Automaton()
 for _word in HINTS:
@@ -284,6 +285,118 @@ def _in_line(line: str, config: bool, key_above: str | None) -> Iterator[tuple[i
 _DECLARES = re.compile(r"(?i)<label\b[^>]*$|<input\b[^>]*\btype=[\"']$")
 
 
+_JSON = re.compile(r"(?i)\.(?:json|json5|jsonc|webmanifest)$")
+_YAML = re.compile(r"(?i)\.ya?ml$")
+_SECTIONS = re.compile(r"(?i)\.(?:toml|ini|cfg|conf|properties|env)$|(?:^|/)\.env[\w.\-]*$")
+_JSON_TOKEN = re.compile(r"//[^\n]*|/\*(?s:.*?)\*/|[{}\[\],:]|" + _Q.format("v") + r"|(?P<v>[^\s{}\[\],:\"'`/]+)")
+_YAML_LINE = re.compile(r"(?P<in>[ ]*(?:-[ ]+)*)(?:(?P<q>[\"']?)(?P<k>[^\s\"'#:{\[-][^\"'#:{\[]*?)(?P=q)[ ]*:(?=[ \r]|$)[ ]*)?(?:[&!][^\s]*[ ]+)*(?P<rest>.*)$")
+_SCALAR = re.compile(_Q.format("v") + r"|(?P<v>[^\s\"'`#{\[|>&*][^\s]*)\s*(?:\s[#;].*)?$")
+_SECTION = re.compile(r"\s*\[\[?\s*(?P<k>[^\[\]]+?)\s*\]\]?\s*(?:[#;].*)?$")
+_SETTING = re.compile(r"\s*(?:export\s+)?(?P<q>[\"']?)(?P<k>[\w.\-]+)(?P=q)\s*[=:]\s*(?P<rest>.*)$")
+#: Members of a sensitive object that describe it and hold no secret.
+_DESCRIBES = frozenset("name user username login email id uid type kind url uri host hostname port path file filename version integrity resolved scope scopes expires expiry ttl length min max label title description hint pattern regex format algorithm alg provider issuer audience region ref color colour date created updated rotated image tag digest".split())
+
+
+def _json_values(text: str, base: int = 0, above: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], int, int, bool]]:
+    """(key path, start, end, bare) of each scalar, by a stack of open objects and lists."""
+    stack: list[tuple[str, ...]] = []
+    path, key, last = above, None, None
+    for m in _JSON_TOKEN.finditer(text):
+        place = _value(m)
+        c = m[0]
+        if place or m["v"]:
+            last = (*place, False) if place else (*m.span("v"), m["v"], True)
+            if key is not None:
+                yield (*path, key), base + last[0], base + last[1], last[3]
+            elif stack:
+                yield path, base + last[0], base + last[1], last[3]
+        elif c == ":" and last:
+            key = last[2]
+        elif c in "{[":
+            stack.append(path)
+            path, key, last = (*path, key) if key is not None else path, None, None
+        elif c in "}]":
+            path = stack.pop() if stack else above
+            key = last = None
+        elif c == ",":
+            key = last = None
+
+
+def _yaml_values(text: str) -> Iterator[tuple[tuple[str, ...], int, int, bool]]:
+    """The same of YAML, by indentation; each line of a block scalar is a value of its key."""
+    stack: list[tuple[int, str]] = []
+    block, at = None, 0
+    for line in text.split("\n"):
+        begin, at = at, at + len(line) + 1
+        body = line.strip()
+        depth = len(line) - len(line.lstrip(" "))
+        if block is not None and body and depth <= block:
+            block = None
+        if not body or body[0] == "#" and block is None or body in ("---", "..."):
+            continue
+        if block is not None:
+            a = begin + line.index(body)
+            yield tuple(k for _, k in stack), a, a + len(body), True
+            continue
+        m = _YAML_LINE.match(line)
+        depth = len(m["in"])
+        listed = "-" in m["in"]
+        while stack and (stack[-1][0] >= depth if m["k"] else stack[-1][0] >= depth and not listed):
+            stack.pop()
+        if m["k"]:
+            stack.append((depth, m["k"]))
+        path, rest, start = tuple(k for _, k in stack), m["rest"].strip(), begin + m.start("rest")
+        if rest[:1] in ("|", ">"):
+            block = len(line) - len(line.lstrip(" "))
+        elif rest[:1] in ("{", "["):
+            yield from _json_values(m["rest"], start, path)
+        elif v := _SCALAR.match(m["rest"]):
+            place = _value(v)
+            a, b = place[:2] if place else v.span("v")
+            yield path, start + a, start + b, place is None
+
+
+def _section_values(text: str) -> Iterator[tuple[tuple[str, ...], int, int, bool]]:
+    """The same of TOML, INI, properties and dotenv: the section's name, then the key's own."""
+    section: tuple[str, ...] = ()
+    at = 0
+    for line in text.split("\n"):
+        begin, at = at, at + len(line) + 1
+        if line.lstrip()[:1] in ("#", ";", "!"):
+            continue
+        if m := _SECTION.match(line):
+            section = tuple(x.strip("\"' ") for x in m["k"].split("."))
+        elif m := _SETTING.match(line):
+            path, rest, start = (*section, *m["k"].split(".")), m["rest"], begin + m.start("rest")
+            if rest[:1] in ("{", "["):
+                # an inline table has = where an object has :
+                yield from _json_values(re.sub(r"(?<=[\w\"'\s])=(?=\s*[\"'\d{\[])", ":", rest), start, path)
+            elif v := _SCALAR.match(rest):
+                place = _value(v)
+                a, b = place[:2] if place else v.span("v")
+                yield path, start + a, start + b, place is None
+
+
+def _in_config(text: str, path: str) -> Iterator[tuple[int, int]]:
+    """Places of the credentials that the key path tells: its end is sensitive, or an object above is.
+
+    Below a sensitive object or section a member counts if it does not describe the secret and its
+    value has letters and digits, as a value without a telling name of its own must.
+    """
+    values = _json_values(text) if _JSON.search(path) else _yaml_values(text) if _YAML.search(path) else _section_values(text) if _SECTIONS.search(path) else ()
+    for keys, a, b, bare in values:
+        v = text[a:b]
+        if not keys or not secret_value(v, bare):
+            continue
+        if sensitive(keys[-1]):
+            if not bare or re.search(r"\d", v):
+                yield a, b
+        elif any(k == "stringData" or sensitive(k) and not re.search(r"[/@\s]", k) for k in keys[:-1]):
+            words = [w.lower() for w in _WORDS.findall(keys[-1])]
+            if len(v) >= 6 and re.search(r"\d", v) and re.search(r"[^\W\d_]", v) and not (words and words[-1] in _DESCRIBES) and not re.match(r"[\d.]+(?:ms|[smhdwy]|[kmg]i?b?|px|%)?$|v?\d+[.\d\-]+|#[0-9a-fA-F]{3,8}$", v):
+                yield a, b
+
+
 def find_credentials(text: str | None, path: str | None = None) -> list[tuple[int, int]]:
     """Places [start, end) of the credential values of a text, in order and without overlap.
 
@@ -303,7 +416,9 @@ def find_credentials(text: str | None, path: str | None = None) -> list[tuple[in
         end = text.find("-----END", m.end())
         close = text.find("-----", end + 8) if end >= 0 else -1
         found.append((m.start(), close + 5 if close >= 0 else len(text)))
-    config = bool(path and _CONFIG.search(path.strip().replace("\\", "/")))
+    place = (path or "").strip().replace("\\", "/")
+    config = bool(_CONFIG.search(place))
+    found.extend(_in_config(text, place))
     seen_to = -1
     for hint in hints:
         if hint < seen_to:

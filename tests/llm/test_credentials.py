@@ -99,3 +99,19 @@ def test_table(spark):
     out = {(r.id, r.redacted) for r in redacted(df, "text", "path").collect()}
     assert (2, None) in out and (3, "") in out and all(HEX not in (t or "") for _, t in out)
     assert locate(df.limit(0), "id", "text").count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "path", "values"),
+    [
+        ("db:\n  password:\n    # rotated\n    note: x\n    value: Zx91kQ77pLm2\n    username: app12345\nport: 80", "a.yml", ["Zx91kQ77pLm2"]),
+        ("[credentials]\nprod = Hq82Lmzz71\nuser = app1234\n[other]\nprod = Hq82Lmzz71", "a.ini", ["Hq82Lmzz71"]),
+        ("[service.token]\nlive = \"Hq82Lmzz71\"\n", "a.toml", ["Hq82Lmzz71"]),
+        ('{"accessKey": {\n "type": "v4-hmac",\n "live":\n "Hq82Lmzz71",\n "test": "Pw93xxTk04"\n}, "live": "Nq82Lmzz71"}', "a.json", ["Hq82Lmzz71", "Pw93xxTk04"]),
+        ("kind: Secret\nstringData:\n  first: x\n  live: Hq82Lmzz71", "s.yaml", ["Hq82Lmzz71"]),
+        ("secret:\n  live: ${LIVE_SECRET_1}\n  url: https://a.example/1\ntokens:\n  ttl: 3600s\n  accent: '#ff00aa'", "a.yml", []),
+        ('{"node_modules/js-tokens": {"version": "4.0.0-rc1", "integrity": "sha512-abc123"}}', "package-lock.json", []),
+    ],
+)
+def test_key_paths(text, path, values):
+    assert [text[a:b] for a, b in find_credentials(text, path)] == values
