@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import binascii
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
@@ -67,16 +68,33 @@ HINTS = (
     "pass secret token pwd mdp key credential contrase clave kennwort senha parola wachtwoord haslo пароль 密码 密碼 パスワード 비밀번호 "
     "bearer basic identified ://  akia asia aroa ghp_ gho_ ghu_ ghs_ ghr_ github_pat_ glpat- gldt- glrt- glsoat- glptt- xox xapp- sk_live sk_test rk_live rk_test "
     "whsec_ sk- aiza ya29. sg. npm_ hf_ shp dop_v1 pypi- dckr_ eyj --user stringdata"
-).split() + [" -u ", "\npw", " pw", "_pw", "\"pw", "'pw"]
+).split() + ["-u"]
 _HINT = ahocorasick.Automaton()
-for _word in HINTS:
+for _word in [*HINTS, *SENSITIVE]:
     _HINT.add_word(_word, len(_word))
 for _digit in "0123456789abcdef":
     _HINT.add_word("sk" + _digit, 3)
 _HINT.make_automaton()
 
 
-def _hints(text: str) -> Iterator[int]:
+def _hints(text: str) -> list[int]:
+    """Where hints end in the text and, with the glue between pieces left out, in what they make together."""
+    ends = list(_ends(text))
+    glue = [m.span() for m in _GLUE.finditer(text)]
+    if not glue:
+        return ends
+    pieces, starts, shifts, at, out = [], [], [], 0, 0
+    for a, b in [*glue, (len(text), len(text))]:
+        pieces.append(text[at:a])
+        starts.append(out)
+        shifts.append(at - out)
+        out += a - at
+        at = b
+    glued = (i + shifts[bisect_right(starts, i) - 1] for i in _ends("".join(pieces)))
+    return sorted({*ends, *glued})
+
+
+def _ends(text: str) -> Iterator[int]:
     """Where hints end; lower-casing that would move places (rare capitals) is done letter by letter."""
     low = text.lower()
     if len(low) != len(text):
@@ -406,7 +424,7 @@ def find_credentials(text: str | None, path: str | None = None) -> list[tuple[in
     if not text:
         return []
     found: list[tuple[int, int]] = []
-    hints = list(_hints(text))
+    hints = _hints(text)
     if not hints:
         return []
     for m in _PRIVATE_KEY.finditer(text):

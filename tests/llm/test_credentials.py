@@ -115,3 +115,23 @@ def test_table(spark):
 )
 def test_key_paths(text, path, values):
     assert [text[a:b] for a, b in find_credentials(text, path)] == values
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'dbPw = "Zx91kQ77pLm2"',
+        "config.pw = 'Zx91kQ77pLm2'",
+        "{pw:'Zx91kQ77pLm2'}",
+        "\tpw = 'Zx91kQ77pLm2'",
+        "pw = 'Zx91kQ77pLm2'",
+        "curl -u=name:Zx91kQ77pLm2 a.example",
+        "curl -uname:Zx91kQ77pLm2 a.example",
+        "-u name:Zx91kQ77pLm2",
+        'x = "AK" + "IAQ7ZX3M5PL2WN8RT4"',
+        'y = "' + GHP[:2] + '" + "' + GHP[2:] + '"',
+    ],
+)
+def test_filter_is_as_wide_as_the_patterns(text):
+    assert len(find_credentials(text)) == 1
+    assert "*****" in redact(text)
