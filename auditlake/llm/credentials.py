@@ -46,7 +46,7 @@ _PROVIDER = re.compile(
     r")"
 )
 _PRIVATE_KEY = re.compile(r"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY(?: BLOCK)?-----")
-_URL_LOGIN = re.compile(r"[A-Za-z][A-Za-z0-9+.\-]*://[^\s:/@\"'`<>]*:(?P<v>[^\s/\"'`<>]+?)@(?=[A-Za-z0-9\[_.${%\-])")
+_URL_LOGIN = re.compile(r"(?<![A-Za-z0-9+.\-])(?=[0-9+.\-]*[A-Za-z])[A-Za-z0-9+.\-]++://[^\s:/@\"'`<>]*:(?P<v>[^\s/\"'`<>]+?)@(?=[A-Za-z0-9\[_.${%\-])")
 _CONNECTION = re.compile(r"(?i)(?:^|[;\"'`\s])(?:password|pwd|accountkey|sharedaccesskey)\s*=\s*(?P<v>[^;\"'`\s]+)(?=\s*[;\"'`])")
 _HEADER = re.compile(r"(?i)\b(?P<k>bearer|basic|token)\s+(?P<v>[A-Za-z0-9+/=_.\-~]{12,})(?P<cut>…|\.\.\.)?")
 _SQL = re.compile(r"(?i)\b(?:identified\s+(?:with\s+\S+\s+)?by|(?:with\s+)?(?:encrypted\s+)?password)\s*=?\s*'(?P<v>[^'\s]+)'")
@@ -105,6 +105,8 @@ def _ends(text: str) -> Iterator[int]:
 
 #: A line longer than this (minified code) is read in windows around its hints, so its cost stays in proportion.
 LONG_LINE, BEFORE, AFTER = 1_000, 200, 2_400
+#: What a window is extended by at its end: the rest of a value without space, and pieces glued to it.
+_REST = re.compile(r"(?:[^\s\"'`\\]|\\.)*+[\"'`]?(?:[ \t]*(?:\+|\.{1,2}|&|\|\||~)?[ \t]*[\"'`](?:[^\s\"'`\\]|\\.)*+[\"'`])*+")
 
 _Q = r"(?:\"(?P<{0}d>(?:[^\"\\\n]|\\.)*)\"|'(?P<{0}s>(?:[^'\\\n]|\\.)*)'|`(?P<{0}b>[^`\n]*)`)"
 _NAME = r"(?<![\w.\-])[$@]?[A-Za-z_\u00c0-\U0010ffff][\w\u00c0-\U0010ffff.\-]*+"
@@ -445,7 +447,7 @@ def find_credentials(text: str | None, path: str | None = None) -> list[tuple[in
         end = text.find("\n", hint)
         end = len(text) if end < 0 else end
         if end - begin > LONG_LINE:
-            begin, end = max(begin, hint - BEFORE), min(end, hint + AFTER)
+            begin, end = max(begin, hint - BEFORE), min(_REST.match(text, min(end, hint + AFTER), end).end(), end)
         seen_to = end - (BEFORE if end < len(text) and text[end] != "\n" else 0)
         line = text[begin:end]
         plain, escaped = _unescaped(line)

@@ -135,3 +135,18 @@ def test_key_paths(text, path, values):
 def test_filter_is_as_wide_as_the_patterns(text):
     assert len(find_credentials(text)) == 1
     assert "*****" in redact(text)
+
+
+@pytest.mark.parametrize("size", [150, 900, 5_000, 60_000])
+def test_values_across_the_ends_of_windows(size):
+    body = (HEX + "Qz7") * (size // 35 + 1)
+    for gap in (2_000, 2_150, 2_199, 2_250, 2_390):
+        for value in (f'k.token="{body}";', f'x="{JWT}{body}";'):
+            line = 'f(token);' + "q=1;" * (gap // 4) + value + "b=2;" * 900
+            places = find_credentials(line)
+            assert [line[a:b] for a, b in places] == [value.split('"')[1]], (gap, value[:5])
+            assert body[-30:] not in redact(line)
+
+
+def test_long_runs_stay_linear():
+    assert find_credentials("token" + "a1" * 1_000_000) == []
