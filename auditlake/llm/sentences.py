@@ -62,6 +62,12 @@ _ALWAYS = frozenset("。！？｡．؟۔।॥;")
 _SHORT = re.compile(r"(?<![^\s(\[\"“„«])([^\W\d_]{1,6}(?:\.[^\W\d_]{1,3})*)\.[  ]+(\S[^\s]*)")
 _FENCED = re.compile(r"(?ms)^[ \t]*(`{3,}|~{3,}).*?(?:^[ \t]*\1[`~]*[ \t\r]*$|\Z)")
 _FIRST = re.compile(r"(?:\A|\n[ \t\r]*\n)[ \t]*([^\W\d_]{2,12})(?= [^\s])")
+# What a document says of its words: small ones, capitals after a small word, with a period, without one.
+_SMALL = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
+_MIDDLE = re.compile(r"(?<=[^\W\d_A-ZÀ-ÞΑ-ΩА-Я])[  ]([^\W\d_a-zß-ÿα-ωа-я][^\W\d_]+)(?!\w)")
+_CAPITAL = re.compile(r"[\s(\[\"“„«]*([^\W\d_]+)")
+_DOTTED = re.compile(r"(?<![^\s(\[\"“„«])([^\W\d_]{2,12})\.[  ]+(?=\S)")
+_BARE = re.compile(r"(?<!\w)[^\W\d_]{2,12}(?![\w.])")
 #: From so many occurrences on a word is judged by the corpus; the lists stay short whatever its size.
 CORPUS_LEAST, CORPUS_SHARE = 20, 0.6
 STARTER_SHARE = 0.0005
@@ -152,6 +158,8 @@ class Splitter:
 
     def __init__(self, abbreviations: frozenset[str] = frozenset(), starters: frozenset[str] = frozenset()):
         self.abbreviations, self.starters = abbreviations, starters
+        self._seen: tuple[str | None, set[str], set[str]] = None, set(), set()
+        self._small: tuple[str | None, str] = None, ""
 
     def units(self, text: str | None) -> list[tuple[int, int]]:
         """[start, end) of every unit in code points, without white space at the ends; null and blank: none."""
@@ -243,15 +251,53 @@ class Splitter:
                     return False
                 if form in BEFORE_NUMBERS:
                     return kind == "U" and (len(low) > 1 or low == "n") and low not in ("fig", "ref", "réf")
-                if form in self.abbreviations:
-                    return kind in "U"
-            if len(w) == 1 and w.isalpha():
+            if len(w) == 1 and w.isalpha() and not (two in self.abbreviations or low in self.abbreviations):
                 return kind not in "Ul" if w.isupper() else kind in "Ucsdo" and not (kind == "U" and two != low)
+        # the document decides, the corpus only where it is silent
+        if kind in "Ul" and len(low) > 1 and low != low.upper() and self._again(text, low) and low in self._document(text)[0]:
+            m = _CAPITAL.match(text, j, e)
+            return kind == "U" and not (m and m[1] in self._document(text)[1])
+        if len(w) <= 8:
+            # a word also stands without a period somewhere
+            stands = kind == "l" and len(w) > 1 and w.isalpha() and re.search(r"(?<!\w)" + re.escape(w) + r"(?![\w.])", text) is not None
+            if not stands and (two in self.abbreviations or low in self.abbreviations):
+                return kind in "U"
             if kind == "l" and len(w) <= 5 and w.isalpha():
-                # the document decides: a word also stands without a period somewhere
-                return re.search(r"(?<!\w)" + re.escape(w) + r"(?![\w.])", text) is not None
+                return stands
         return True
 
+    def _again(self, text: str, low: str) -> bool:
+        """Does the word stand with a period elsewhere too? Only then can the document tell more of it."""
+        if self._small[0] is not text:
+            self._small = text, text.lower()
+        mark = low + "."
+        return self._small[1].find(mark) != self._small[1].rfind(mark)
+
+    def _document(self, text: str) -> tuple[set[str], set[str]]:
+        """(abbreviations, names) by the unambiguous places of a document.
+
+        Names stand with a capital after a small word and never small. Abbreviations never stand
+        without their period, which comes before a small word (twice if they are long), or twice
+        and always before a name (short capitalised ones: titles).
+        """
+        if self._seen[0] is not text:
+            small = {w for w in _SMALL.findall(text) if w.islower()}
+            names = {w for w in _MIDDLE.findall(text) if w.lower() not in small}
+            before: dict[str, list[str]] = {}
+            for m in _DOTTED.finditer(text):
+                if m[1].upper() == m[1].lower():
+                    continue  # a script without capitals: small letters after it tell nothing
+                before.setdefault(m[1], []).append("l" if self._follows(text, m.end(), len(text)) == "l" else "n" if (x := _CAPITAL.match(text, m.end())) and x[1] in names else "")
+            bare = {w.lower() for w in _BARE.findall(text)} if before else set()
+            known = set()
+            for w, kinds in before.items():
+                low = kinds.count("l")
+                title = w[0].isupper() and len(w) <= 5 and len(kinds) > 1 and kinds.count("n") == len(kinds)
+                if w.lower() not in bare and (low > (len(w) > 5) or title):
+                    known.add(w.lower())
+            self._seen = text, known, names
+        return self._seen[1:]
+
     def _may_end(self, text: str, j: int, e: int, form: str, kind: str) -> bool:
         if kind == "U":
             if form in BEFORE_NAMES:

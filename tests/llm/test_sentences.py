@@ -83,3 +83,26 @@ def test_corpus_counts_are_whole_whatever_the_tasks(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string")
     for tasks in (1, 40, len(texts)):
         assert corpus_evidence(df.repartition(tasks), "text") == (frozenset({"qzv"}), frozenset({"npm"}))
+
+
+@pytest.mark.parametrize(
+    "parts",
+    [
+        # before small words: an abbreviation; the capital after it is a name of the document, or not
+        ["The bldg. manager of Quorvane left.", "Later the bldg. Quorvane stood empty.", "He saw the bldg.", "The manager left."],
+        ["The deptmnt. head met Quorvane.", "A deptmnt. clerk left.", "Then deptmnt. Quorvane closed."],
+        # always before names: a title
+        ["We met Dorvex and saw Pellanor.", "Then Rvd. Dorvex spoke to Rvd. Pellanor about it."],
+        # it also stands without a period: a word
+        ["The bldg manager of Quorvane left.", "He saw the bldg.", "Quorvane stood empty."],
+    ],
+)
+def test_document_decides_before_capitals(parts):
+    assert _parts(" ".join(parts)) == parts
+
+
+def test_corpus_only_where_the_document_is_silent():
+    s = Splitter(frozenset({"zkr"}))
+    cut = lambda t: [t[a:b] for a, b in s.units(t)]
+    assert cut("A zkr. word here.") == ["A zkr. word here."]
+    assert cut("The zkr ended. A zkr. word here.") == ["The zkr ended.", "A zkr.", "word here."]
