@@ -2,123 +2,17 @@
 
 from __future__ import annotations
 
-import re
-from dataclasses import dataclass
-from functools import cached_property
+from auditlake.rules.rule import Rule
+from auditlake.rules.security import CONFIGURATION, SECURITY
 
-ALL = "*"
 #: Words that name something secret in a key, for rules about storage and configuration.
 SECRETISH = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api_?key|apikey|private_?key|credential|jwt|session_?id|pin_?code|auth)"
-REQUEST = r"(?:req(?:uest)?\.(?:query|params|body|headers|args|form|values|GET|POST|json|data|files|cookies)|params\[|\$_(?:GET|POST|REQUEST|COOKIE|FILES)|request\.(?:getParameter|getQueryString|input|get)\b|ctx\.(?:query|params|request))"
-
-
-@dataclass(frozen=True)
-class Rule:
-    """One pattern rule.
-
-    ``raw`` reads the text as it is, else comments and literals are blanked. ``unless`` silences a
-    match whose line it fits, ``unless_file`` one whose file it fits. ``per`` is 'match', 'first'
-    (first match of a file) or 'file' (one finding with the number of matches). ``need`` names
-    literals (small letters) of which a file holds one wherever the rule can match.
-    """
-
-    id: str
-    severity: str
-    families: str
-    pattern: str
-    title: str
-    category: str = "security"
-    raw: bool = False
-    unless: str | None = None
-    unless_file: str | None = None
-    only_file: str | None = None
-    path: str | None = None
-    per: str = "match"
-    least: int = 1
-    need: tuple[str, ...] = ()
-    confidence: str = "firm"
-    effort: str = "moyen"
-    flow: bool = False
-    tests: bool = True
-
-    @cached_property
-    def regex(self) -> re.Pattern:
-        return re.compile(self.pattern, re.M)
-
-    @cached_property
-    def silent_line(self) -> re.Pattern | None:
-        return re.compile(self.unless) if self.unless else None
-
-    @cached_property
-    def silent_file(self) -> re.Pattern | None:
-        return re.compile(self.unless_file) if self.unless_file else None
-
-    @cached_property
-    def wanted_file(self) -> re.Pattern | None:
-        return re.compile(self.only_file) if self.only_file else None
-
-    @cached_property
-    def wanted_path(self) -> re.Pattern | None:
-        return re.compile(self.path) if self.path else None
-
-    def reads(self, family: str, language: str) -> bool:
-        names = self.families.split()
-        return ALL in names or family in names or language in names
 
 
 def _r(*args, **kw) -> Rule:
     return Rule(*args, **kw)
 
 
-SECURITY = [
-    _r("SEC-EVAL", "high", "js python php ruby", r"(?<![\w$.])eval\s*\(", "Dynamic evaluation of code", need=("eval",), flow=True),
-    _r("SEC-FUNCTION-CTOR", "high", "js", r"\bnew\s+Function\s*\(", "Function built from a string", need=("function",)),
-    _r("SEC-EXEC-SHELL", "critical", "js python php ruby jvm go", r"(?:\b(?:exec|execSync|spawnSync|system|popen|shell_exec|passthru)|Runtime\.getRuntime\(\)\.exec)\s*\([^)\[\n]*(?:\$\{|[\"'`]\s*[+.]\s*[\w$]|#\{|%\s*\(|\bf[\"'])", "Shell command built from values", raw=True, need=("exec", "system", "popen", "passthru", "spawnsync"), unless=r"(?:[/\]gimsuy]|[rR]eg(?:ex|exp)?\w*)\.exec\("),
-    _r("SEC-SHELL-TRUE", "high", "python", r"\bsubprocess\.(?:run|call|check_output|check_call|Popen)\s*\([^)]*\bshell\s*=\s*True", "Subprocess through a shell", need=("shell",)),
-    _r("SEC-SQL-CONCAT", "critical", "*", r"(?i)[\"'`][^\"'`\n]*\b(?:select\b[^\"'`\n]{1,200}\bfrom\b|insert\s+into\b|update\b[^\"'`\n]{1,100}\bset\b|delete\s+from\b)[^;\n]{0,200}?(?:[\"'`]\s*[+.]\s*[\w$(]|\$\{|%\(|%s|\|\|)", "Query put together from values", raw=True, need=("select", "insert", "update", "delete"), flow=True),
-    _r("SEC-SQL-RAW", "medium", "*", r"\.(?:raw|rawQuery|executeRawUnsafe|queryRawUnsafe|extra)\s*\(\s*[\"'`]", "Raw query", need=("raw", "extra"), confidence="tentative"),
-    _r("SEC-NOSQL-WHERE", "high", "js python", r"\$where[\"']?\s*[:=]", "Code in a document query", raw=True, need=("$where",), flow=True),
-    _r("SEC-INNERHTML", "high", "js", r"\.(?:innerHTML|outerHTML)\s*\+?=(?!=)\s*(?![\"'`]{2}\s*(?:;|$))", "Markup assigned to an element", need=("innerhtml", "outerhtml"), flow=True),
-    _r("SEC-DANGEROUS-HTML", "high", "js", r"\bdangerouslySetInnerHTML\b", "Raw markup in a component", need=("dangerouslysetinnerhtml",), flow=True),
-    _r("SEC-VUE-VHTML", "high", "js markup", r"\bv-html\s*=", "Raw markup in a template", raw=True, need=("v-html",)),
-    _r("SEC-DOC-WRITE", "medium", "js", r"\bdocument\.write(?:ln)?\s*\(", "Document rewritten by a script", need=("document.write",)),
-    _r("SEC-TEMPLATE-AUTOESCAPE", "medium", "python php ruby markup", r"\|\s*safe\b|\{!!|\bmark_safe\s*\(|@php\s+echo", "Value put out without escaping", raw=True, need=("safe", "{!!", "@php")),
-    _r("SEC-TEMPLATE-AUTOESCAPE", "high", "python php ruby markup", r"\bautoescape\s*(?:=\s*False|\s+(?:off|false))", "Escaping switched off", raw=True, need=("autoescape",)),
-    _r("SEC-PICKLE", "critical", "python", r"\b(?:c?[pP]ickle|marshal)\.loads?\s*\(|\byaml\.load\s*\((?![^)]*(?:SafeLoader|CSafeLoader))", "Objects read from untrusted bytes", need=("pickle", "marshal", "yaml.load")),
-    _r("SEC-JAVA-DESERIALIZE", "critical", "jvm", r"\bnew\s+ObjectInputStream\s*\(|\.readObject\s*\(\s*\)", "Objects read from a stream", need=("objectinputstream", "readobject")),
-    _r("SEC-PHP-UNSERIALIZE", "critical", "php", r"\bunserialize\s*\(", "Objects read from a string", need=("unserialize",)),
-    _r("SEC-WEAK-HASH", "high", "*", r"(?i)\b(?:md5|sha1)\s*\(|[\"'](?:MD5|SHA-?1)[\"']", "Weak digest", raw=True, need=("md5", "sha1", "sha-1"), unless=r"(?i)gravatar|hashCode"),
-    _r("SEC-WEAK-CIPHER", "high", "*", r"\b(?:DES|3DES|TripleDES|DESede|RC4|Blowfish)\b|AES/ECB|MODE_ECB|(?i:aes-\d{3}-ecb)", "Weak cipher", raw=True, need=("des", "rc4", "blowfish", "ecb")),
-    _r("SEC-WEAK-RANDOM", "medium", "js python php jvm ruby dotnet", r"\bMath\.random\s*\(\s*\)|\bnew\s+Random\s*\(|\brandom\.random\s*\(|(?<![\w.$])(?:mt_)?rand\s*\(", "Predictable random numbers", need=("random", "rand"), unless=r"(?i)colou?r|anim|delay|jitter|shuffle|sample|demo|mock|seed", confidence="tentative"),
-    _r("SEC-TLS-DISABLED", "critical", "*", r"\brejectUnauthorized\s*:\s*false|\bverify\s*=\s*False|NODE_TLS_REJECT_UNAUTHORIZED\b[\"'\]]*\s*[=:]\s*[\"']?0|\bInsecureSkipVerify\s*:\s*true|\bALLOW_ALL_HOSTNAME_VERIFIER\b|\bsetHostnameVerifier\s*\(|\bbadCertificateCallback\b", "Certificates not checked", raw=True, need=("rejectunauthorized", "verify", "node_tls", "insecureskip", "allow_all", "badcertificate")),
-    _r("SEC-HTTP-URL", "medium", "js python php ruby jvm go dart dotnet swift", r"[\"'`]http://(?!(?:localhost|127\.|0\.0\.0\.0|10\.|192\.168\.|\[?::1|[\w.-]*\.(?:local|test|example|invalid|localhost)\b|(?:www\.)?w3\.org|schemas?\.|(?:www\.)?example\.|xmlns|purl\.org|java\.sun\.com|\$|\{|<|%|[\"'`]))[\w.-]+", "Plain connection", raw=True, need=("http://",), unless=r"xmlns|DOCTYPE|namespace"),
-    _r("SEC-JWT-NONE", "critical", "*", r"(?i)\balg(?:orithms?)?[\"']?\s*[:=]\s*\[?\s*[\"']none[\"']|verify_signature[\"']?\s*[:=]\s*False|\bjwt\.decode\s*\([^)]*verify\s*=\s*False", "Signature of a token not checked", raw=True, need=("none", "verify")),
-    _r("SEC-CORS-WILDCARD", "high", "*", r"Access-Control-Allow-Origin[\"']?\s*[,:=]\s*[\"']\*|\b(?:origins?|allow_origins|allowedOrigins)[\"']?\s*[:=(]\s*\[?\s*[\"']\*[\"']|\bcors\s*\(\s*\)", "Any origin allowed", raw=True, need=("origin", "cors")),
-    _r("SEC-CSRF-OFF", "high", "*", r"(?i)\bcsrf(?:_?protection)?[\"']?\s*[:=]\s*false|@?\bcsrf_exempt\b|@CsrfExempt|\.csrf\(\)\.disable\s*\(|csrf\s*\(\s*\w+\s*->\s*\w+\.disable", "Forgery protection switched off", need=("csrf",), unless=r"^\s*(?:import|from|use)\b"),
-    _r("SEC-ALLOWED-HOSTS-WILDCARD", "high", "python", r"\bALLOWED_HOSTS\s*=\s*\[[^\]]*[\"']\*[\"']", "Any host allowed", raw=True, need=("allowed_hosts",)),
-    _r("SEC-SECURE-FLAG-OFF", "high", "python", r"\b(?:SESSION|CSRF)_COOKIE_(?:SECURE|HTTPONLY)\s*=\s*(?:False|0)\b", "Cookie setting switched off", raw=True, need=("_cookie_",), unless_file=r"\b(?:SESSION|CSRF)_COOKIE_(?:SECURE|HTTPONLY)\s*=\s*True\b"),
-    _r("SEC-COOKIE-FLAGS", "medium", "*", r"(?i)\bhttp_?only[\"']?\s*[:=]\s*false|\bsecure[\"']?\s*[:=]\s*false|\bsame_?site[\"']?\s*[:=]\s*[\"']?none", "Cookie without protection", raw=True, need=("httponly", "http_only", "secure", "samesite", "same_site")),
-    _r("SEC-PERMISSIVE-PERMS", "medium", "*", r"\bchmod\s*\(?[^\n)]*\b0?o?777\b|\bFileMode\s*\(\s*0?o?777", "Files open to everyone", raw=True, need=("777",)),
-    _r("SEC-PATH-TRAVERSAL", "high", "js python php ruby jvm go", r"\b(?:readFile(?:Sync)?|createReadStream|sendFile|open|file_get_contents|fopen|include|require|readfile|File\.read|File\.open|Paths\.get)\s*\([^)\n]*" + REQUEST, "Path taken from the request", need=("req", "params", "$_", "ctx."), flow=True),
-    _r("SEC-SSRF", "high", "js python php ruby jvm go", r"\b(?:fetch|axios(?:\.\w+)?|got|requests\.\w+|urlopen|http\.get|https\.get|curl_init|HttpClient\.\w+|RestTemplate\.\w+)\s*\([^)\n]*" + REQUEST, "Address taken from the request", need=("req", "params", "$_", "ctx."), flow=True),
-    _r("SEC-OPEN-REDIRECT", "medium", "js python php ruby jvm", r"(?:\bredirect\w*\s*\(|\blocation(?:\.href)?\s*=|header\s*\(\s*[\"']Location:)[^;\n]*" + REQUEST, "Redirect to an address of the request", raw=True, need=("redirect", "location")),
-    _r("SEC-DEBUG-ON", "medium", "*", r"\bDEBUG\s*=\s*True\b|(?<![\w.])debug\s*:\s*true\b|\bAPP_DEBUG\s*=\s*true\b|\bapp\.run\s*\([^)]*debug\s*=\s*True", "Debug mode", raw=True, need=("debug",), unless=r"(?i)//|test|mock|story", confidence="tentative"),
-    _r("SEC-BIND-ALL", "low", "*", r"\bhost[\"']?\s*[:=]\s*[\"']0\.0\.0\.0[\"']|\.listen\s*\(\s*\w+\s*,\s*[\"']0\.0\.0\.0[\"']", "Listens on every interface", raw=True, need=("0.0.0.0",), confidence="tentative"),
-    _r("SEC-PROTOTYPE-POLLUTION", "high", "js", r"[\w$)\]]\[(?:req|request|key|body|query|params|input)[\w.$\[\]]*\]\s*=(?!=)|\b(?:Object\.assign|_\.merge|merge|extend)\s*\([^)\n]*(?:req\.body|JSON\.parse)", "Keys of an object from outside", need=("req", "key", "body", "query", "params", "input", "merge", "assign", "extend"), confidence="tentative"),
-    _r("SEC-REGEX-DOS", "medium", "*", r"\((?:[^()\\\n]|\\.)*[+*]\)[+*](?![+?])", "Nested repetition in an expression", raw=True, only_file=r"RegExp|re\.compile|/[^/\n]+/[gimsuy]*|preg_|Pattern\.compile|Regex", need=("+)+", "*)*", "+)*", "*)+"), confidence="tentative"),
-    _r("SEC-LOG-SENSITIVE", "medium", "*", r"(?i)\b(?:console\.\w+|print(?:ln|f)?|log(?:ger)?(?:\.\w+)?|error_log|NSLog|debugPrint)\s*\([^)\n]*\b\w*(?:passw(?:or)?d|secret|token|credential|api_?key)\w*", "Secret in a log", need=("password", "passwd", "secret", "token", "credential", "apikey", "api_key")),
-    _r("SEC-EMPTY-CATCH", "low", "js jvm php dart dotnet", r"\bcatch\s*(?:\([^)]*\))?\s*\{\s*\}", "Error swallowed", raw=True, need=("catch",)),
-    _r("SEC-XXE", "high", "jvm php python dotnet", r"\b(?:DocumentBuilderFactory|SAXParserFactory|XMLInputFactory)\.newInstance\s*\(|\bsimplexml_load_\w+\s*\(|\betree\.(?:parse|fromstring)\s*\(|\bnew\s+XmlDocument\s*\(", "Parser that follows external entities", unless_file=r"disallow-doctype-decl|FEATURE_SECURE_PROCESSING|defusedxml|XmlResolver\s*=\s*null|SUPPORT_DTD|libxml_disable_entity_loader", need=("newinstance", "simplexml", "etree", "xmldocument"), confidence="tentative"),
-    _r("SEC-MASS-ASSIGNMENT", "medium", "js php ruby python", r"\b(?:create|update|updateOrCreate|fill|save|new)\s*\(\s*(?:req\.body|request\.(?:all\(\)|body|data|POST)|\$request->all\(\)|params)\s*[,)]", "Whole request stored", need=("req", "params")),
-]
-
-CONFIGURATION = [
-    _r("SEC-DOCKER-LATEST", "low", "docker", r"^FROM\s+\S+:latest\b", "Image without a fixed version", raw=True, per="first", need=("latest",), effort="rapide"),
-    _r("SEC-DOCKER-ROOT", "medium", "docker", r"^FROM\s+\S+", "Container runs as root", raw=True, per="first", need=("from",), unless_file=r"(?m)^USER\s+(?!root\b|0\b)\S+"),
-    _r("SEC-ENV-COMMITTED", "critical", "dotenv", r"^[^#\n=]*=\s*\S", "Environment file in the repository", raw=True, per="first", path=r"(^|/)\.env(?!.*\.(?:example|sample|template|dist|md|txt)$)[^/]*$", need=("=",)),
-    _r("SEC-GITIGNORE-ENV", "medium", "gitignore", r"\A", "Environment files not ignored", raw=True, per="first", unless_file=r"\.env"),
-]
-
 PERFORMANCE = [
     _r("PERF-AWAIT-IN-LOOP", "medium", "js", r"\bfor\s*(?:await\s*)?\([^)]*\)\s*\{[^}]{0,400}?\bawait\b", "Waits inside a loop", category="performance", per="file", need=("await",)),
     _r("PERF-NESTED-LOOP-QUERY", "high", "js php jvm", r"\b(?:for|foreach|while)\s*\([^)]*\)\s*\{[^}]{0,300}?(?:\.(?:find(?:One|All|By\w*)?|query|execute|findById|where|fetch(?:All)?)\s*\(|mysqli_query\s*\()", "Query inside a loop", category="performance", per="file", need=("find", "query", "execute", "where", "fetch")),

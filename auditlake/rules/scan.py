@@ -10,6 +10,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import cache
 
 import ahocorasick
 import pyarrow as pa
@@ -19,10 +20,11 @@ from pyspark.sql import functions as F
 from auditlake.config import SEVERITIES
 from auditlake.operators import flow
 from auditlake.operators.mask import batches_of, comment_ranges, mask
-from auditlake.rules.catalogue import RULES, Rule
+from auditlake.rules.catalogue import RULES
+from auditlake.rules.rule import Rule
+from auditlake.rules.sites import Site, bracket_pairs
 from auditlake.schema import as_findings
 
-MATCH_LIMIT = 50_000
 SECRET_LINE = 2_000
 SKIPPED = frozenset(("markdown", "text", "unknown", "json"))
 _NAMES = list(SEVERITIES)
@@ -79,7 +81,7 @@ class Matcher:
         comments: list[tuple[int, int]] | None = None
         lines: list[str] | None = None
         zones = [m.span() for m in _ZONE.finditer(text)] if family == "markup" else []
-        scopes = None
+        scopes = pairs = None
         for i in self.candidates(text):
             rule = self.rules[i]
             if not rule.reads(family, language) or (is_test and not rule.tests):
@@ -95,9 +97,12 @@ class Matcher:
             if not rule.raw and masked is None:
                 masked = mask(text, family)
             kept: list[tuple[int, str, str]] = []
-            for n, m in enumerate(rule.regex.finditer(text if rule.raw else masked)):
-                if n >= MATCH_LIMIT:
-                    break
+            if rule.test and pairs is None:
+                masked = masked if masked is not None else mask(text, family)
+                pairs = bracket_pairs(masked)
+            for m in rule.regex.finditer(text if rule.raw else masked):
+                if rule.test and not rule.test(Site(text, masked, family, m.start(), m.end(), pairs)):
+                    continue
                 at = m.start() + (len(m[0]) - len(m[0].lstrip()))
                 if any(a <= at < b for a, b in zones):
                     continue
@@ -155,12 +160,15 @@ def _hash_severity(lines: Sequence[str], line: int) -> str:
     return "low" if _CACHE_WORDS.search(context) else "high"
 
 
-_matchers: dict[int, Matcher] = {}
+@cache
+def _catalogue() -> Matcher:
+    """The matcher of the whole catalogue, made once a worker."""
+    return Matcher()
 
 
-def _scan(rules: Sequence[Rule]):
+def _scan(rules: Sequence[Rule] | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = _matchers.setdefault(hash(rules), Matcher(rules))
+        matcher = _catalogue() if rules is None else Matcher(rules)
 
         def rows():
             for batch in batches:
@@ -181,7 +189,7 @@ def sources(files: DataFrame) -> DataFrame:
 def pattern_matches(files: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """Raw matches of the catalogue over described files; one pass, no shuffle."""
     rows = sources(files).select("project", "file", "content", "family", "language", "is_test")
-    return rows.mapInArrow(_scan(tuple(rules)), DDL)
+    return rows.mapInArrow(_scan(None if rules is RULES else tuple(rules)), DDL)
 
 
 def rule_table(spark, rules: Sequence[Rule] = RULES) -> DataFrame:

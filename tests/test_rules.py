@@ -56,6 +56,22 @@ SILENT = [
     ("DEAD-DEBUG-APPEL-CONSOLE", "a.js", "console.log(1)"), ("SEC-WEAK-RANDOM", "a.js", "const color = Math.random();"), ("SEC-EVAL", "node_modules/x/a.js", "eval(x)"), ("QUAL-TODO", "a.js", "// TODO x // audit-ignore"), ("EXPRESS-NO-BODY-LIMIT", "a.js", "express.json({ limit: '1mb' })"),
 ]
 
+POSITIVE += [
+    ("SEC-EXEC-SHELL", "a.py", 'os.system("ls " + name)'), ("SEC-EXEC-SHELL", "a.rb", 'system("ls #{dir}")'), ("SEC-EXEC-SHELL", "a.php", 'exec("ls $dir");'), ("SEC-EXEC-SHELL", "A.java", 'Runtime.getRuntime().exec("ls " + dir);'), ("SEC-SQL-CONCAT", "a.py", 'cur.execute(f"DELETE FROM t WHERE id={i}")'),
+    ("SEC-SQL-CONCAT", "a.php", '$q = "UPDATE t SET a=1 WHERE id=" . $id;'), ("SEC-SQL-RAW", "a.js", "db.raw('select 1')"), ("SEC-NOSQL-WHERE", "a.js", "db.find({ $where: fn })"), ("SEC-PICKLE", "a.py", "yaml.load(text)"), ("SEC-JAVA-DESERIALIZE", "A.java", "Object o = in.readObject();"),
+    ("SEC-JAVA-DESERIALIZE", "A.java", "x = new ObjectInputStream(s);"), ("SEC-PHP-UNSERIALIZE", "a.php", "unserialize($x);"), ("SEC-WEAK-CIPHER", "A.java", 'Cipher.getInstance("AES/ECB/PKCS5Padding")'), ("SEC-WEAK-RANDOM", "a.js", "const token = Math.random();"), ("SEC-WEAK-RANDOM", "A.java", "Random r = new Random();"),
+    ("SEC-TLS-DISABLED", "a.js", "agent({ rejectUnauthorized: false })"), ("SEC-TLS-DISABLED", "a.js", "process.env['NODE_TLS_REJECT_UNAUTHORIZED'] = '0'"), ("SEC-TLS-DISABLED", "a.go", "InsecureSkipVerify: true,"), ("SEC-JWT-NONE", "a.js", "sign(x, { algorithm: 'none' })"), ("SEC-JWT-NONE", "a.py", "jwt.decode(t, k, verify=False)"),
+    ("SEC-CORS-WILDCARD", "a.js", "res.set('Access-Control-Allow-Origin', '*')"), ("SEC-CORS-WILDCARD", "a.py", 'allow_origins=["*"]'), ("SEC-ALLOWED-HOSTS-WILDCARD", "a.py", "ALLOWED_HOSTS = ['a.fr', '*']"), ("SEC-SECURE-FLAG-OFF", "a.py", "SESSION_COOKIE_SECURE = False"), ("SEC-COOKIE-FLAGS", "a.js", "sameSite: 'none'"),
+    ("SEC-SSRF", "a.py", "requests.get(request.args['u'])"), ("SEC-OPEN-REDIRECT", "a.js", "res.redirect(req.query.next)"), ("SEC-OPEN-REDIRECT", "a.php", "header('Location: ' . $_GET['u']);"), ("SEC-DEBUG-ON", "a.py", "app.run(debug=True)"), ("SEC-DEBUG-ON", "settings.py", "DEBUG = True"), ("SEC-BIND-ALL", "a.js", "app.listen(80, '0.0.0.0')"),
+    ("SEC-PROTOTYPE-POLLUTION", "a.js", "target[req.body.k] = v"), ("SEC-PROTOTYPE-POLLUTION", "a.js", "Object.assign(o, JSON.parse(x))"), ("SEC-LOG-SENSITIVE", "a.js", "console.log(user.password)"), ("SEC-XXE", "a.py", "etree.parse(f)"), ("SEC-MASS-ASSIGNMENT", "a.js", "User.create(req.body)"), ("SEC-DOC-WRITE", "a.js", "document.write(x)"),
+    ("SEC-TEMPLATE-AUTOESCAPE", "a.html", "{{ x | safe }}"), ("SEC-VUE-VHTML", "a.vue", '<p v-html="x">'), ("SEC-DANGEROUS-HTML", "a.js", "<p dangerouslySetInnerHTML={{ __html: x }} />"),
+]
+SILENT += [
+    ("SEC-EXEC-SHELL", "a.js", "const m = /a+/g.exec('x' + y); nameRegex.exec(`a${b}`); spawnSync('ls', ['a' + b]);"), ("SEC-SHELL-TRUE", "a.py", "subprocess.run(cmd)\nrun(shell=True)"), ("SEC-PICKLE", "a.py", "yaml.load(text, Loader=yaml.SafeLoader)"), ("SEC-CORS-WILDCARD", "a.js", "cors({ origin: list })"),
+    ("SEC-JWT-NONE", "a.py", "jwt.decode(t, k)"), ("SEC-SECURE-FLAG-OFF", "a.py", "SESSION_COOKIE_SECURE = False\nSESSION_COOKIE_SECURE = True"), ("SEC-PROTOTYPE-POLLUTION", "a.js", "target[index] = v; x = list[key];"), ("SEC-REGEX-DOS", "a.js", "re = new RegExp('(a+)(b)+')"), ("SEC-SQL-CONCAT", "a.js", "db.query('select a from t where id = ?', [id])"),
+    ("SEC-ALLOWED-HOSTS-WILDCARD", "a.py", "ALLOWED_HOSTS = ['*.a.fr']"), ("SEC-DOCKER-LATEST", "Dockerfile", "FROM node:20\nUSER app"), ("SEC-MASS-ASSIGNMENT", "a.js", "create(req.body.name)"), ("SEC-OPEN-REDIRECT", "a.js", "res.redirect('/home')"), ("SEC-LOG-SENSITIVE", "a.js", "console.log('token')"),
+]
+
 
 def test_pattern_rules_fire(spark):
     rows = [(f"d{i}/{path}", text) for i, (_, path, text) in enumerate(POSITIVE)]
