@@ -17,20 +17,24 @@ others by a hash.
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.functions.paths import normal_path
 from auditlake.llm.credentials import credential_values
-from auditlake.session import checkpointed
+from auditlake.session import checkpointed, work_folder
 
 #: Two statements are the same from this agreement on: twice the common words over all words.
 AGREEMENT = 0.6
+#: What the second hash of a name begins with.
+SECOND_SEED = 1
 #: Words that the sketch of word counts keeps at a time.
 TRACKED_WORDS = 8192
 _WORD = re.compile(r"\w+")
@@ -63,25 +67,16 @@ def _probed(n: int) -> int:
 
 
 def statements(findings: DataFrame, id_col: str = "finding_id") -> DataFrame:
-    """(_id, _c, _g, snippet) of the rows that can repeat or be repeated; null rule, file or snippet never are.
+    """(_id, _c, _d, _g, _h, snippet) of the rows that can repeat or be repeated; null rule, file or snippet never are.
 
-    ``_g`` stands for the group (rule and file however spelled), ``_c`` for the group and the exact
-    snippet: copies share it, so it names a statement's text from here on.
+    ``_g`` and ``_h`` stand for the group (rule and file however spelled), ``_c`` and ``_d`` for the
+    group and the exact snippet: two hashes of 64 bits each, so that 128 bits tell texts apart.
     """
     rows = findings.where(F.col("rule_id").isNotNull() & F.col("file").isNotNull() & F.col("snippet").isNotNull() & F.col(id_col).isNotNull())
-    file = normal_path(F.col("file"))
-    named = rows.select(F.col(id_col).cast("long").alias("_id"), "rule_id", file.alias("_f"), "snippet")
-    return named.select("_id", F.xxhash64("rule_id", "_f", "snippet").alias("_c"), F.xxhash64("rule_id", "_f").alias("_g"), "snippet")
-
-
-def fold_copies(rows: DataFrame) -> DataFrame:
-    """(_c, _id, _copies): the smallest id of each text and its number of copies; combined before the shuffle."""
-    return rows.groupBy("_c").agg(F.min("_id").alias("_id"), F.count(F.lit(1)).alias("_copies"))
-
-
-def texts_of(rows: DataFrame) -> DataFrame:
-    """(_id, _h, snippet): texts are fetched by id, so copies of one text spread over all tasks."""
-    return rows.select("_id", F.col("_g").alias("_h"), "snippet")
+    named = rows.select(F.col(id_col).cast("long").alias("_id"), "rule_id", normal_path(F.col("file")).alias("_f"), "snippet")
+    two = lambda *c: (F.xxhash64(*c), F.xxhash64(F.lit(SECOND_SEED), *c))
+    (c, d), (g, h) = two("rule_id", "_f", "snippet"), two("rule_id", "_f")
+    return named.select("_id", c.alias("_c"), d.alias("_d"), g.alias("_g"), h.alias("_h"), "snippet")
 
 
 def word_order(rows: DataFrame, tracked: int = TRACKED_WORDS) -> dict[str, int]:
@@ -101,9 +96,8 @@ def _segments(order: dict[str, int]):
 
         hashed: dict[str, int] = {}
         for batch in batches:
-            texts = dict(zip(batch.column(0).to_pylist(), zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True), strict=True))
             names, groups, sizes, lists = [], [], [], []
-            for c, (g, snippet) in texts.items():
+            for i, g, snippet in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
                 words = _WORD.findall(snippet)
                 n = len(words)
                 if not n:
@@ -118,43 +112,40 @@ def _segments(order: dict[str, int]):
                         h = hashed[name] = xxhash.xxh3_64_intdigest(name) - (1 << 63)
                     keys.append((order.get(w, 0), h))
                 keys.sort()
-                names.append(c)
+                names.append(i)
                 groups.append(g)
                 sizes.append(n)
                 lists.append([h for _, h in keys[: _probed(n)]])
             if len(hashed) > 500_000:
                 hashed.clear()
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(groups, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["_c", "_g", "_n", "_words"])
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(groups, pa.int64()), pa.array(sizes, pa.int32()), pa.array(lists, pa.list_(pa.int64()))], ["_id", "_g", "_n", "_words"])
 
     return run
 
 
-def segments(rows: DataFrame, order: dict[str, int]) -> DataFrame:
-    """(_key, _c, _n, _at): the probed segments of each text; those at ``_at`` below ``_stored(n)`` are also stored."""
-    words = rows.select("_c", "_g", "snippet").mapInArrow(_segments(order), "_c bigint, _g bigint, _n int, _words array<bigint>")
-    placed = words.select("_c", "_n", "_g", F.posexplode("_words").alias("_at", "_w")).select(F.shiftrightunsigned(F.xxhash64("_g", "_w"), 14).alias("_key"), "_c", F.shiftleft(F.col("_n").cast("long"), 32).bitwiseOR(F.col("_at").cast("long")).alias("_na"))
-    return placed.select("_key", "_c", F.shiftright("_na", 32).cast("int").alias("_n"), F.col("_na").bitwiseAND(F.lit(0x7FFFFFFF).cast("long")).cast("int").alias("_at"))
-
-
-def shared(found: DataFrame) -> DataFrame:
-    """The segments that two texts or more have; one that a text has alone meets nothing. Copies no task saw together fold here."""
-    key = Window.partitionBy("_key")
-    met = found.withColumn("_lo", F.min("_c").over(key)).withColumn("_hi", F.max("_c").over(key)).where("_lo <> _hi")
-    return met.select("_key", "_c", "_n", "_at").dropDuplicates(["_key", "_c", "_n", "_at"])
+def segments(texts: DataFrame, order: dict[str, int]) -> DataFrame:
+    """(_key, _id, _n, _at): the segments of each text by group and word, with its length and their position; their number is fixed by the length."""
+    words = texts.select("_id", "_g", "snippet").mapInArrow(_segments(order), "_id bigint, _g bigint, _n int, _words array<bigint>")
+    placed = words.select("_id", "_n", "_g", F.posexplode("_words").alias("_at", "_w"))
+    return placed.select(F.shiftrightunsigned(F.xxhash64("_g", "_w"), 14).alias("_key"), "_id", "_n", "_at")
 
 
 def _stored_size(n: Column) -> Column:
     return n - F.ceil(F.lit(AGREEMENT) * n - 1e-9).cast("int") + 1
 
 
-def _candidates(probing: DataFrame, stored: DataFrame) -> DataFrame:
-    """Pairs (_a, _b) of texts that share a segment and may still agree enough; the probing one is not the shorter."""
-    p = probing.select(F.col("_key"), F.col("_c").alias("_pid"), F.col("_n").alias("_pn"), F.col("_at").alias("_pat"))
-    s = stored.where(F.col("_at") < _stored_size(F.col("_n"))).select(F.col("_key"), F.col("_c").alias("_sid"), F.col("_n").alias("_sn"), F.col("_at").alias("_sat"))
-    owed = F.ceil(F.lit(AGREEMENT / 2) * (F.col("_pn") + F.col("_sn")) - 1e-9)
-    longer = (F.col("_pn") > F.col("_sn")) | ((F.col("_pn") == F.col("_sn")) & (F.col("_pid") != F.col("_sid")))
-    room = F.least(F.col("_pn") - F.col("_pat"), F.col("_sn") - F.col("_sat")) >= owed
-    return p.join(s, "_key").where(longer & (owed <= F.col("_sn")) & room).select(F.least("_pid", "_sid").alias("_a"), F.greatest("_pid", "_sid").alias("_b")).distinct()
+def _candidates(new: DataFrame, known: DataFrame) -> DataFrame:
+    """Pairs (_a, _b) of ids, the smaller first, of a new text and one of lower id that share a segment and may still agree enough.
+
+    The longer text of a pair probes with all its segments, the shorter is found by its rarest
+    ones; both tables are bucketed by the key, so they meet without being shuffled.
+    """
+    x = new.select("_key", F.col("_id").alias("_b"), F.col("_n").alias("_bn"), F.col("_at").alias("_bat"))
+    y = known.select("_key", F.col("_id").alias("_a"), F.col("_n").alias("_an"), F.col("_at").alias("_aat"))
+    owed = F.ceil(F.lit(AGREEMENT / 2) * (F.col("_an").cast("long") + F.col("_bn")) - 1e-9)
+    shorter = F.when(F.col("_an") <= F.col("_bn"), F.col("_aat") < _stored_size(F.col("_an"))).otherwise(F.col("_bat") < _stored_size(F.col("_bn")))
+    room = F.least(F.col("_an") - F.col("_aat"), F.col("_bn") - F.col("_bat")) >= owed
+    return x.join(y, "_key").where((F.col("_a") < F.col("_b")) & (owed <= F.least("_an", "_bn")) & shorter & room).select("_a", "_b").distinct()
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,13 +174,10 @@ def _differ(a: frozenset[str], b: frozenset[str]) -> bool:
     return not any(x == y or (min(len(x), len(y)) >= 8 and (x.startswith(y) or y.startswith(x))) for x in a for y in b)
 
 
-def links(pairs: DataFrame, texts: DataFrame, first: DataFrame) -> DataFrame:
-    """(_a, _b): ids, the smaller first, of the pairs of texts that are the same statement, judged on the whole snippets."""
-    ids = first.select("_c", "_id")
-    named = pairs.join(ids.toDF("_a", "_i"), "_a").join(ids.toDF("_b", "_j"), "_b").select(F.least("_i", "_j").alias("_a"), F.greatest("_i", "_j").alias("_b"))
-    x = texts.select(F.col("_id").alias("_a"), F.col("_h").alias("_ha"), F.col("snippet").alias("_x"))
-    y = texts.select(F.col("_id").alias("_b"), F.col("_h").alias("_hb"), F.col("snippet").alias("_y"))
-    both = named.join(x, "_a").join(y, "_b").where("_ha = _hb").select("_a", "_b", "_x", "_y")
+def links(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    """(_a, _b) of the pairs that are the same statement, judged on the whole snippets."""
+    x, y = (texts.select(F.col("_id").alias(i), F.col("_g").alias(g), F.col("_h").alias(h), F.col("snippet").alias(t)) for i, g, h, t in (("_a", "_ga", "_ha", "_x"), ("_b", "_gb", "_hb", "_y")))
+    both = pairs.join(x, "_a").join(y, "_b").where("_ga = _gb AND _ha = _hb").select("_a", "_b", "_x", "_y")
     return both.mapInArrow(_verify, "_a bigint, _b bigint")
 
 
@@ -204,93 +192,156 @@ def _roots(first: DataFrame) -> DataFrame:
         current = checkpointed(joined.select("_b", F.coalesce("_top", "_a").alias("_a")))
 
 
-def repeats(findings: DataFrame, id_col: str = "finding_id") -> DataFrame:
-    """(dup_of, finding_id) over a whole history: each row that repeats an earlier one, and the first of its statement.
-
-    Same statement: equal rule, same file however spelled, words in agreement from ``AGREEMENT``
-    on, no different credentials. Null rule, file, snippet or id: neither repeats nor repeated.
-    Snippets without any word are the same only if they are equal. Ids are compared by value, so
-    rows may come in any order; an id met twice counts as one. Empty input gives no rows.
-    """
-    rows = statements(findings, id_col)
-    met = shared(segments(rows, word_order(rows)))
-    first = fold_copies(rows)
-    linked = links(_candidates(met, met), texts_of(rows), first)
-    roots = _roots(linked.groupBy("_b").agg(F.min("_a").alias("_a")))
-    standing = first.join(roots, F.col("_id") == F.col("_b"), "left").where(F.col("_a").isNotNull() | (F.col("_copies") > 1))
-    kept = standing.select("_c", F.coalesce("_a", "_id").alias("dup_of"))
-    joined = rows.select("_id", "_c").join(kept, "_c")
-    return joined.where(F.col("_id") > F.col("dup_of")).select("dup_of", F.col("_id").alias(id_col)).distinct()
+#: The tables of an index: columns, and the column whose hash places a row in a bucket.
+_TABLES = {
+    "names": ("_c bigint, _d bigint, _id bigint", "_c"),
+    "texts": ("_id bigint, _g bigint, _h bigint, snippet string", "_id"),
+    "segments": ("_key bigint, _id bigint, _n int, _at int", "_key"),
+    "roots": ("_b bigint, _a bigint", "_b"),
+}
 
 
 class HistoryIndex:
     """All statements so far, their segments and what each repeats, in a folder, for checking batches as they arrive.
 
-    ``deduplicate`` probes the stored segments with those of the batch, links the batch to the
-    history and within itself, and appends every statement that is new to the folder, those that
-    repeat another with the root they repeat. The history is read only as segments (by an equi
-    join on their key) and as the texts of the candidates. Batches give the rows of ``repeats``
-    over all of them.
-
-    All state is in the folder: the order of words, which the stored segments depend on, is that
-    of the first batch (or ``order``) ever after, and a batch counts once its number is written
-    last. So any instance, also of another process, carries on where the last whole batch ended;
-    what a broken batch left is overwritten, and a batch given again yields its rows again. One
-    batch at a time may be written.
+    ``deduplicate`` appends the new texts of a batch and their segments, probes all segments with
+    those of the batch, verifies the candidates and records what repeats what; repeats are
+    recorded too, so batches give the rows of one batch that holds them all. The history is never
+    shuffled: its tables lie in ``buckets`` buckets (names by their hash, texts by id, segments by
+    key), only the batch's rows and candidates are brought to them.
+
+    All state is in the folder: the number of buckets and the order of words, which the segments
+    depend on, are those of the first batch ever after, and a batch counts once its number is
+    written last. So any instance, also of another process, carries on where the last whole batch
+    ended; what a broken batch left is removed, and a batch given again yields its rows again.
+    One batch at a time may be written, and ids must rise from batch to batch.
     """
 
-    def __init__(self, path: str, order: dict[str, int] | None = None):
-        self.path, self.order = path, order
+    def __init__(self, path: str, buckets: int | None = None):
+        self.path, self.buckets = path.rstrip("/"), buckets
+
+    def _place(self, spark: SparkSession, name: str):
+        place = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
 
     def _exists(self, spark: SparkSession, name: str) -> bool:
-        place = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/_SUCCESS")
-        return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+        place, system = self._place(spark, f"{name}/_SUCCESS")
+        return system.exists(place)
+
+    def _drop(self, spark: SparkSession, name: str) -> None:
+        place, system = self._place(spark, name)
+        system.delete(place, True)
 
     def batches(self, spark: SparkSession) -> int:
         """Whole batches in the folder."""
         return spark.read.parquet(f"{self.path}/state").count() if self._exists(spark, "state") else 0
 
-    def _stored(self, spark: SparkSession, name: str, batches: int) -> DataFrame:
-        parts = [f"{self.path}/{name}/{n}" for n in range(batches)]
-        return spark.read.schema(_STORED[name]).parquet(*parts)
-
-    def _word_order(self, rows: DataFrame, batches: int) -> dict[str, int]:
-        spark, place = rows.sparkSession, f"{self.path}/order"
-        if batches:
-            return {r["word"]: r["n"] for r in spark.read.parquet(place).collect()}
-        order = word_order(rows) if self.order is None else self.order
-        spark.createDataFrame(list(order.items()), "word string, n bigint").write.mode("overwrite").parquet(place)
+    def _table(self, spark: SparkSession, name: str, buckets: int) -> str:
+        columns, key = _TABLES[name]
+        place, system = self._place(spark, name)
+        system.mkdirs(place)
+        called = f"history_{name}_{hashlib.sha1(self.path.encode()).hexdigest()[:16]}"
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {called} ({columns}, _batch int) USING parquet OPTIONS (compression 'zstd') PARTITIONED BY (_batch) CLUSTERED BY ({key}) INTO {buckets} BUCKETS LOCATION '{self.path}/{name}'")
+        spark.catalog.recoverPartitions(called)
+        return called
+
+    def _append(self, spark: SparkSession, called: str, name: str, batch: int, rows: DataFrame) -> None:
+        """Writes a batch's rows, one file a bucket; what stands there of a broken run goes first."""
+        self._drop(spark, f"{name}/_batch={batch}")
+        columns, key = _TABLES[name]
+        spread = rows.repartition(self._buckets, key) if name != "texts" else rows
+        spread.select(*[c.split()[0] for c in columns.split(", ")], F.lit(batch).alias("_batch")).write.insertInto(called)
+        spark.catalog.recoverPartitions(called)
+
+    def _opened(self, spark: SparkSession, rows: DataFrame) -> dict[str, int]:
+        """The order of words; number of buckets and order are fixed with the first batch."""
+        if not self._exists(spark, "order"):
+            self._buckets = self.buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+            order = [("", self._buckets), *word_order(rows).items()]
+            spark.createDataFrame(order, "word string, n bigint").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/order")
+        order = {r["word"]: r["n"] for r in spark.read.parquet(f"{self.path}/order").collect()}
+        self._buckets = order.pop("")
         return order
 
     def deduplicate(self, batch: DataFrame, id_col: str = "finding_id") -> DataFrame:
-        """(dup_of, finding_id) of the batch's repeats; ids must rise from batch to batch."""
+        """(dup_of, finding_id) of the batch's repeats."""
         spark = batch.sparkSession
-        rows = checkpointed(statements(batch, id_col))
+        # shuffle files go with the write that made them; what a later step needs is read from the folder
+        cleaning = spark.conf.get(_CLEANING, "false")
+        spark.conf.set(_CLEANING, "true")
+        try:
+            return self._deduplicate(spark, statements(batch, id_col), id_col)
+        finally:
+            spark.conf.set(_CLEANING, cleaning)
+
+    def _deduplicate(self, spark: SparkSession, rows: DataFrame, id_col: str) -> DataFrame:
         done = self.batches(spark)
-        order = self._word_order(rows, done)
-        first, texts = fold_copies(rows).select("_c", "_id"), texts_of(rows)
-        if done:
-            old, kept = self._stored(spark, "segments", done), self._stored(spark, "statements", done)
-            first = checkpointed(first.join(kept.select("_c"), "_c", "left_anti"))
-            new = checkpointed(segments(rows.join(first.select("_c"), "_c", "left_semi"), order).dropDuplicates(["_key", "_c", "_n", "_at"]))
-            pairs = _candidates(new, new).unionByName(_candidates(new, old)).unionByName(_candidates(old, new)).distinct()
-            found = links(pairs, texts.unionByName(kept.select("_id", "_h", "snippet")), first.unionByName(kept.select("_c", "_id")))
-            up = found.groupBy("_b").agg(F.min("_a").alias("_a"))
-            above = kept.groupBy(F.col("_id").alias("_a")).agg(F.min("_root").alias("_root"))
-            up = up.join(above, "_a", "left").select("_b", F.coalesce("_root", "_a").alias("_a"))
-        else:
-            new = checkpointed(segments(rows, order).dropDuplicates(["_key", "_c", "_n", "_at"]))
-            up = links(_candidates(new, new), texts, first).groupBy("_b").agg(F.min("_a").alias("_a"))
-        roots = _roots(up)
-        rooted = first.join(roots, F.col("_id") == F.col("_b"), "left").select("_c", "_id", F.coalesce("_a", "_id").alias("_root"))
-        named = rooted.join(rows.select("_c", "_id", F.col("_g").alias("_h"), "snippet"), ["_c", "_id"]).dropDuplicates(["_c"])
-        named.select("_c", "_id", "_h", "snippet", "_root").write.mode("overwrite").parquet(f"{self.path}/statements/{done}")
-        new.write.mode("overwrite").parquet(f"{self.path}/segments/{done}")
+        order = self._opened(spark, rows)
+        called = {name: self._table(spark, name, self._buckets) for name in _TABLES}
+        stored = lambda name: spark.table(called[name]).where(F.col("_batch") <= done)
+        earlier = lambda name: spark.table(called[name]).where(F.col("_batch") < done)
+
+        # the batch's texts, each with its first id, here or in the history
+        folded = rows.groupBy("_c", "_d").agg(F.min("_id").alias("_first")).repartition(self._buckets, "_c")
+        known = earlier("names").select("_c", "_d", F.col("_id").alias("_known"))
+        named = self._kept(folded.join(known, ["_c", "_d"], "left"), "named", done)
+        fresh = named.where("_known IS NULL").select("_c", "_d", F.col("_first").alias("_id"))
+        self._append(spark, called["names"], "names", done, fresh)
+        told = rows.repartition(self._buckets, "_id").join(fresh.select("_id").repartition(self._buckets, "_id"), "_id", "left_semi").dropDuplicates(["_id"])
+        self._append(spark, called["texts"], "texts", done, told)
+        new = spark.table(called["texts"]).where(F.col("_batch") == done)
+        self._append(spark, called["segments"], "segments", done, segments(new, order))
+
+        probing = spark.table(called["segments"]).where(F.col("_batch") == done)
+        found = links(_candidates(probing, stored("segments")), stored("texts"))
+        above = earlier("roots").select(F.col("_b").alias("_a"), F.col("_a").alias("_root"))
+        up = found.groupBy("_b").agg(F.min("_a").alias("_a")).join(above, "_a", "left").select("_b", F.coalesce("_root", "_a").alias("_a"))
+        self._append(spark, called["roots"], "roots", done, _roots(up))
+
         spark.createDataFrame([(done,)], "batch int").coalesce(1).write.mode("append").parquet(f"{self.path}/state")
-        known = self._stored(spark, "statements", done + 1).select("_c", F.col("_root").alias("dup_of"))
-        joined = rows.select("_id", "_c").join(known, "_c")
-        return checkpointed(joined.where(F.col("_id") > F.col("dup_of")).select("dup_of", F.col("_id").alias(id_col)).distinct())
+        standing = named.select("_c", "_d", F.coalesce("_known", "_first").alias("_b")).join(stored("roots").select("_b", "_a"), "_b", "left")
+        standing = standing.select("_c", "_d", F.coalesce("_a", "_b").alias("dup_of"))
+        repeated = rows.select("_id", "_c", "_d").join(standing, ["_c", "_d"]).where(F.col("_id") > F.col("dup_of"))
+        out = self._kept(repeated.select("dup_of", F.col("_id").alias(id_col)).distinct(), "repeats", done)
+        for name in called.values():
+            spark.sql(f"DROP TABLE {name}")
+        self._drop(spark, f"named/{done}")
+        return out
+
+    def _kept(self, rows: DataFrame, name: str, batch: int) -> DataFrame:
+        """A step's result, written to the folder and read from there."""
+        place = f"{self.path}/{name}/{batch}"
+        rows.write.mode("overwrite").option("compression", "zstd").parquet(place)
+        return rows.sparkSession.read.schema(rows.schema).parquet(place)
+
+
+_CLEANING = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-#: What the folder of an index holds for each batch.
-_STORED = {"statements": "_c bigint, _id bigint, _h bigint, snippet string, _root bigint", "segments": "_key bigint, _c bigint, _n int, _at int"}
+def replay(findings: DataFrame, path: str, batch_col: str = "batch_id", rounds: int = 3, id_col: str = "finding_id", buckets: int | None = None) -> DataFrame:
+    """(dup_of, finding_id) of a recorded history, delivered again to an index in ``path``.
+
+    The deliveries are given to the index in their order, in ``rounds`` ranges of the batch column
+    of equal width; a row without batch comes with the last. Rows are those of one round over all:
+    same statement: equal rule, same file however spelled, words in agreement from ``AGREEMENT``
+    on, no different credentials. Null rule, file, snippet or id: neither repeats nor repeated.
+    Snippets without any word are the same only if they are equal. An id met twice counts as one.
+    Empty input gives no rows. Ids must rise with the batch.
+    """
+    index = HistoryIndex(path, buckets)
+    ends = findings.agg(F.min(batch_col), F.max(batch_col)).first()
+    if rounds <= 1 or ends[0] is None or ends[1] - ends[0] + 1 < rounds:
+        return index.deduplicate(findings, id_col)
+    width = (ends[1] - ends[0] + 1) / rounds
+    bounds = [ends[0] + math.floor(k * width) for k in range(1, rounds)]
+    b, parts = F.col(batch_col), []
+    for k, low in enumerate([None, *bounds]):
+        part = F.lit(True) if low is None else b >= low
+        part = part & (b < bounds[k]) if k < len(bounds) else part | b.isNull()
+        parts.append(index.deduplicate(findings.where(part), id_col))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def repeats(findings: DataFrame, id_col: str = "finding_id") -> DataFrame:
+    """(dup_of, finding_id) over a whole history given as one batch; see :func:`replay`."""
+    return HistoryIndex(work_folder(findings.sparkSession, "history")).deduplicate(findings, id_col)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm import credentials, history, packing, provenance, sentences, terms, tokens
-from auditlake.session import table
+from auditlake.session import table, work_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -31,7 +31,8 @@ def p1_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return history.repeats(table(spark, sf_dir, "findings"))
+    """The recorded deliveries, checked as they came against an index of all before them."""
+    return history.replay(table(spark, sf_dir, "findings"), work_folder(spark, "history"))
 
 
 def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
