@@ -176,6 +176,30 @@ def secret_value(v: str, bare: bool = False) -> bool:
     return not (bare and _CODE_REF.match(v) and not re.search(r"\d", v))
 
 
+# Passwords that published lists of the commonest ones begin with, and function words of phrases.
+WEAK = frozenset(
+    "1234 12345 123456 1234567 12345678 123456789 1234567890 111111 000000 123123 654321 666666 696969 987654321 abc123 abcd abcd1234 admin admin1 admin123 administrator azerty baseball batman dragon football freedom guest hello hunter hunter2 "
+    "iloveyou jordan killer letmein login1 lovely master michael monkey mustang ninja passw0rd p@ssw0rd password1 password123 princess qazwsx qwerty qwerty123 qwertyuiop root shadow starwars sunshine superman toor trustno1 welcome welcome1 whatever zaq1zaq1 motdepasse1 passwort1".split()
+)
+_FUNCTION_WORDS = frozenset("a an and are at be can cannot does for from has have in is it least must may more most needs not of on only or required should than that the to was will with without your de la le les des du et est ne pas un une der die das ein eine ist nicht muss und zu el los las es no por para que il lo di da non".split())
+_PASSWORDS = re.compile(r"(?:password|passwd|passwort|passphrase|pass|pwd|pw|contrasena|contraseña|motdepasse|mdp|kennwort|senha|parola|wachtwoord|haslo|пароль|密码|密碼|パスワード|비밀번호)$")
+
+
+def _secret(key: str, v: str, bare: bool = False) -> bool:
+    """Is a value under a sensitive key a secret? Passwords may be weak ones of the lists, passphrases words with spaces between."""
+    if secret_value(v, bare):
+        return True
+    words = [w.lower() for w in _WORDS.findall(key)]
+    if not _PASSWORDS.search("".join(words[-4:])):
+        return False
+    if v.lower() in WEAK:
+        return True
+    if _REFERENCE.search(v) or _MASKED.search(v) or _PLACEHOLDER.search(v):
+        return False
+    parts = v.split()
+    return words[-1] in ("passphrase", "phrase") and len(parts) >= 3 and all(re.fullmatch(r"[a-zà-ÿ]{3,}|\d+", p) and p not in _FUNCTION_WORDS for p in parts)
+
+
 def _random(v: str) -> bool:
     """Letters that no word would have: long and of changing case."""
     flips = sum(a.islower() != b.islower() for a, b in zip(v, v[1:], strict=False))
@@ -268,15 +292,15 @@ def _in_line(line: str, config: bool, key_above: str | None) -> Iterator[tuple[i
         while m := pattern.search(line, at):
             place = _value(m)
             at = m.end("k") + 1
-            if place and sensitive(m["k"]) and secret_value(place[2]) and not (pattern is _PAIR and _DECLARES.search(line[: m.start()])):
+            if place and sensitive(m["k"]) and _secret(m["k"], place[2]) and not (pattern is _PAIR and _DECLARES.search(line[: m.start()])):
                 yield place[:2]
     for m in _CALL.finditer(line):
         place = _value(m)
         words = [w.lower() for w in _WORDS.findall(m["k"].rpartition(".")[2])]
-        if place and words[:1] in (["set"], ["with"], ["use"]) and sensitive(m["k"]) and secret_value(place[2]):
+        if place and words[:1] in (["set"], ["with"], ["use"]) and sensitive(m["k"]) and _secret(m["k"], place[2]):
             yield place[:2]
     for m in _XML.finditer(line):
-        if sensitive(m["k"]) and secret_value(m["v"], True):
+        if sensitive(m["k"]) and _secret(m["k"], m["v"], True):
             yield m.span("v")
     m = _BARE.match(line)
     if m and sensitive(m["k"]) and "(" not in m["v"]:
@@ -285,7 +309,7 @@ def _in_line(line: str, config: bool, key_above: str | None) -> Iterator[tuple[i
             v = v[:-1]  # more of the line follows: a statement's or a comment's separator
         dotenv = m["op"] == "=" and not m["gap"]
         mapping = m["op"] == ":" and m["gap"] and v and v[-1] not in ",;{["
-        if v and (config or dotenv or mapping) and (dotenv or v[-1] not in ",;{[") and secret_value(v, True) and re.search(r"\d|[^\w.]", v):
+        if v and (config or dotenv or mapping) and (dotenv or v[-1] not in ",;{[") and _secret(m["k"], v, True) and (re.search(r"\d|[^\w.]", v) or v.lower() in WEAK):
             yield m.start("v"), m.start("v") + len(v)
     if _COMMENT.match(line):
         for m in _PROSE.finditer(line):
@@ -406,10 +430,10 @@ def _in_config(text: str, path: str) -> Iterator[tuple[int, int]]:
     values = _json_values(text) if _JSON.search(path) else _yaml_values(text) if _YAML.search(path) else _section_values(text) if _SECTIONS.search(path) else ()
     for keys, a, b, bare in values:
         v = text[a:b]
-        if not keys or not secret_value(v, bare):
+        if not keys or not _secret(keys[-1], v, bare):
             continue
         if sensitive(keys[-1]):
-            if not bare or re.search(r"\d", v):
+            if not bare or re.search(r"\d", v) or v.lower() in WEAK:
                 yield a, b
         elif any(k == "stringData" or sensitive(k) and not re.search(r"[/@\s]", k) for k in keys[:-1]):
             words = [w.lower() for w in _WORDS.findall(keys[-1])]
@@ -417,6 +441,19 @@ def _in_config(text: str, path: str) -> Iterator[tuple[int, int]]:
                 yield a, b
 
 
+#: One line of a key block, quoted and glued or not: its own headers, or characters of base 64.
+_KEY_LINE = re.compile(r"(?:[\s\"'`+.,>*#|]|\\[nrt]|//)*(?:(?:Proc-Type|DEK-Info|Version|Comment):[^\n\\]*|[A-Za-z0-9+/]{16,}={0,2}|[A-Za-z0-9+/]+={1,2}|=[A-Za-z0-9+/]{4}|…|\.\.\.)(?=\s|\\[nrt]|[\"'`,+-]|$)")
+_KEY_END = re.compile(r"(?:[\s\"'`+.,>*#|]|\\[nrt]|//)*[A-Za-z0-9+/=]{0,80}?(?:[\s\"'`+.,>*#|]|\\[nrt])*-----END [^-\n]*-----")
+
+
+def _key_end(text: str, at: int) -> int:
+    """Where the key block whose BEGIN mark ends at ``at`` ends: behind its END mark, else with its last line of key."""
+    while m := _KEY_LINE.match(text, at):
+        at = m.end()
+    m = _KEY_END.match(text, at)
+    return m.end() if m else at
+
+
 def find_credentials(text: str | None, path: str | None = None) -> list[tuple[int, int]]:
     """Places [start, end) of the credential values of a text, in order and without overlap.
 
@@ -433,9 +470,7 @@ def find_credentials(text: str | None, path: str | None = None) -> list[tuple[in
         body = re.match(r"(?:\s|\\[nr]|[\"'`+.,\\])*(?P<b>[A-Za-z0-9+/=:\-, ]{16,})", text[m.end() : m.end() + 200])
         if body is None and m.end() < len(text) or body and (_MASKED.search(body["b"]) or len(set(body["b"])) < 8):
             continue
-        end = text.find("-----END", m.end())
-        close = text.find("-----", end + 8) if end >= 0 else -1
-        found.append((m.start(), close + 5 if close >= 0 else len(text)))
+        found.append((m.start(), _key_end(text, m.end())))
     place = (path or "").strip().replace("\\", "/")
     config = bool(_CONFIG.search(place))
     found.extend(_in_config(text, place))
