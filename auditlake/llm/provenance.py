@@ -1,16 +1,19 @@
 """Source files that nobody wrote by hand: generated, minified, vendored, data kept as code.
 
-A multi-pattern automaton finds generation notices and licence banners in one pass over a text;
-they count where a comment holds them, not where a string quotes them. Path rules know vendored
-and build directories, lock files and the suffixes of generators and minifiers. What carries
-neither is judged by its shape: minified lines, list literals that fill the file, numbered
-statements that only a program would write.
+A multi-pattern automaton finds generation notices and licence banners in one pass over a text.
+They count in comments of the header (or the last lines, where some generators sign) and only if
+they say it of the file itself: a comment that speaks of generated files is no notice. What opens
+a comment depends on the language, as the path's extension and the ``language`` column tell it.
+Path rules know vendored and build directories, lock files and the suffixes of generators and
+minifiers. What carries neither is judged by its shape: minified lines, list literals that fill
+the file, numbered statements that only a program would write.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from functools import cache
 
 import ahocorasick
 import pyarrow as pa
@@ -40,7 +43,17 @@ NOTICES = (
     "automatisch generiert",
     "généré automatiquement",
     "généré par",
-    "généré par un outil",
+    "produit par",
+    "produit automatiquement",
+    "erzeugt von",
+    "erzeugt durch",
+    "generiert von",
+    "producido por",
+    "produzido por",
+    "prodotto da",
+    "gegenereerd door",
+    "automatisch gegenereerd",
+    "produced by",
     "generado automáticamente",
     "gerado automaticamente",
     "generato automaticamente",
@@ -70,8 +83,18 @@ BUILD_PARENTS = frozenset("public static www android ios app build target packag
 LOCK_FILES = frozenset(
     "package-lock.json npm-shrinkwrap.json yarn.lock pnpm-lock.yaml pnpm-lock.yml bun.lock composer.lock gemfile.lock cargo.lock poetry.lock pipfile.lock uv.lock pdm.lock pubspec.lock go.sum mix.lock podfile.lock packages.lock.json flake.lock gradle.lockfile conda-lock.yml deno.lock".split()
 )
-_SUFFIX = re.compile(r"(?:[.\-_]min|\.bundle|\.chunk|\.packed|[.\-_]pb|_pb2(?:_grpc)?|\.gen|\.generated|\.g|\.designer|\.freezed|\.snap)\.\w+$|\.(?:map|snap)$")
-_COMMENT = re.compile(r"\s*(?://|#|/?\*|<!--|--|;|%|\"\"\"|'''|<\?php\s*(?://|/\*|#))")
+_SUFFIX = re.compile(r"[a-z]-\d+\.\d+(?:\.\d+)+\.(?:js|css|mjs)$|(?:[.\-_]min|\.bundle|\.chunk|\.packed|[.\-_]pb|_pb2(?:_grpc)?|\.gen|\.generated|\.g|\.designer|\.freezed|\.snap)\.\w+$|\.(?:map|snap)$")
+#: What opens or continues a comment, and languages and extensions in which a mark means something else.
+_MARKS = {"//": r"//", "*": r"/?\*", "#": r"#", "<!--": r"<!--", "--": r"--", ";": r";", "%": r"%", "doc": r"\"\"\"|\'\'\'", "php": r"<\?php\s*(?://|/\*|#)"}
+_OTHERWISE = {"css scss less sass": ("#", "--"), "markdown md mdx": ("#", "*", "--", ";", "%"), "c cpp h hpp csharp cs": ("#", "%", ";"), "sql": ("#",)}
+_NOT_COMMENT = {name: marks for names, marks in _OTHERWISE.items() for name in names.split()}
+#: What may stand between the mark and a notice: nothing, a warning, or the file as its subject.
+_SUBJECT = re.compile(
+    r"[\s*/#;!<%=~:.\-]*(?:(?:warning|note|attention|achtung|important)\s*[:!,-]*\s*)?"
+    r"(?:(?:this|the|all)?\s*(?:source\s+)?(?:file|code|module|class|script|document|stylesheet|content|contents)(?:\s+(?:was|were|is|are|has\s+been))?"
+    r"|(?:diese|die)\s+datei\s+(?:wurde|ist)|(?:ce|le)?\s*(?:fichier|code|module)(?:\s+(?:est|a\s+été))?|(?:este|el|o)?\s*(?:archivo|fichero|arquivo|ficheiro|código)(?:\s+(?:fue|es|ha\s+sido|foi|é))?"
+    r"|(?:questo)?\s*(?:file|codice)(?:\s+(?:è|e\'|è\s+stato))?|dit\s+bestand\s+(?:is|werd)|(?:этот\s+)?файл|(?:本|此|该)文件(?:由\S*)?|このファイルは(?:\S*)|이\s*파일은)?\s*[:,-]*\s*$"
+)
 _VERSION = re.compile(r"(?:\bv(?:ersion)?\s*|\s|@)\d+\.\d+(?:\.\d+)?")
 _OWN = ("internal licen", "all rights kept", "all rights reserved")
 
@@ -82,7 +105,8 @@ for _p in LICENCES:
     _PHRASES.add_word(_p, ("licence", len(_p)))
 _PHRASES.make_automaton()
 
-HEADER_LINES = 12
+#: Lines without blank ones at the top and at the end of a file in which a notice counts.
+HEADER_LINES, FOOTER_LINES = 12, 3
 LONG_LINE = 300
 _LIST_LINE = re.compile(r"\s*(?:[\[\]{}(),;\s]|[\"'](?:[^\"'\\\n]|\\.)*[\"']|-?\d[\w.+\-]*|null|true|false|None|True|False|nil)+\s*$")
 _DIGITS = re.compile(r"\d+")
@@ -108,25 +132,51 @@ def path_says(path: str | None) -> bool:
     return name in LOCK_FILES or bool(_SUFFIX.search(name))
 
 
-def notice_in(text: str) -> bool:
-    """A generation notice in a comment, or the banner of a third-party package at the head."""
-    low = text.lower()
-    head = -1
-    for end, (kind, size) in _PHRASES.iter(low):
-        begin = low.rfind("\n", 0, end - size + 1) + 1
-        line = low[begin : (low.find("\n", end) if low.find("\n", end) >= 0 else len(low))]
-        mark = _COMMENT.match(line)
-        if not mark:
-            continue
-        if kind == "notice":
-            quoted = low[begin : end - size + 1]
-            if not (quoted.count('"') % 2 or quoted.count("'") % 2 or quoted.count("`") % 2):
-                return True
-        else:
-            if head < 0:
-                head = len("\n".join(low.split("\n", HEADER_LINES)[:HEADER_LINES]))
-            if end <= head and _VERSION.search(low[max(0, begin - 200) : end + 40]) and not any(o in line for o in _OWN):
-                return True
+@cache
+def _comment(ext: str, language: str) -> re.Pattern:
+    """What begins a comment line: any mark but those that mean something else in the language of the extension or, without a known one, of the label."""
+    other = _NOT_COMMENT.get(ext.lower()) or _NOT_COMMENT.get(language.strip().lower(), ())
+    return re.compile(r"\s*(?:" + "|".join(p for m, p in _MARKS.items() if m not in other) + ")")
+
+
+def _margins(text: str) -> tuple[str, str]:
+    """The header and the last lines of a text, blank lines not counted."""
+    head, at, n = 0, 0, 0
+    while at < len(text) and n < HEADER_LINES:
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        n += bool(text[at:end].strip())
+        head = at = end + 1
+    tail, n = len(text), 0
+    while tail > head and n < FOOTER_LINES:
+        begin = text.rfind("\n", 0, max(0, tail - 1)) + 1
+        n += bool(text[begin:tail].strip())
+        tail = begin
+    return text[:head], text[max(head, tail) :]
+
+
+def notice_in(text: str, path: str | None = None, language: str | None = None) -> bool:
+    """A generation notice in a comment of the header or the last lines, or the banner of a third-party package at the head."""
+    comment = _comment(path.rsplit(".", 1)[-1] if path and "." in path else "", language or "")
+    for where, part in enumerate(_margins(text)):
+        low = part.lower()
+        licensed = False
+        for end, (kind, size) in _PHRASES.iter(low):
+            begin = low.rfind("\n", 0, end - size + 1) + 1
+            line = low[begin : (low.find("\n", end) if low.find("\n", end) >= 0 else len(low))]
+            mark = comment.match(line)
+            if not mark:
+                continue
+            if kind == "notice":
+                if _SUBJECT.match(low, begin + mark.end(), end - size + 1):
+                    return True
+            elif not where and not any(o in line for o in _OWN):
+                licensed = True
+        # a banner names licence and version in the comments at the head
+        if licensed and any(_VERSION.search(line) for line in low.split("\n") if comment.match(line)):
+            return True
+        if not where and low.lstrip().startswith("/*!") and _VERSION.search(low[: low.find("*/") + 1]):
+            return True
     return False
 
 
@@ -135,8 +185,6 @@ def shape_says(text: str) -> bool:
     lines = text.split("\n")
     full = [x for x in lines if x.strip()]
     size = sum(map(len, full))
-    if size < 600:
-        return False
     long = [x for x in full if len(x) > LONG_LINE]
     if long:
         mass = sum(map(len, long))
@@ -159,11 +207,11 @@ def shape_says(text: str) -> bool:
     return any(n >= 12 and n > 0.6 * len(full) and len(numbered[s]) >= 0.8 * n for s, n in count.items())
 
 
-def not_by_hand(path: str | None, text: str | None) -> bool:
+def not_by_hand(path: str | None, text: str | None, language: str | None = None) -> bool:
     """Was a file made by a program, minified, copied from a package or filled with data? Without content: no."""
     if not text or not text.strip():
         return False
-    if path_says(path) or notice_in(text) or shape_says(text):
+    if path_says(path) or notice_in(text, path, language) or shape_says(text):
         return True
     # numbered migration modules are written by the framework's command
     return bool(_MIGRATION.search((path or "").replace("\\", "/")) and "(migrations.Migration)" in text)
@@ -171,14 +219,16 @@ def not_by_hand(path: str | None, text: str | None) -> bool:
 
 def _judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        judged = [not_by_hand(p, t) for p, t in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(judged, pa.bool_())], ["_id", "_made"])
+        judged = [not_by_hand(p, t, k) for p, t, k in zip(*(batch.column(n).to_pylist() for n in range(3)), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[3:], pa.array(judged, pa.bool_())], [*batch.schema.names[3:], "_made"])
 
 
-def classify(files: DataFrame, id_col: str = "file_id", path_col: str = "relative_path", text_col: str = "content", out: str = "not_by_hand") -> DataFrame:
-    """(id, not_by_hand) of every row; null and empty contents and null paths are judged by what is left of them.
+def classify(files: DataFrame, keep: Sequence[str] = ("file_id",), path_col: str = "relative_path", text_col: str = "content", language_col: str | None = "language", out: str = "not_by_hand") -> DataFrame:
+    """The kept columns and ``not_by_hand`` of every row; null and empty contents are no case, null paths and languages are judged by what is left.
 
     One pass without a shuffle: a row's verdict depends on that row alone. Other columns are ignored.
     """
-    rows = files.select(F.col(id_col).cast("long"), path_col, text_col)
-    return rows.mapInArrow(_judge, "_id bigint, _made boolean").toDF(id_col, out)
+    language = F.col(language_col) if language_col else F.lit(None).cast("string")
+    rows = files.select(F.col(path_col).alias("_p"), F.col(text_col).alias("_t"), language.alias("_l"), *keep)
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[3:]]
+    return rows.mapInArrow(_judge, ", ".join([*kept, "_made boolean"])).withColumnRenamed("_made", out)

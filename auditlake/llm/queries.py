@@ -50,10 +50,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_hand_written(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files that remain as hand-written source, with their language and size."""
-    files = table(spark, sf_dir, "files")
-    made = provenance.classify(files).where("NOT not_by_hand").select(F.col("file_id").alias("_f"))
-    kept = files.where(F.length("content") > 0).select("file_id", "project", "relative_path", "language", "size")
-    return kept.join(made, F.col("file_id") == F.col("_f"), "left_semi")
+    files = table(spark, sf_dir, "files").where(F.length("content") > 0)
+    judged = provenance.classify(files, ("file_id", "project", "relative_path", "language", "size"))
+    return judged.where("NOT not_by_hand").drop("not_by_hand")
 
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
