@@ -134,8 +134,8 @@ def path_says(path: str | None) -> bool:
 
 @cache
 def _comment(ext: str, language: str) -> re.Pattern:
-    """What begins a comment line: any mark but those that mean something else in the language of the extension or, without a known one, of the label."""
-    other = _NOT_COMMENT.get(ext.lower()) or _NOT_COMMENT.get(language.strip().lower(), ())
+    """What begins a comment line: any mark but those that mean something else in the language: that of the extension, of the stored label only without one."""
+    other = _NOT_COMMENT.get(ext.lower() if ext else language.strip().lower(), ())
     return re.compile(r"\s*(?:" + "|".join(p for m, p in _MARKS.items() if m not in other) + ")")
 
 
