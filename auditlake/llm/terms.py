@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,22 +22,20 @@ def canonical(value: str | None) -> str | None:
     return unicodedata.normalize("NFC", value.strip().lower()) or None
 
 
-@F.arrow_udf(T.ArrayType(T.StringType()))
-def _canonical_lists(lists: pa.Array) -> pa.Array:
-    """Canonical form of each element; each distinct spelling of a batch is handled once."""
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("n", T.LongType())])))
+def _counted(lists: pa.Array) -> pa.Array:
+    """(term, n) for each distinct term of each record; each distinct spelling of a batch is handled once."""
     coded = lists.flatten().dictionary_encode()
-    forms = pa.array([canonical(v) for v in coded.dictionary.to_pylist()], pa.string())
-    counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-    offsets = pa.array([0, *counts.cumsum().tolist()], pa.int32())
-    return pa.ListArray.from_arrays(offsets, forms.take(coded.indices))
-
-
-def _counts(terms: Column) -> Column:
-    """(term, n) for each distinct term of one record."""
-    present = F.filter(terms, lambda t: t.isNotNull())
-    return F.transform(
-        F.array_distinct(present), lambda t: F.struct(t.alias("term"), F.size(F.filter(present, lambda u: u == t)).cast("long").alias("n"))
-    )
+    # codes of the canonical forms; spellings of one form share a code, null and blank have none
+    forms = pa.array([canonical(v) for v in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    code_of = np.append(forms.indices.fill_null(-1).to_numpy(zero_copy_only=False), -1).astype(np.int64)
+    codes = code_of[coded.indices.fill_null(len(coded.dictionary)).to_numpy(zero_copy_only=False)]
+    record = np.repeat(np.arange(len(lists)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    kinds = max(1, len(forms.dictionary))
+    pairs, times = np.unique((record * kinds + codes)[codes >= 0], return_counts=True)
+    offsets = np.searchsorted(pairs, np.arange(len(lists) + 1) * kinds).astype(np.int32)
+    terms = pa.StructArray.from_arrays([forms.dictionary.take(pa.array(pairs % kinds)), pa.array(times, pa.int64())], ["term", "n"])
+    return pa.ListArray.from_arrays(pa.array(offsets), terms)
 
 
 def _named(field: str, counts: Column) -> Column:
@@ -63,8 +62,8 @@ def term_stats(
     lists = [F.array(F.col(f).cast("string")) for f in scalar_fields]
     lists += [F.coalesce(F.col(f), F.array().cast("array<string>")) for f in array_fields]
     names = [*scalar_fields, *array_fields]
-    cleaned = records.select(*[_canonical_lists(c).alias(f"_f{i}") for i, c in enumerate(lists)])
-    per_record = F.concat(*[_named(n, _counts(F.col(f"_f{i}"))) for i, n in enumerate(names)])
+    cleaned = records.select(*[_counted(c).alias(f"_f{i}") for i, c in enumerate(lists)])
+    per_record = F.concat(*[_named(n, F.col(f"_f{i}")) for i, n in enumerate(names)])
     summed = cleaned.select(F.explode(per_record).alias("e")).groupBy("e.field_name", "e.term").agg(F.sum("e.n").alias("occurrences"), F.count(F.lit(1)).alias("records"))
     total = records.agg(F.count(F.lit(1)).alias("_total"))
     marked = summed.crossJoin(F.broadcast(total))

@@ -80,16 +80,14 @@ def _encode_text(ids: bool, ranks) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 
 def _cut(size: int, overlap: int):
-    """(uid, text) to overlapping chunks (uid, k, chunk)."""
+    """(uid, id, text) to overlapping chunks (uid, id, k, chunk)."""
 
     def run(batches):
         for batch in batches:
-            for uid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for i, text in enumerate(batch.column(2).to_pylist()):
                 starts = range(0, len(text), size)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([uid] * len(starts), pa.int64()), pa.array(range(len(starts)), pa.int32()), pa.array([text[s : s + size + overlap] for s in starts], pa.string())],
-                    ["_uid", "_k", "_chunk"],
-                )
+                named = batch.slice(i, 1).take(pa.array([0] * len(starts), pa.int32()))
+                yield pa.RecordBatch.from_arrays([named.column(0), named.column(1), pa.array(range(len(starts)), pa.int32()), pa.array([text[s : s + size + overlap] for s in starts], pa.string())], ["_uid", "_id", "_k", "_chunk"])
 
     return run
 
@@ -114,10 +112,11 @@ def _pretokenise(size: int, overlap: int):
 
 
 def _long_texts(long: DataFrame, ids: bool, ranks, size: int, overlap: int) -> DataFrame:
-    """(_uid, _id, _ids) of the texts of more than one chunk."""
+    """(_id, _ids) of the texts of more than one chunk; ``_uid`` tells texts of one id apart and goes with their pieces."""
     kind = _measure(ids)[0]
-    chunks = long.select("_uid", "_text").mapInArrow(_cut(size, overlap), "_uid bigint, _k int, _chunk string")
-    seen = chunks.repartition("_uid", "_k").mapInArrow(_pretokenise(size, overlap), "_uid bigint, _k int, _chunk string, _head array<bigint>, _tail array<bigint>")
+    of = f"_uid bigint, _id {long.schema['_id'].dataType.simpleString()}"
+    chunks = long.select("_uid", "_id", "_text").mapInArrow(_cut(size, overlap), f"{of}, _k int, _chunk string")
+    seen = chunks.repartition("_uid", "_k").mapInArrow(_pretokenise(size, overlap), f"{of}, _k int, _chunk string, _head array<bigint>, _tail array<bigint>")
     doc = Window.partitionBy("_uid")
     order = doc.orderBy("_k")
     stitched = (
@@ -130,13 +129,13 @@ def _long_texts(long: DataFrame, ids: bool, ranks, size: int, overlap: int) -> D
     begin = F.col("_from") - F.col("_k") * F.lit(size)
     length = F.when(F.col("_last"), F.lit(2**30)).otherwise(F.col("_to") - F.col("_from"))
     piece = F.when(F.col("_whole"), F.substring("_chunk", F.lit(1), F.lit(size))).otherwise(F.substring(F.col("_chunk"), (begin + 1).cast("int"), length.cast("int")))
-    pieces = stitched.select("_uid", "_k", "_whole", piece.alias("_piece"))
+    pieces = stitched.select("_uid", "_id", "_k", "_whole", piece.alias("_piece"))
     # A text whose chunks never meet at a common beginning (one endless run) is put together and encoded whole.
-    done = pieces.where(~F.col("_whole")).select("_uid", "_k", "_piece").mapInArrow(_encode_text(ids, ranks), f"_uid bigint, _k int, _ids {kind}")
+    done = pieces.where(~F.col("_whole")).select("_uid", "_id", "_k", "_piece").mapInArrow(_encode_text(ids, ranks), f"{of}, _k int, _ids {kind}")
     gathered = F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("_k", "_ids"))), lambda x: x["_ids"])) if ids else F.sum("_ids")
-    stitched_ids = done.groupBy("_uid").agg(gathered.alias("_ids"))
-    endless = pieces.where("_whole").groupBy("_uid").agg(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("_k", "_piece"))), lambda x: x["_piece"])).alias("_text"))
-    endless_ids = endless.mapInArrow(_encode_text(ids, ranks), f"_uid bigint, _ids {kind}")
+    stitched_ids = done.groupBy("_uid").agg(F.first("_id").alias("_id"), gathered.alias("_ids")).select("_id", "_ids")
+    endless = pieces.where("_whole").groupBy("_uid").agg(F.first("_id").alias("_id"), F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("_k", "_piece"))), lambda x: x["_piece"])).alias("_text"))
+    endless_ids = endless.select("_id", "_text").mapInArrow(_encode_text(ids, ranks), f"_id {long.schema['_id'].dataType.simpleString()}, _ids {kind}")
     return stitched_ids.unionByName(endless_ids)
 
 
@@ -164,10 +163,9 @@ def encode(
     id_type = rows.schema["_id"].dataType.simpleString()
     size = F.coalesce(F.length("_text"), F.lit(0))
     short = rows.where(size <= chunk_chars).mapInArrow(_encode_text(not count_only, ranks), f"_id {id_type}, _ids {kind}")
-    # The number is a function of the file split and the row's place in it, so a task run again gives the same.
+    # The number only tells rows apart; it travels with the row's id and pieces and is never joined to another read.
     long = rows.where(size > chunk_chars).withColumn("_uid", F.monotonically_increasing_id())
-    encoded = _long_texts(long, not count_only, ranks, chunk_chars, overlap_chars)
-    named = long.select("_uid", "_id").join(encoded, "_uid").select("_id", "_ids")
+    named = _long_texts(long, not count_only, ranks, chunk_chars, overlap_chars)
     return short.unionByName(named).select(F.col("_id").alias(id_col), F.col("_ids").alias(out))
 
 
