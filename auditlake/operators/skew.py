@@ -55,21 +55,19 @@ def eager_join_aggregate(
     )
 
 
-def key_totals(df: DataFrame, fields: Sequence[str]) -> DataFrame:
-    """Rows of the whole input for each field, nulls included: (key_field, total); one row a field."""
-    total = df.agg(F.count(F.lit(1)).alias("total"))
-    return total.select(F.explode(F.array(*[F.lit(f) for f in fields])).alias("key_field"), "total")
-
-
 def heavy_keys(df: DataFrame, fields: Sequence[str], share: float) -> DataFrame:
     """Keys that hold more than ``share`` of all rows: (key_field, key_value, n_rows, total).
 
-    The rows are pre-aggregated by key, the totals by field; the two states are joined. The
-    total side has one row a field, so it is broadcast whatever the size of the input.
+    Rows (null keys too) are aggregated to one state a key, the states to one total a field; keys
+    and totals are joined as aggregates by :func:`eager_join_aggregate`, so no row of the input is
+    ever joined. Null keys count in the total and are no key. Empty input gives no rows.
     """
-    states = key_rows(df, fields).groupBy("key_field", "key_value").agg(F.count(F.lit(1)).alias("n_rows"))
-    joined = states.join(F.broadcast(key_totals(df, fields)), "key_field")
-    return joined.where(F.col("n_rows") > F.lit(share) * F.col("total")).select("key_field", "key_value", "n_rows", "total")
+    keys = F.explode(F.array(*[F.struct(F.lit(f).alias("key_field"), F.col(f).cast("string").alias("key_value")) for f in fields]))
+    states = df.select(keys.alias("_k")).groupBy("_k.key_field", "_k.key_value").agg(F.count(F.lit(1)).alias("n"))
+    totals = states.groupBy("key_field").agg(F.sum("n").alias("total"))
+    left = states.where(F.col("key_value").isNotNull()).withColumn("_field", F.col("key_field"))
+    joined = eager_join_aggregate(left, totals, ["key_field"], ["_field", "key_value"], ["total"], {"n_rows": F.col("n")}, rows_as="_pairs")
+    return joined.where(F.col("n_rows") > F.lit(share) * F.col("total")).select(F.col("_field").alias("key_field"), "key_value", "n_rows", "total")
 
 
 def key_profile(df: DataFrame, fields: Sequence[str], time_col: str, batch_col: str) -> DataFrame:

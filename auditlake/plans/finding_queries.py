@@ -82,8 +82,8 @@ def baseline_write(spark, sf_dir):
 
 
 def diff_semijoin(spark, sf_dir):
-    changed = table(spark, sf_dir, "files").where(F.col("mtime") >= F.lit("2024-08-01").cast("timestamp")).select(F.concat_ws("/", "project", "relative_path").alias("file"))
-    return post.only_changed(_findings(spark, sf_dir), changed).groupBy("project", "severity").agg(F.count(F.lit(1)).alias("n"))
+    changed = table(spark, sf_dir, "files").where(F.col("mtime") >= F.lit("2024-08-01").cast("timestamp")).select(normal_path(F.concat_ws("/", "project", "relative_path")).alias("file"))
+    return post.only_changed(_findings(spark, sf_dir).withColumn("file", normal_path(F.col("file"))), changed).groupBy("project", "severity").agg(F.count(F.lit(1)).alias("n"))
 
 
 def catalogue_severity(spark, sf_dir):
@@ -169,7 +169,7 @@ _PLAN = f"""WITH {_F}, g AS (SELECT rule_id, arg_min_null(severity, finding_id)
  i AS (SELECT *, floor({_SEV} * log2(n + 1) * 10 + 0.5) / 10 AS impact FROM g),
  p AS (SELECT *, row_number() OVER (ORDER BY impact DESC, CASE effort WHEN 'rapide' THEN 0 WHEN 'important' THEN 2 WHEN 'long' THEN 3 ELSE 1 END, first_seen) AS priority FROM i)
  SELECT CAST(priority AS INT) AS priority, rule_id, category, severity, CASE WHEN t1 = t2 THEN t1 ELSE trim(split_part(t0, ':', 1), ' ') END AS title, effort, n, n_files, impact FROM p WHERE priority <= 12"""
-_NORM = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(regexp_replace(file, '^\s+|\s+$', '', 'g'), '\', '/'), '/+', '/', 'g'), '(^|/)(\./)+', '\1', 'g'), '[^/]+/\.\./', '', 'g'), '^/|/$', '', 'g')"""
+_NORM = norm("file")
 _CHAIN = f"""WITH {_F}, b AS (SELECT DISTINCT {_FP} AS fp FROM f WHERE batch_id <= 3),
  r AS (SELECT *, {_FP} AS fp FROM f WHERE batch_id > 3),
  o AS (SELECT * REPLACE (CASE rule_id WHEN 'QUAL-DRUM-FILTER' THEN 'info' WHEN 'DESIGN-SHADOW-STAPLE' THEN 'high' ELSE severity END AS severity) FROM r),

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from auditlake.functions.paths import normal_path
 from auditlake.operators import skew
+from auditlake.plans.dialect import norm
 from auditlake.session import table
 
 #: A key is heavy above this share of all findings.
@@ -29,9 +31,9 @@ def p3_rule_platform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_file_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings joined to every capture of their file (many to many): pairs and captured bytes per severity and language."""
-    findings = table(spark, sf_dir, "findings")
-    captures = table(spark, sf_dir, "files").select(F.concat_ws("/", "project", "relative_path").alias("file"), "language", "size")
+    """Findings joined to every capture of their file however spelled (many to many): pairs and captured bytes per severity and language."""
+    findings = table(spark, sf_dir, "findings").select(normal_path(F.col("file")).alias("file"), "severity")
+    captures = table(spark, sf_dir, "files").select(normal_path(F.concat_ws("/", "project", "relative_path")).alias("file"), "language", "size")
     return skew.eager_join_aggregate(findings, captures, ["file"], ["severity"], ["language"], sum_right={"sum_bytes": F.col("size")}, rows_as="n_pairs")
 
 
@@ -50,6 +52,6 @@ def oracle_sql() -> dict[str, str]:
             count(DISTINCT batch_id) AS n_batches FROM ({_KEYS}) GROUP BY 1, 2""",
         "p3_rule_platform": """SELECT f.severity, r.category AS rule_category, count(*) AS n_findings, CAST(sum(f.line) AS BIGINT) AS sum_line
             FROM findings f JOIN rules r ON f.rule_id = r.rule_id GROUP BY 1, 2""",
-        "p3_file_captures": """SELECT f.severity, c.language, count(*) AS n_pairs, CAST(sum(c.size) AS BIGINT) AS sum_bytes
-            FROM findings f JOIN files c ON f.file = c.project || '/' || c.relative_path GROUP BY 1, 2""",
+        "p3_file_captures": f"""SELECT f.severity, c.language, count(*) AS n_pairs, CAST(sum(c.size) AS BIGINT) AS sum_bytes
+            FROM (SELECT severity, {norm('file')} AS file FROM findings) f JOIN (SELECT language, size, {norm("project || '/' || relative_path")} AS file FROM files) c ON f.file = c.file GROUP BY 1, 2""",
     }
