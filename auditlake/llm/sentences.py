@@ -2,11 +2,12 @@
 
 A text is first cut into blocks: fenced code and heading lines are units of their own, list items
 and paragraphs (ended by blank lines) are split further. Marks that always end a sentence in their
-script do so; the period, which does not, is judged by the word before it. Known abbreviations are
-grouped by what may follow them. A short unknown word before a small letter is looked up in the
-document: if it also stands there without a period it is a word, else an abbreviation; what the
-document leaves open is taken from counts over the corpus: words that are mostly followed by
-something that begins no sentence, and small words (tool names) that begin paragraphs.
+script do so; the period, which does not, is judged by the word before it. First by the document:
+a word that stands with a period before small letters elsewhere, and never without, is an
+abbreviation, a capitalised one that only names follow a title; words capitalised in mid-sentence
+and never small are names. Where the document is silent, known abbreviations are grouped by what
+may follow them, and what is left open is taken from counts over the corpus: words that are mostly
+followed by something that begins no sentence, and small words (tool names) that begin paragraphs.
 Quotations and brackets are kept whole; text in Thai is cut at spaces between Thai letters.
 """
 
@@ -67,10 +68,20 @@ _SMALL = re.compile(r"(?<!\w)[^\W\d_]+(?!\w)")
 _MIDDLE = re.compile(r"(?<=[^\W\d_A-ZÀ-ÞΑ-ΩА-Я])[  ]([^\W\d_a-zß-ÿα-ωа-я][^\W\d_]+)(?!\w)")
 _CAPITAL = re.compile(r"[\s(\[\"“„«]*([^\W\d_]+)")
 _DOTTED = re.compile(r"(?<![^\s(\[\"“„«])([^\W\d_]{2,12})\.[  ]+(?=\S)")
+_STANDS = re.compile(r"(?<!\w)[^\W\d_]+(?![\w.])")
+_WITH_PERIOD = re.compile(r"([^\s(\[{\"“„«'’:,;/–—.-]++(?:\.[^\s(\[{\"“„«'’:,;/–—.-]++)*+)\.")
+_WHOLE_TEXT = re.compile(r"(?s).*")
+_BEFORE_WORD = " \t\r\n\x0b\x0c\xa0([{\"“„«'’:,;/–—-."
 _BARE = re.compile(r"(?<!\w)[^\W\d_]{2,12}(?![\w.])")
 #: From so many occurrences on a word is judged by the corpus; the lists stay short whatever its size.
 CORPUS_LEAST, CORPUS_SHARE = 20, 0.6
 STARTER_SHARE = 0.0005
+#: And from this share of documents on, which bounds the list by the words of a text over the share.
+ABBREVIATION_SHARE = 0.0001
+#: Counters of a task are passed on when they hold so many words.
+HELD_WORDS = 200_000
+#: So many words with a period are looked up one by one in a text; the others of it in a count of all.
+LOOKUPS = 200
 
 
 def blocks(text: str) -> Iterator[tuple[int, int, int]]:
@@ -127,23 +138,28 @@ def _intervals(text: str, s: int, e: int) -> list[tuple[int, int, str]]:
     """Quotations and brackets of a block, outermost only: (open, close, mark). Unclosed ones are no interval."""
     out = []
     at = s
+    closed: dict[int, int] | None = None
+    gone: set[str] = set()  # marks that close nothing from here on
     while m := _OPENERS.search(text, at, e):
         p, mark = m.start(), m[0]
         q = -1
         if mark == "(":
-            depth = 0
-            for b in _PAREN.finditer(text, p, e):
-                depth += 1 if b[0] == "(" else -1
-                if not depth:
-                    q = b.start()
-                    break
+            if closed is None:
+                closed = _paren_pairs(text, p, e)
+            q = closed.get(p, -1)
         elif mark == '"':
             before = text[p - 1] if p > s else " "
             after = text[p + 1] if p + 1 < e else " "
             if not after.isspace() and not (before.isalnum() and before.isascii()):
                 q = text.find('"', p + 1, e)
         else:
-            ends = [i for c in _CLOSE[mark] if (i := text.find(c, p + 1, e)) >= 0]
+            ends = []
+            for c in _CLOSE[mark]:
+                if c not in gone:
+                    if (i := text.find(c, p + 1, e)) >= 0:
+                        ends.append(i)
+                    else:
+                        gone.add(c)
             q = min(ends, default=-1)
         if q < 0:
             at = p + 1
@@ -153,13 +169,24 @@ def _intervals(text: str, s: int, e: int) -> list[tuple[int, int, str]]:
     return out
 
 
+def _paren_pairs(text: str, s: int, e: int) -> dict[int, int]:
+    """Where each round bracket that is closed closes; one pass."""
+    pairs, stack = {}, []
+    for b in _PAREN.finditer(text, s, e):
+        if b[0] == "(":
+            stack.append(b.start())
+        elif stack:
+            pairs[stack.pop()] = b.start()
+    return pairs
+
+
 class Splitter:
     """Splits texts with what the corpus says about abbreviations and small first words."""
 
     def __init__(self, abbreviations: frozenset[str] = frozenset(), starters: frozenset[str] = frozenset()):
         self.abbreviations, self.starters = abbreviations, starters
         self._seen: tuple[str | None, set[str], set[str]] = None, set(), set()
-        self._small: tuple[str | None, str] = None, ""
+        self._small: tuple[str | None, dict] = None, {}
 
     def units(self, text: str | None) -> list[tuple[int, int]]:
         """[start, end) of every unit in code points, without white space at the ends; null and blank: none."""
@@ -230,6 +257,13 @@ class Splitter:
                 before = text[max(s, at - 12) : at].split()
                 return not (before and before[-1].lower() in ORDINAL_AFTER)
             return True
+        if len(low) > 1 and low != low.upper() and kind in "Ul" and low not in CAN_END and self._again(text, low) and low in self._document(text)[0]:
+            # the document decides: an abbreviation by its other places; a name after it goes on, as does a small word
+            m = _CAPITAL.match(text, j, e)
+            if kind == "l" or m and m[1] in self._document(text)[1]:
+                return False
+            if low not in WITHIN and low not in TITLES:
+                return True
         if len(w) <= 8:
             two = low
             if len(w) == 1 and at - s >= 3 and text[at - 1].isspace() and text[at - 2] == ".":
@@ -253,13 +287,10 @@ class Splitter:
                     return kind == "U" and (len(low) > 1 or low == "n") and low not in ("fig", "ref", "réf")
             if len(w) == 1 and w.isalpha() and not (two in self.abbreviations or low in self.abbreviations):
                 return kind not in "Ul" if w.isupper() else kind in "Ucsdo" and not (kind == "U" and two != low)
-        # the document decides, the corpus only where it is silent
-        if kind in "Ul" and len(low) > 1 and low != low.upper() and self._again(text, low) and low in self._document(text)[0]:
-            m = _CAPITAL.match(text, j, e)
-            return kind == "U" and not (m and m[1] in self._document(text)[1])
+        # lists and document are silent: the corpus
         if len(w) <= 8:
             # a word also stands without a period somewhere
-            stands = kind == "l" and len(w) > 1 and w.isalpha() and re.search(r"(?<!\w)" + re.escape(w) + r"(?![\w.])", text) is not None
+            stands = kind == "l" and len(w) > 1 and w.isalpha() and w in self._of(text, _STANDS, frozenset)
             if not stands and (two in self.abbreviations or low in self.abbreviations):
                 return kind in "U"
             if kind == "l" and len(w) <= 5 and w.isalpha():
@@ -268,10 +299,27 @@ class Splitter:
 
     def _again(self, text: str, low: str) -> bool:
         """Does the word stand with a period elsewhere too? Only then can the document tell more of it."""
+        # words are looked up one by one while they are few; beyond that all are counted in one pass
+        asked = self._of(text, None, dict)
+        if low in asked:
+            return asked[low]
+        if len(asked) > LOOKUPS:
+            return self._of(text, _WITH_PERIOD, lambda found: Counter(w.lower() for w in found))[low] > 1
+        small = self._of(text, _WHOLE_TEXT, lambda found: found[0].lower())
+        mark, n, at = low + ".", 0, -1
+        while n < 2 and (at := small.find(mark, at + 1)) >= 0:
+            n += at == 0 or small[at - 1] in _BEFORE_WORD
+        asked[low] = n > 1
+        return asked[low]
+
+    def _of(self, text: str, pattern: re.Pattern | None, kept):
+        """What a document holds of a pattern, found in one pass when first asked for."""
         if self._small[0] is not text:
-            self._small = text, text.lower()
-        mark = low + "."
-        return self._small[1].find(mark) != self._small[1].rfind(mark)
+            self._small = text, {}
+        held = self._small[1]
+        if pattern not in held:
+            held[pattern] = kept(pattern.findall(text) if pattern else ())
+        return held[pattern]
 
     def _document(self, text: str) -> tuple[set[str], set[str]]:
         """(abbreviations, names) by the unambiguous places of a document.
@@ -303,7 +351,7 @@ class Splitter:
             if form in BEFORE_NAMES:
                 m = re.compile(r"\s*([^\W\d_]+)").match(text, j, e)
                 # a name (never small in this document) continues, a common word begins a sentence
-                return not m or re.search(r"(?<!\w)" + m[1].lower() + r"(?!\w)", text) is not None
+                return not m or m[1].lower() in self._of(text, _SMALL, frozenset)
             return True
         if form in ("a.m", "p.m", "etc", "usw", "ecc", "κ.λπ", "т.п", "т.д", "др"):
             return kind in "sco" and not (kind == "o" and form in ("etc", "usw", "ecc"))
@@ -471,10 +519,17 @@ def _evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for w in _FIRST.findall(text):
                 if w.islower():
                     first[w] += 1
+        if len(total) + len(within) + len(first) > HELD_WORDS:
+            yield _evidence_rows(total, within, first)
+            within, total, first = Counter(), Counter(), Counter()
+    yield _evidence_rows(total, within, first)
+
+
+def _evidence_rows(total: Counter, within: Counter, first: Counter) -> pa.RecordBatch:
     # nothing is dropped here: what a task sees of a word says nothing about the corpus
     rows = [("t", w, "", n) for w, n in total.items()] + [("w", w, x, n) for (w, x), n in within.items()] + [("f", w, "", n) for w, n in first.items()]
     kinds, words, nexts, counts = zip(*rows, strict=True) if rows else ((), (), (), ())
-    yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.string()), pa.array(nexts, pa.string()), pa.array(counts, pa.int64())], ["kind", "word", "next", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.string()), pa.array(nexts, pa.string()), pa.array(counts, pa.int64())], ["kind", "word", "next", "n"])
 
 
 def corpus_evidence(docs: DataFrame, text_col: str) -> tuple[frozenset[str], frozenset[str]]:
@@ -482,17 +537,19 @@ def corpus_evidence(docs: DataFrame, text_col: str) -> tuple[frozenset[str], fro
 
     Counts are combined in each task, then summed over the corpus; only sums are held against the
     bounds, so the number of tasks changes nothing. Only words above a fixed share of the documents
-    (first words) or met at least ``CORPUS_LEAST`` times with a period and mostly inside sentences,
-    whatever follows them, come back: short words of a few letters, a list the languages bound.
+    (first words) or met with a period at least ``CORPUS_LEAST`` times, once in every ten thousand
+    texts, and mostly inside sentences, whatever follows them, come back. Both bounds grow with the
+    corpus, so the lists don't: they hold at most a text's mean number of such words over the share.
     """
     texts = docs.where(F.length(text_col) > 0).select(text_col)
     found = texts.mapInArrow(_evidence, "kind string, word string, next string, n bigint")
     counts = checkpointed(found.groupBy("kind", "word", "next").agg(F.sum("n").alias("n")))
-    least = max(3.0, STARTER_SHARE * texts.count())
+    n_texts = texts.count()
+    least = max(3.0, STARTER_SHARE * n_texts)
     first = counts.where((F.col("kind") == "f") & (F.col("n") >= least)).select(F.col("word").alias("next"))
     met = counts.where("kind <> 'f'").join(first, "next", "left_anti")
     sums = met.groupBy("word").agg(F.sum(F.expr("if(kind = 't', n, 0)")).alias("total"), F.sum(F.expr("if(kind = 'w', n, 0)")).alias("inside"))
-    mostly = sums.where((F.col("total") >= CORPUS_LEAST) & (F.col("inside") >= CORPUS_SHARE * F.col("total")))
+    mostly = sums.where((F.col("total") >= max(CORPUS_LEAST, ABBREVIATION_SHARE * n_texts)) & (F.col("inside") >= CORPUS_SHARE * F.col("total")))
     return frozenset(r["word"] for r in mostly.select("word").collect()), frozenset(r["next"] for r in first.collect())
 
 

@@ -2,6 +2,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from auditlake.llm import sentences
 from auditlake.llm.sentences import Splitter, corpus_evidence, split
 
 S = Splitter(frozenset({"sog"}), frozenset({"npm"}))
@@ -106,3 +107,23 @@ def test_corpus_only_where_the_document_is_silent():
     cut = lambda t: [t[a:b] for a, b in s.units(t)]
     assert cut("A zkr. word here.") == ["A zkr. word here."]
     assert cut("The zkr ended. A zkr. word here.") == ["The zkr ended.", "A zkr.", "word here."]
+
+
+def test_open_brackets_quotes_and_many_periods_stay_linear():
+    import time
+
+    splitter = sentences.Splitter()
+    began = time.perf_counter()
+    for text in ("a (b " * 8_000, '"x “y ' * 8_000, " ".join(f"ab{chr(97 + k % 26)}{chr(97 + k // 26 % 26)}. foo" for k in range(8_000))):
+        assert splitter.units(text)
+    assert time.perf_counter() - began < 5
+
+
+def test_corpus_counts_do_not_depend_on_the_partitions(spark):
+    docs = spark.createDataFrame([(i, "We see Xyzq. foo bar. The end.") for i in range(60)], "doc_id long, text string")
+    assert [sentences.corpus_evidence(docs.repartition(n), "text") for n in (1, 7)] == [sentences.corpus_evidence(docs.coalesce(1), "text")] * 2
+    held, sentences.HELD_WORDS = sentences.HELD_WORDS, 1
+    try:
+        assert sentences.corpus_evidence(docs, "text") == sentences.corpus_evidence(docs.coalesce(1), "text")
+    finally:
+        sentences.HELD_WORDS = held
