@@ -436,7 +436,7 @@ class Splitter:
         if c in "!?":
             if after.isalpha() or after in _OPEN_MARKS or _HAS_EMOJI.match(after):
                 token = _SPACE.split(text[j : j + 40], maxsplit=1)[0]
-                word = text[max(s, i - 40) : i].rsplit(None, 1)[-1] if i > s else ""
+                word = (text[max(s, i - 40) : i].rsplit(None, 1) or [""])[-1]
                 if "=" in token or "&" in token or "://" in word:
                     return None
                 return j

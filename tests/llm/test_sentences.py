@@ -127,3 +127,7 @@ def test_corpus_counts_do_not_depend_on_the_partitions(spark):
         assert sentences.corpus_evidence(docs, "text") == sentences.corpus_evidence(docs.coalesce(1), "text")
     finally:
         sentences.HELD_WORDS = held
+
+
+def test_marks_behind_white_space_alone():
+    assert sentences.Splitter().units(" ?B") == [(1, 2), (2, 3)]
