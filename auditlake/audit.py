@@ -151,7 +151,7 @@ def audit(tables: Tables, baseline: DataFrame | None = None, changed: DataFrame
     described = tables.described
     rows = files.lines(scan.sources(described).where(F.col("content").contains("audit-ignore")), "file_id", "content", "project", "file")
     # the branches of all analyzers are evaluated once; scores, plan and order read the judged rows
-    judged = post.filter_chain(findings(tables), tables.config, tables.platforms, post.comment_silence(rows), baseline).persist()
+    judged = checkpointed(post.filter_chain(findings(tables), tables.config, tables.platforms, post.comment_silence(rows), baseline))
     counted = described
     if changed is not None:
         judged = post.only_changed(judged, changed)

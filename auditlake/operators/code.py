@@ -199,21 +199,6 @@ def imports(files: DataFrame) -> DataFrame:
     return rows.mapInArrow(_imports, "project string, file string, type string, source string, name string, binding string, line int")
 
 
-def import_edges(imports_: DataFrame, files: DataFrame) -> DataFrame:
-    """(project, importer, target, name): relative and module imports resolved against the project's files, first candidate first."""
-    base = paths.directory(F.col("file"))
-    relative = F.when(F.col("source").startswith("."), paths.normal_path(F.concat(base, F.lit("/"), F.col("source"))))
-    # python: dots become steps, leading dots climb from the importer's folder
-    module = F.replace(F.regexp_replace("source", r"^\.+", ""), F.lit("."), F.lit("/"))
-    target = F.when(F.col("type").isin("from", "import") & ~F.col("source").contains("/"), F.when(F.col("source").startswith("."), paths.normal_path(F.concat(base, F.lit("/"), module))).otherwise(module)).otherwise(F.coalesce(relative, F.regexp_replace("source", r"^(?:@|~|src)/", "src/")))
-    endings = ["", ".js", ".ts", ".tsx", ".jsx", ".mjs", ".vue", ".py", ".php", ".dart", ".rb", "/index.js", "/index.ts", "/index.tsx", "/__init__.py"]
-    tries = imports_.withColumn("_t", target).where(F.col("_t").isNotNull() & (F.col("_t") != "")).select("project", F.col("file").alias("importer"), "name", "line", "source", "_t")
-    candidates = tries.select("project", "importer", "name", "line", "source", F.posexplode(F.transform(F.array(*[F.lit(e) for e in endings]), lambda e: F.concat("_t", e))).alias("_o", "_c"))
-    known = files.select(F.col("project").alias("_p"), F.col("file").alias("_f"))
-    hits = candidates.join(known, (F.col("project") == F.col("_p")) & (F.col("_c") == F.col("_f")))
-    return hits.groupBy("project", "importer", "source", "name", "line").agg(F.min_by("_f", "_o").alias("target"))
-
-
 _DECLARATIONS = {
     "js": r"^[ \t]*(?P<e>export\s+(?:default\s+)?)?(?:async\s+)?(?P<k>function\*?|class|const|let|var|interface|type|enum)\s+(?P<n>[A-Za-z_$][\w$]*)",
     "python": r"^(?P<i>[ \t]*)(?:async\s+)?(?P<k>def|class)\s+(?P<n>\w+)",

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from auditlake.config import Config
 from auditlake.schema import fingerprint, rank, severity_of
+from auditlake.session import checkpointed
 
 #: Rules that make sense on the web only, by prefix; kept where platforms are unknown.
 WEB_ONLY = ("SEO-", "CRAWL-", "A11Y-NO-SKIP-LINK", "ROUTE-UPPERCASE", "ROUTE-UNDERSCORE", "ROUTE-TOO-DEEP", "PERF-BLOCKING-SCRIPT", "PERF-TOO-MANY-CSS", "PERF-NO-PRECONNECT", "PERF-FONT", "UX-NO-AUTOCOMPLETE", "DESIGN-NO-BREAKPOINTS", "DESIGN-FIXED-WIDTH")
@@ -47,13 +48,15 @@ def filter_chain(findings: DataFrame, config: Config, platforms: DataFrame | Non
     ``platforms``: (project, platform); ``silenced``: see :func:`comment_silence`; ``baseline``:
     (fingerprint). Empty inputs are fine.
     """
-    rows = findings.withColumn("fingerprint", fingerprint()).withColumn("_n", F.monotonically_increasing_id())
+    # numbered and written once: the number tells copies apart in both reads below
+    rows = checkpointed(findings.withColumn("fingerprint", fingerprint()).withColumn("_n", F.monotonically_increasing_id()))
     if silenced is not None:
-        s = silenced.select(F.col("project").alias("_sp"), F.col("file").alias("_sf"), F.col("line").alias("_sl"), F.col("rules").alias("_sr"))
-        hit = rows.join(s, (F.col("project") == F.col("_sp")) & (F.col("file") == F.col("_sf")) & (F.col("line") == F.col("_sl")) & F.col("rule_id").startswith(F.col("_sr"))).select(F.col("_n").alias("_hit")).distinct()
-        rows = rows.join(hit, F.col("_n") == F.col("_hit"), "left")
+        # one row a line with all that its directives name; they are the few a programmer writes there
+        s = silenced.groupBy(F.col("project").alias("_sp"), F.col("file").alias("_sf"), F.col("line").alias("_sl")).agg(F.collect_set("rules").alias("_sr"))
+        rows = rows.join(s, (F.col("project") == F.col("_sp")) & (F.col("file") == F.col("_sf")) & (F.col("line") == F.col("_sl")), "left")
+        rows = rows.withColumn("_hit", F.when(F.exists("_sr", lambda r: F.col("rule_id").startswith(r)), F.lit(True))).drop("_sp", "_sf", "_sl", "_sr")
     else:
-        rows = rows.withColumn("_hit", F.lit(None).cast("long"))
+        rows = rows.withColumn("_hit", F.lit(None).cast("boolean"))
     if platforms is not None:
         # one row a project, so the join keeps the number of findings
         p = platforms.where(F.col("platform").isNotNull()).groupBy(F.col("project").alias("_pp")).agg(F.max((F.col("platform") == "web").cast("int")).alias("_web"))
@@ -85,9 +88,10 @@ def filter_chain(findings: DataFrame, config: Config, platforms: DataFrame | Non
         .when(F.col("_known").isNotNull(), "baseline")
     )
     judged = rows.withColumn("reason", reason)
-    # copies: the first of each identity stays; only kept rows compete
-    same = Window.partitionBy("fingerprint", "line", F.col("reason").isNull()).orderBy("_n")
-    return judged.withColumn("reason", F.when(F.col("reason").isNull() & (F.row_number().over(same) > 1), "duplicate").otherwise(F.col("reason"))).drop("_n", "_hit", "_web", "_known")
+    # copies: the first of each identity stays; firsts are combined before the shuffle, so no identity fills a task
+    first = judged.where(F.col("reason").isNull()).groupBy(F.col("fingerprint").alias("_fp"), F.col("line").alias("_ln")).agg(F.min("_n").alias("_first"))
+    told = judged.join(first, (F.col("fingerprint") == F.col("_fp")) & F.col("line").eqNullSafe(F.col("_ln")), "left")
+    return told.withColumn("reason", F.when(F.col("reason").isNull() & (F.col("_n") > F.col("_first")), "duplicate").otherwise(F.col("reason"))).drop("_n", "_hit", "_web", "_known", "_fp", "_ln", "_first")
 
 
 def kept(judged: DataFrame) -> DataFrame:

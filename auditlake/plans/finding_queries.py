@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.config import CATEGORIES, Config
-from auditlake.functions.paths import ancestors, normal_path
+from auditlake.functions.paths import normal_path
 from auditlake.operators import post, score
+from auditlake.plans.dialect import norm
 from auditlake.schema import fingerprint, rank
-from auditlake.session import table
+from auditlake.session import table, work_folder
+from auditlake.sources import histories
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,7 +68,10 @@ def filter_chain(spark, sf_dir):
     rows = _findings(spark, sf_dir)
     baseline = rows.where("batch_id <= 3").select(fingerprint().alias("fingerprint"))
     later = rows.where("batch_id > 3").select("finding_id", "project", "rule_id", "category", "severity", "file", "line", "snippet")
-    judged = post.filter_chain(later, CHAIN, baseline=baseline)
+    platforms = table(spark, sf_dir, "projects").select("project", "platform")
+    # directives: every line of a file that a finding of the first batch names with a low severity silences its rule there
+    silenced = rows.where("batch_id = 1 AND severity = 'low' AND line IS NOT NULL").select("project", "file", "line", F.col("rule_id").alias("rules"))
+    judged = post.filter_chain(later, CHAIN, platforms, silenced, baseline)
     return judged.groupBy("severity", F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -77,8 +82,10 @@ def baseline_antijoin(spark, sf_dir):
 
 
 def baseline_write(spark, sf_dir):
-    """The sorted distinct fingerprints that a baseline file holds."""
-    return _findings(spark, sf_dir).select(fingerprint().alias("fingerprint")).distinct().orderBy("fingerprint")
+    """The sorted distinct fingerprints of a baseline, written to its file and read from there."""
+    place = work_folder(spark, "baseline")
+    histories.write_baseline(_findings(spark, sf_dir).select(fingerprint().alias("fingerprint")), place)
+    return histories.read_baseline(spark, place)
 
 
 def diff_semijoin(spark, sf_dir):
@@ -112,24 +119,23 @@ def severity_deltas(spark, sf_dir):
 
 
 def leaks_by_fingerprint(spark, sf_dir):
-    """Security statements over all batches: first and last sighting and the files that held them."""
+    """Security statements over all batches: first and last sighting and how many files held them."""
     rows = _findings(spark, sf_dir).where("category = 'security' AND snippet IS NOT NULL")
-    key = F.substring(F.sha1(F.trim("snippet")), 1, 12)
-    return rows.groupBy(key.alias("fingerprint")).agg(
-        F.min_by("batch_id", "finding_id").alias("first_batch"), F.max_by("batch_id", "finding_id").alias("last_batch"), F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("file")), ",").alias("files")
-    )
+    added = rows.select(F.substring(F.sha1(F.trim("snippet")), 1, 12).alias("fingerprint"), F.lit("statement").alias("kind"), F.col("batch_id").alias("commit"), F.col("finding_id").alias("date"), "file", "severity", F.lit(None).cast("string").alias("redacted"))
+    return histories.leaks(added).select("fingerprint", F.col("first_commit").alias("first_batch"), F.col("last_commit").alias("last_batch"), F.col("commits").alias("batches"), "n", "n_files", "first_file")
 
 
 def longest_prefix(spark, sf_dir):
     """Each finding's file in the deepest directory that is a perimeter: paths explode into ancestors, an equi join finds the longest."""
-    file = normal_path(F.col("file"))
-    rows = _findings(spark, sf_dir).where("file IS NOT NULL").select(file.alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("n"))
+    rows = _findings(spark, sf_dir).where("file IS NOT NULL").groupBy(normal_path(F.col("file")).alias("file")).agg(F.count(F.lit(1)).alias("n"))
     depth2 = F.regexp_extract(F.concat_ws("/", "project", "relative_path"), r"^([^/]+/[^/]+)/", 1)
     files = table(spark, sf_dir, "files")
-    perimeters = files.select(F.col("project").alias("perimeter")).union(files.select(depth2)).where("perimeter <> ''").distinct()
-    up = rows.select("file", "n", F.explode(ancestors(F.col("file"))).alias("_a")).where("_a <> ''")
-    best = up.join(perimeters, F.col("_a") == F.col("perimeter")).groupBy("file").agg(F.max("n").alias("n"), F.max_by("perimeter", F.length("perimeter")).alias("perimeter"))
-    return best.groupBy("perimeter").agg(F.sum("n").alias("findings"), F.count(F.lit(1)).alias("files"))
+    perimeters = files.select(F.col("project").alias("path")).union(files.select(depth2)).where("path <> ''").distinct()
+    # one space of paths holds all projects here
+    from auditlake.audit import attributed
+
+    best = attributed(rows.select(F.lit("").alias("project"), "file"), perimeters.select(F.lit("").alias("project"), "path"))
+    return rows.join(best, "file").groupBy(F.col("path").alias("perimeter")).agg(F.sum("n").alias("findings"), F.count(F.lit(1)).alias("files"))
 
 
 def path_normalise(spark, sf_dir):
@@ -173,11 +179,15 @@ _NORM = norm("file")
 _CHAIN = f"""WITH {_F}, b AS (SELECT DISTINCT {_FP} AS fp FROM f WHERE batch_id <= 3),
  r AS (SELECT *, {_FP} AS fp FROM f WHERE batch_id > 3),
  o AS (SELECT * REPLACE (CASE rule_id WHEN 'QUAL-DRUM-FILTER' THEN 'info' WHEN 'DESIGN-SHADOW-STAPLE' THEN 'high' ELSE severity END AS severity) FROM r),
+ s AS (SELECT DISTINCT project, file, line, rule_id FROM f WHERE batch_id = 1 AND severity = 'low' AND line IS NOT NULL),
+ p AS (SELECT project, max(CASE WHEN platform = 'web' THEN 1 ELSE 0 END) AS web FROM projects WHERE platform IS NOT NULL GROUP BY 1),
  j AS (SELECT o.*, CASE
+   WHEN EXISTS (SELECT 1 FROM s WHERE s.project = o.project AND s.file = o.file AND s.line = o.line AND starts_with(o.rule_id, s.rule_id)) THEN 'comment'
    WHEN category NOT IN ('security', 'routes', 'deadcode', 'design', 'performance', 'quality', 'dependencies') THEN 'category'
+   WHEN p.web = 0 AND ({" OR ".join(f"starts_with(rule_id, '{w}')" for w in post.WEB_ONLY)}) THEN 'domain'
    WHEN starts_with(rule_id, 'DEAD-M') OR starts_with(rule_id, 'ROUTE-LADDER-LEMON') THEN 'disabled'
    WHEN rule_id = 'SEC-LOBBY-PULLEY' OR coalesce(rule_id = 'QUAL-CYCLE-TOWER' AND file = 'tallow-shop/public/styles/site.css', false) THEN 'configured'
-   WHEN {_RANK.format("severity")} > 3 THEN 'severity' WHEN b.fp IS NOT NULL THEN 'baseline' END AS reason FROM o LEFT JOIN b ON o.fp = b.fp),
+   WHEN {_RANK.format("severity")} > 3 THEN 'severity' WHEN b.fp IS NOT NULL THEN 'baseline' END AS reason FROM o LEFT JOIN b ON o.fp = b.fp LEFT JOIN p ON o.project = p.project),
  d AS (SELECT severity, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY fp, line, reason IS NULL ORDER BY finding_id) > 1 THEN 'duplicate' ELSE coalesce(reason, 'kept') END AS reason FROM j)
  SELECT severity, reason, count(*) AS n FROM d GROUP BY 1, 2"""
 
@@ -194,15 +204,15 @@ def oracle_sql() -> dict[str, str]:
         "filter_chain": _CHAIN,
         "baseline_antijoin": f"SELECT finding_id, {_FP} AS fingerprint, rule_id FROM findings WHERE batch_id > 6 AND {_FP} NOT IN (SELECT {_FP} FROM findings WHERE batch_id <= 6)",
         "baseline_write": f"SELECT DISTINCT {_FP} AS fingerprint FROM findings ORDER BY 1",
-        "diff_semijoin": "SELECT project, severity, count(*) AS n FROM findings WHERE file IN (SELECT project || '/' || relative_path FROM files WHERE mtime >= TIMESTAMP '2024-08-01') GROUP BY 1, 2",
+        "diff_semijoin": f"SELECT project, severity, count(*) AS n FROM findings WHERE {_NORM} IN (SELECT {norm("project || '/' || relative_path")} FROM files WHERE mtime >= TIMESTAMP '2024-08-01') GROUP BY 1, 2",
         "catalogue_severity": f"""SELECT CASE WHEN r.rule_id IS NULL THEN 'unknown rule' WHEN {_RANK.format("f.severity")} < {_RANK.format("r.severity")} THEN 'raised' WHEN {_RANK.format("f.severity")} > {_RANK.format("r.severity")} THEN 'lowered' ELSE 'equal' END AS kind,
             f.severity, count(*) AS n FROM findings f LEFT JOIN rules r ON f.rule_id = r.rule_id GROUP BY 1, 2""",
         "rules_never_fired": "SELECT rule_id, category FROM rules WHERE rule_id NOT IN (SELECT rule_id FROM findings WHERE rule_id IS NOT NULL)",
         "history_delta": "WITH c AS (SELECT project, batch_id, count(*) AS n FROM findings GROUP BY 1, 2) SELECT *, lag(n) OVER (PARTITION BY project ORDER BY batch_id) AS previous, n - lag(n) OVER (PARTITION BY project ORDER BY batch_id) AS delta FROM c",
         "severity_deltas": """WITH a AS (SELECT rule_id, count(*) AS n FROM findings WHERE batch_id = 1 GROUP BY 1), b AS (SELECT rule_id, count(*) AS n FROM findings WHERE batch_id = 2 GROUP BY 1)
             SELECT coalesce(a.rule_id, b.rule_id) AS rule_id, coalesce(a.n, 0) AS before, coalesce(b.n, 0) AS after, coalesce(b.n, 0) - coalesce(a.n, 0) AS delta FROM a FULL OUTER JOIN b ON a.rule_id = b.rule_id""",
-        "leaks_by_fingerprint": f"""WITH {_F} SELECT substr(sha1(trim(snippet, ' ')), 1, 12) AS fingerprint, arg_min(batch_id, finding_id) AS first_batch, arg_max(batch_id, finding_id) AS last_batch, count(*) AS n,
-            coalesce(array_to_string(list_sort(list(DISTINCT file) FILTER (file IS NOT NULL)), ','), '') AS files FROM f WHERE category = 'security' AND snippet IS NOT NULL GROUP BY 1""",
+        "leaks_by_fingerprint": f"""WITH {_F} SELECT substr(sha1(trim(snippet, ' ')), 1, 12) AS fingerprint, arg_min(batch_id, finding_id) AS first_batch, arg_max(batch_id, finding_id) AS last_batch, count(DISTINCT batch_id) AS batches, count(*) AS n,
+            count(DISTINCT file) AS n_files, min(file) AS first_file FROM f WHERE category = 'security' AND snippet IS NOT NULL GROUP BY 1""",
         "longest_prefix": f"""WITH r AS (SELECT {_NORM} AS file, count(*) AS n FROM findings WHERE file IS NOT NULL GROUP BY 1),
             p AS (SELECT DISTINCT project AS perimeter FROM files UNION SELECT DISTINCT regexp_extract(project || '/' || relative_path, '^([^/]+/[^/]+)/', 1) FROM files),
             m AS (SELECT r.file, r.n, arg_max(perimeter, length(perimeter)) AS perimeter FROM r JOIN p ON perimeter <> '' AND starts_with(r.file, perimeter || '/') GROUP BY 1, 2)

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from auditlake.functions import color, paths, text, versions
 from auditlake.operators import code, files, fixes, markup
+from auditlake.operators import imports as imports_of
+from auditlake.operators.ranking import upper_median
 from auditlake.rules import dependencies, pages, scan, structure, styles
 from auditlake.schema import union
 from auditlake.session import table
@@ -139,7 +141,7 @@ def imports(spark, sf_dir):
 
 def import_edges(spark, sf_dir):
     described = _files(spark, sf_dir)
-    return code.import_edges(code.imports(described), described)
+    return imports_of.edges(code.imports(described), described)
 
 
 def declarations(spark, sf_dir):
@@ -323,16 +325,7 @@ def edit_fold(spark, sf_dir):
 
 def median_upper(spark, sf_dir):
     """The upper median of event values by type, without interpolation."""
-    rows = table(spark, sf_dir, "events").where("value IS NOT NULL")
-    # exact at any size: ranks by type come from slices of value ranges, no group is gathered in one task
-    cut = rows.select("event_type", "value", F.floor("value").alias("_b"))
-    counts = cut.groupBy("event_type", "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = F.coalesce(F.sum("_n").over(Window.partitionBy("event_type").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    total = F.sum("_n").over(Window.partitionBy("event_type"))
-    spot = counts.withColumn("_first", before).withColumn("_k", F.floor(total / 2)).where((F.col("_k") >= F.col("_first")) & (F.col("_k") < F.col("_first") + F.col("_n"))).select(F.col("event_type").alias("_e"), F.col("_b").alias("_bb"), (F.col("_k") - F.col("_first")).alias("_at"))
-    inside = cut.join(spot, (F.col("event_type") == F.col("_e")) & (F.col("_b") == F.col("_bb")))
-    place = F.row_number().over(Window.partitionBy("event_type").orderBy("value")) - 1
-    return inside.withColumn("_p", place).where(F.col("_p") == F.col("_at")).select("event_type", F.col("value").alias("median"))
+    return upper_median(table(spark, sf_dir, "events"), "event_type", "value")
 
 
 def slow_events(spark, sf_dir):
@@ -341,17 +334,6 @@ def slow_events(spark, sf_dir):
     return worst.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "slow", "worst", "n")
 
 
-def import_reach(spark, sf_dir):
-    """Nations reached from each region in the star schema: a recursion bounded in depth."""
-    region, nation = table(spark, sf_dir, "region"), table(spark, sf_dir, "nation")
-    level = region.select(F.concat(F.lit("r"), F.col("r_regionkey")).alias("root"), F.concat(F.lit("r"), F.col("r_regionkey")).alias("node"), F.lit(0).alias("depth"))
-    customers = table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
-    edges = nation.select(F.concat(F.lit("r"), F.col("n_regionkey")).alias("a"), F.concat(F.lit("n"), F.col("n_nationkey")).alias("b"))
-    step = level.join(edges, F.col("node") == F.col("a")).select("root", F.col("b").alias("node"), (F.col("depth") + 1).alias("depth"))
-    sized = step.join(customers, F.col("node") == F.concat(F.lit("n"), F.col("c_nationkey")), "left")
-    return sized.groupBy("root").agg(F.max("depth").alias("depth"), F.count(F.lit(1)).alias("nodes"), F.sum("n").alias("customers"))
-
-
 def _tables(spark, sf_dir):
     from auditlake.audit import Tables
 
@@ -390,7 +372,7 @@ def queries():
     names = (
         file_stack, language_stack, source_lines, debt_markers, nesting_depth, duplicate_blocks, comment_runs, commented_code, unreachable_code, token_index, identifier_index, http_urls, express_routes, routes_by_decorator, route_groups, routes, route_match, js_imports, imports, import_edges, declarations, function_units,
         html_elements, visible_words, page_rules, style_rules, style_declarations, pattern_rules, secret_scan, hex_secrets, quality_rules, deadcode_rules, route_rules, project_rules, frameworks, platforms, dependency_rules, lock_packages, resolved_packages, unpinned, advisory_range_join, semver_compare,
-        cvss_scores, contrast_matrix, url_normalise, glob_filter, edit_plan, edit_fold, median_upper, slow_events, import_reach, priority_rollup, audit_findings, audit_scores, file_perimeters,
+        cvss_scores, contrast_matrix, url_normalise, glob_filter, edit_plan, edit_fold, median_upper, slow_events, priority_rollup, audit_findings, audit_scores, file_perimeters,
     )
     return {f.__name__: f for f in names}
 
@@ -486,7 +468,5 @@ def oracle_sql() -> dict[str, str]:
         "glob_filter": f"SELECT project, count(*) AS n, count(*) FILTER (CASE {globs} ELSE false END) AS ignored FROM files WHERE relative_path IS NOT NULL GROUP BY 1",
         "median_upper": "SELECT event_type, list_sort(list(value))[CAST(floor(count(value) / 2) AS BIGINT) + 1] AS median FROM events WHERE value IS NOT NULL GROUP BY 1",
         "slow_events": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) FILTER (value > 80) AS slow, max(value) AS worst, count(*) AS n FROM events GROUP BY 1",
-        "import_reach": """WITH RECURSIVE e AS (SELECT 'r' || n_regionkey AS a, 'n' || n_nationkey AS b FROM nation), t AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node, 0 AS depth FROM region UNION ALL SELECT t.root, e.b, t.depth + 1 FROM t JOIN e ON t.node = e.a WHERE t.depth < 8),
-            c AS (SELECT 'n' || c_nationkey AS node, count(*) AS n FROM customer GROUP BY 1) SELECT root, CAST(max(depth) AS INT) AS depth, count(*) AS nodes, CAST(sum(n) AS BIGINT) AS customers FROM t LEFT JOIN c USING (node) WHERE depth > 0 GROUP BY 1""",
         "priority_rollup": "SELECT o_orderpriority, l_returnflag, CAST(grouping(o_orderpriority, l_returnflag) AS BIGINT) AS grain, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ROLLUP (o_orderpriority, l_returnflag)",
     }

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.functions import paths
+from auditlake.operators.ranking import upper_median
 from auditlake.schema import check, emit, union
 
 PAGE = (
@@ -154,10 +155,9 @@ def external_findings(checks: DataFrame) -> DataFrame:
 
 def crawl_summary(pages: DataFrame) -> DataFrame:
     """Pages, failures, redirects and the upper median of the time to the first byte, per project."""
-    sorted_ = F.array_sort(F.collect_list("ttfb"))
-    return pages.groupBy("project").agg(
-        F.count(F.lit(1)).alias("pages"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("failed"), F.count_if(F.size("redirects") > 0).alias("redirected"), F.get(sorted_, F.floor(F.size(sorted_) / 2).cast("int")).alias("median_ttfb"), F.max("depth").alias("depth")
-    )
+    counts = pages.groupBy("project").agg(F.count(F.lit(1)).alias("pages"), F.count_if(~F.coalesce("ok", F.lit(False))).alias("failed"), F.count_if(F.size("redirects") > 0).alias("redirected"), F.max("depth").alias("depth"))
+    middle = upper_median(pages, "project", "ttfb").select(F.col("project").alias("_p"), F.col("median").alias("median_ttfb"))
+    return counts.join(middle, F.col("project") == F.col("_p"), "left").select("project", "pages", "failed", "redirected", "median_ttfb", "depth")
 
 
 def outbound_domains(pages: DataFrame) -> DataFrame:

@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from auditlake.config import Config
 from auditlake.functions import languages, paths
 from auditlake.functions.text import invalid_yaml_escape
-from auditlake.operators import code
+from auditlake.operators import code, zones
+from auditlake.operators import imports as imports_of
 from auditlake.operators.files import lines as lines_of
+from auditlake.operators.stack import COVERED, detect_frameworks, detect_platforms, modern_jsx, mount_includes, served_routes  # noqa: F401
 from auditlake.schema import check, emit, union
 
 SOURCE_FAMILIES = ("js", "python", "php", "ruby", "jvm", "go", "dart", "dotnet", "swift", "rust")
@@ -43,7 +45,9 @@ def quality_findings(files: DataFrame, config: Config | None = None) -> DataFram
     rows = lines_of(sources, "file_id", "content", "project", "file", "family")
     deep = rows.where(F.trim("text") != "").groupBy("project", "file").agg(F.max(F.struct(F.floor(F.col("indent") / F.when(F.col("family") == "python", 4).otherwise(2)).cast("int").alias("depth"), (-F.col("line")).alias("_l"))).alias("_d"))
     nesting = emit(deep.select("project", "file", (-F.col("_d._l")).alias("line"), F.col("_d.depth").alias("depth")), [check("QUAL-DEEP-NESTING", "low", F.col("depth") >= 7, F.format_string("%d levels", F.col("depth")), "Code nested too deeply")], "quality")
-    blocks = code.duplicate_blocks(rows, q.duplication_min_lines, by=("project", "file")).select("first.project", "first.file", "first.line", "n_files", "n_places")
+    # literal blocks and style sheets repeat by nature
+    told = rows.join(zones.skipped_lines(sources), ["project", "file", "line"], "left_anti")
+    blocks = code.duplicate_blocks(told, q.duplication_min_lines, by=("project", "file")).select("first.project", "first.file", "first.line", "n_files", "n_places")
     copies = emit(blocks, [check("QUAL-DUPLICATION", F.when(F.col("n_files") > 1, "low").otherwise("info"), F.lit(True), F.format_string("%d places in %d files", F.col("n_places"), F.col("n_files")), "Duplicated code")], "quality", effort="important")
     yaml = lines_of(files.where((F.col("language") == "yaml") & F.col("content").isNotNull()), "file_id", "content", "project", "file").where(F.col("text").contains("\\") & ~F.trim("text").startswith("#"))
     escapes = emit(yaml.where(invalid_yaml_escape(F.col("text"))).withColumn("snippet", F.trim("text")), [check("QUAL-YAML-ECHAPPEMENT-INVALIDE", "high", F.lit(True), "Escape that YAML doesn't know", confidence="certain")], "quality", effort="rapide")
@@ -70,12 +74,13 @@ def deadcode_findings(files: DataFrame) -> DataFrame:
     """Files nobody imports, exports and imports nobody uses, code that can't run, commented code, assets nobody names."""
     sources = _sources(files)
     imports = code.imports(sources).persist()
-    edges = code.import_edges(imports, sources).persist()
+    edges = imports_of.followed(imports_of.edges(imports, files.select("project", "file", "name", "content")))
     per_name = code.identifier_counts(sources).persist()
     index = code.inverted(per_name)
     per_file = sources.where(F.col("family").isin("js", "python", "dart", "php", "ruby") & ~F.col("is_test") & ~F.col("file").rlike(ENTRY) & ~F.col("file").rlike(PLATFORM_OVERLAY) & (F.size(F.split("content", "\n")) >= 3))
     targets = edges.select(F.col("project").alias("_p"), F.col("target").alias("_t")).distinct()
-    unreached = per_file.join(targets, (F.col("project") == F.col("_p")) & (F.col("file") == F.col("_t")), "left_anti").select("project", "file")
+    loaded = imports_of.loaded_targets(files).select(F.col("project").alias("_p"), F.col("target").alias("_t"))
+    unreached = per_file.join(targets.unionByName(loaded).distinct(), (F.col("project") == F.col("_p")) & (F.col("file") == F.col("_t")), "left_anti").select("project", "file")
     # a file may also be named as a string: its path without ending, looked up among the path-like words of the project
     words = sources.select("project", F.col("file").alias("_in"), F.explode(F.regexp_extract_all("content", F.lit(r"[\w./-]*\w/[\w./-]+"), F.lit(0))).alias("w"))
     named = words.select(F.col("project").alias("_p"), F.regexp_replace(F.regexp_replace("w", r"^\W+", ""), r"\.\w+$", "").alias("_w")).distinct()
@@ -92,7 +97,10 @@ def deadcode_findings(files: DataFrame) -> DataFrame:
     counts = index.select(F.col("project").alias("_p"), F.col("name").alias("_n"), F.col("n").alias("_k"), F.col("n_files").alias("_f"), F.col("file").alias("_t"))
     hidden = declared.where(~F.col("exported") & ~F.col("decorated") & (F.length("name") >= 3) & ~F.col("name").rlike(r"^(_|test)") & ~F.col("name").isin(*CONVENTIONAL))
     locals_ = emit(hidden.join(counts.where("_k = 1"), same & (F.col("name") == F.col("_n")), "left_semi").withColumn("snippet", F.col("name")), [check("DEAD-LOCAL", "low", F.lit(True), F.concat(F.lit("Nobody uses "), F.col("name")), "Declaration nobody uses", confidence="tentative")], "deadcode", effort="rapide")
-    bound = imports.where((F.col("binding") != "") & ~F.col("type").isin("reexport", "reexport-all", "use", "include", "require") & (F.col("source") != "__future__") & ~F.col("binding").isin("React", "*") & ~F.col("file").rlike(r"(^|/)(index|__init__)\.\w+$") & (F.length("binding") > 1))
+    bound = imports.where((F.col("binding") != "") & ~F.col("type").isin("reexport", "reexport-all", "use", "include", "require") & (F.col("source") != "__future__") & ~F.col("binding").isin("*") & ~F.col("file").rlike(r"(^|/)(index|__init__)\.\w+$") & (F.length("binding") > 1))
+    # before the automatic transform every component needs the name in scope
+    plain_jsx = bound.where("binding = 'React'").join(modern_jsx(files), "project", "left_anti").select("project", "file", "binding")
+    bound = bound.join(plain_jsx, ["project", "file", "binding"], "left_anti")
     again = per_name.where("n > 1").select(F.col("project").alias("_p"), F.col("file").alias("_t"), F.col("name").alias("_n"))
     typed = per_name.where("name = 'TYPE_CHECKING'").select(F.col("project").alias("_p"), F.col("file").alias("_t"))
     once = bound.join(again, same & (F.col("binding") == F.col("_n")), "left_anti").join(typed, same, "left_anti")
@@ -176,26 +184,6 @@ def named_route_findings(files: DataFrame) -> DataFrame:
     return union([unknown_names(django, declared, "DJANGO-URL-UNKNOWN"), unknown_names(other, declared)])
 
 
-def mount_includes(mounts: DataFrame, children: DataFrame, depth: int = 8) -> DataFrame:
-    """Patterns of included route files with the prefixes of the files that include them, through at most ``depth`` levels.
-
-    ``mounts``: (project, module, prefix, included); ``children``: (project, module, pattern). The
-    result has (project, module, pattern) of children as the roots serve them.
-    """
-    included = mounts.select(F.col("project").alias("_p"), F.col("included").alias("_m"), "prefix", F.col("module").alias("_by"))
-    current = children.select("project", "module", "pattern", F.lit(0).alias("level"))
-    out = []
-    for _ in range(depth):
-        up = current.join(included, (F.col("project") == F.col("_p")) & (F.col("module") == F.col("_m")), "left")
-        out.append(up.where(F.col("_p").isNull()).select("project", "module", paths.normal_route(F.col("pattern")).alias("pattern")))
-        current = up.where(F.col("_p").isNotNull()).select("project", F.col("_by").alias("module"), F.concat(F.regexp_replace("prefix", "/+$", ""), F.lit("/"), F.regexp_replace("pattern", "^/+", "")).alias("pattern"), (F.col("level") + 1).alias("level"))
-    out.append(current.select("project", "module", paths.normal_route(F.col("pattern")).alias("pattern")))
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
-    return result
-
-
 def project_facts(files: DataFrame) -> DataFrame:
     """One row a project with what project rules ask."""
     f, name = F.col("file"), F.lower("name")
@@ -316,38 +304,6 @@ def asset_findings(files: DataFrame, config: Config | None = None) -> DataFrame:
     )
 
 
-#: Frameworks by package name, and packages that prove them, in order of trust.
-FRAMEWORK_PACKAGES = "next nuxt gatsby astro @remix-run/react @sveltejs/kit svelte react react-dom react-native expo vue @angular/core express fastify koa @nestjs/core electron @tauri-apps/api @ionic/core @capacitor/core solid-js preact ember-source".split()
-#: Platforms of frameworks.
-PLATFORM_OF = {"react-native": "mobile", "expo": "mobile", "flutter": "mobile", "@ionic/core": "mobile", "@capacitor/core": "mobile", "electron": "desktop", "@tauri-apps/api": "desktop", "express": "api", "fastify": "api", "koa": "api", "@nestjs/core": "api", "flask": "web", "django": "web", "fastapi": "api", "rails": "web", "laravel": "web", "spring": "api"}
-COVERED = frozenset("next nuxt astro @sveltejs/kit react react-native expo @angular/core express electron @tauri-apps/api flask django fastapi rails laravel spring flutter vue svelte".split())
-
-
-def detect_frameworks(files: DataFrame) -> DataFrame:
-    """(project, framework, proof): packages of manifests first, then signatures of files; the first proof counts."""
-    manifests = files.where((F.col("name") == "package.json") & ~F.col("file").contains("node_modules"))
-    wanted = F.array(*[F.lit(p) for p in FRAMEWORK_PACKAGES])
-    packages = manifests.select("project", "file", F.explode(F.filter(wanted, lambda p: F.col("content").contains(F.concat(F.lit('"'), p, F.lit('":'))))).alias("framework"), F.lit(0).alias("_o"))
-    signatures = (
-        ("django", F.col("content").rlike(r"(?m)^\s*(?:from|import)\s+django\b")), ("flask", F.col("content").rlike(r"(?m)^\s*(?:from|import)\s+flask\b")), ("fastapi", F.col("content").rlike(r"(?m)^\s*(?:from|import)\s+fastapi\b")),
-        ("rails", (F.col("family") == "ruby") & F.col("content").rlike(r"ApplicationController|Rails\.application")), ("laravel", (F.col("family") == "php") & F.col("content").rlike(r"Illuminate\\|Route::(?:get|post)")),
-        ("spring", (F.col("family") == "jvm") & F.col("content").contains("org.springframework")), ("flutter", (F.col("name") == "pubspec.yaml") & F.col("content").contains("flutter:")),
-    )
-    found = F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in signatures])
-    proofs = files.where(F.col("content").isNotNull() & ~F.col("is_vendored")).select("project", "file", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("framework"), F.lit(1).alias("_o"))
-    return packages.unionByName(proofs).groupBy("project", "framework").agg(F.min_by("file", F.struct("_o", "file")).alias("proof"))
-
-
-def detect_platforms(frameworks: DataFrame, files: DataFrame) -> DataFrame:
-    """(project, platform): those of frameworks, web for pages, 'inconnu' where nothing tells."""
-    table = F.create_map(*[F.lit(x) for kv in PLATFORM_OF.items() for x in kv])
-    told = frameworks.select("project", F.coalesce(F.element_at(table, F.col("framework")), F.lit("web")).alias("platform"))
-    pages = files.where(F.col("content").rlike(r"(?i)<html\b|<!doctype html") & ~F.col("is_vendored")).select("project", F.lit("web").alias("platform"))
-    known = told.unionByName(pages).distinct()
-    unknown = files.select("project").distinct().join(known.select("project").distinct(), "project", "left_anti").select("project", F.lit("inconnu").alias("platform"))
-    return known.unionByName(unknown)
-
-
 def coverage_gaps(frameworks: DataFrame) -> DataFrame:
     """Frameworks in use that no rules of their own look at."""
     rows = frameworks.where(~F.col("framework").isin(*COVERED)).withColumn("file", F.col("proof"))
