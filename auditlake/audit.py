@@ -162,7 +162,7 @@ def audit(tables: Tables, baseline: DataFrame | None = None, changed: DataFrame
 
 # Manifests that mark a sub-project, and folders that never are one.
 MANIFESTS = ("package.json", "composer.json", "pyproject.toml", "requirements.txt", "pubspec.yaml", "pom.xml", "build.gradle", "build.gradle.kts", "go.mod", "Cargo.toml", "Gemfile")
-NO_PERIMETER = r"(^|/)(node_modules|vendor|android|ios|macos|windows|linux|web|tests?|spec|fixtures|examples?|templates?)(/|$)"
+NO_PERIMETER = r"(^|/)(node_modules|vendor|tests?|spec|fixtures|examples?|templates?)(/|$)|(^|/)(?<!(apps|packages|services|modules|projects|libs)/)(android|ios|macos|windows|linux|web)(/|$)"
 
 
 def perimeters(described: DataFrame) -> DataFrame:
@@ -177,7 +177,11 @@ def attributed(described: DataFrame, perimeters_: DataFrame) -> DataFrame:
     return up.join(p, (F.col("project") == F.col("_p")) & (F.col("_a") == F.col("path"))).groupBy("project", "file").agg(F.max_by("path", F.length("path")).alias("path"))
 
 
-def is_monorepo(perimeters_: DataFrame) -> DataFrame:
-    """(project, n, monorepo): two sub-projects or more below the root."""
+def is_monorepo(perimeters_: DataFrame, described: DataFrame | None = None) -> DataFrame:
+    """(project, n, monorepo): two sub-projects or more below the root, or one and a declaration of workspaces."""
     below = perimeters_.groupBy("project").agg(F.count_if(F.col("path") != "").alias("n"))
-    return below.withColumn("monorepo", F.col("n") >= 2)
+    if described is None:
+        return below.withColumn("monorepo", F.col("n") >= 2)
+    says = (F.col("file") == "package.json") & F.col("content").rlike(r'"workspaces"\s*:') | F.col("file").isin("pnpm-workspace.yaml", "lerna.json", "nx.json", "turbo.json", "melos.yaml") | (F.col("file") == "Cargo.toml") & F.col("content").contains("[workspace]")
+    declared = described.where(says).select(F.col("project").alias("_p")).distinct()
+    return below.join(declared, F.col("project") == F.col("_p"), "left").select("project", "n", ((F.col("n") >= 2) | (F.col("n") == 1) & F.col("_p").isNotNull()).alias("monorepo"))

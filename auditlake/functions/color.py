@@ -80,7 +80,7 @@ def on_white(c: Column) -> Column:
 
     def mixed(x: Column) -> Column:
         mix = lambda n: F.floor(x[n] * x["a"] + 255 * (1 - x["a"]) + 0.5).cast("double")
-        return F.when(x["a"] >= 1, x).otherwise(F.struct(mix("r").alias("r"), mix("g").alias("g"), mix("b").alias("b"), F.lit(1.0).alias("a")))
+        return F.when(x["a"] >= 1, x).when(x["a"].isNotNull(), F.struct(mix("r").alias("r"), mix("g").alias("g"), mix("b").alias("b"), F.lit(1.0).alias("a")))
 
     return let(c, mixed)
 
@@ -99,7 +99,7 @@ def contrast(a: Column, b: Column) -> Column:
 
 
 def wcag_level(ratio: Column) -> Column:
-    return F.when(ratio >= 7, "AAA").when(ratio >= 4.5, "AA").when(ratio >= 3, "AA large").otherwise("fail")
+    return F.when(ratio >= 7, "AAA").when(ratio >= 4.5, "AA").when(ratio >= 3, "AA large").when(ratio.isNotNull(), "fail")
 
 
 def to_hex(c: Column) -> Column:

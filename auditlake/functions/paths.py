@@ -94,5 +94,5 @@ def file_route(path: Column) -> Column:
     p = F.regexp_replace(path, r"\.[^./]+$", "")
     p = F.regexp_replace(p, r"(^|/)\([^)]*\)(?=/|$)", "$1")
     p = F.regexp_replace(p, r"(^|/)(?:index|page|\+page)$", "$1")
-    p = F.regexp_replace(F.regexp_replace(p, r"\[\[?\.\.\.[^\]]*\]?\]", "*"), r"\[([^\]]+)\]", ":$1")
+    p = F.regexp_replace(F.regexp_replace(p, r"\[\[?\.\.\.[^\]]*\]?\]", "*"), r"\[\[?([^\[\]]+)\]?\]", ":$1")
     return normal_route(p)

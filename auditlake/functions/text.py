@@ -93,3 +93,14 @@ def invalid_yaml_escape(line: Column) -> Column:
     """Does a double-quoted scalar of a line hold an escape that YAML doesn't know?"""
     scalars = F.regexp_extract_all(line, F.lit(r'"((?:[^"\\]|\\.)*)"'), F.lit(1))
     return F.exists(scalars, lambda s: F.exists(F.regexp_extract_all(s, F.lit(r"\\(.)"), F.lit(1)), lambda e: ~e.rlike(r'[0abt\tnvfre "/\\N_LPxuU]')))
+
+
+def duration(seconds: Column) -> Column:
+    """A time span in words, in its largest unit: ``3 days``; under a minute it is ``now``."""
+    out = F.when(seconds < 60, F.lit("now"))
+    for low, unit in ((3600, 60), (86_400, 3600), (604_800, 86_400), (2_592_000, 604_800), (31_536_000, 2_592_000)):
+        name = {60: "minute", 3600: "hour", 86_400: "day", 604_800: "week", 2_592_000: "month"}[unit]
+        n = F.floor(seconds / unit)
+        out = out.when(seconds < low, F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s")))
+    n = F.floor(seconds / 31_536_000)
+    return out.when(seconds.isNotNull(), F.concat(n.cast("string"), F.lit(" year"), F.when(n == 1, "").otherwise("s")))

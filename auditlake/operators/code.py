@@ -178,6 +178,8 @@ def extract_imports(text: str, family: str) -> Iterator[tuple[str, str, str, str
                     names = [("*", clause.strip())]
                 for name, local in names:
                     yield kind, source, name, local, line
+            elif family == "dart":
+                yield kind, source, "*", "", line
             else:
                 last = re.split(r"[./\\]", source)[-1]
                 yield kind, source, last, last, line
@@ -211,6 +213,8 @@ _DECLARATIONS = {
     "swift": r"^[ \t]*(?P<e>public\s+|open\s+)?(?:(?:private|final|static|fileprivate|internal)\s+)*(?P<k>func|class|struct|enum|protocol)\s+(?P<n>\w+)",
 }
 _DECLARATION_RE = {family: re.compile(p, re.M) for family, p in _DECLARATIONS.items()}
+#: Names exported apart from their declaration.
+_LISTED = re.compile(r"^[ \t]*export\s*\{([^}]*)\}(?!\s*from)|\bmodule\.exports\s*=\s*\{?([^};\n]*)", re.M)
 DECLARATION_SCHEMA = pa.schema([("project", pa.string()), ("file", pa.string()), ("name", pa.string()), ("kind", pa.string()), ("line", pa.int32()), ("exported", pa.bool_()), ("decorated", pa.bool_())])
 
 
@@ -221,7 +225,7 @@ def extract_declarations(text: str, family: str) -> Iterator[tuple[str, str, int
         return
     clean = mask(text, family)
     lines = clean.split("\n")
-    listed = set(re.findall(r"[\w$]+", " ".join(re.findall(r"^\s*export\s*\{([^}]*)\}(?!\s*from)|module\.exports\s*=\s*\{?([^};]*)", clean, re.M)[0]))) if family == "js" and ("export {" in clean or "module.exports" in clean) else set()
+    listed = set(re.findall(r"[\w$]+", " ".join(m[1] or m[2] or "" for m in _LISTED.finditer(clean)))) if family == "js" else set()
     seen = set()
     for m in pattern.finditer(clean):
         name, groups = m["n"], m.groupdict()
@@ -299,9 +303,10 @@ def extract_routes(text: str, family: str, path: str = "") -> Iterator[tuple[str
             method = groups.get("m")
             method = _METHODLESS.get(method, (method or ("GET" if kind == "server" else "PAGE")).upper())
             raw = groups.get("p") or ""
+            mounts = framework == "django" and text[m.end() : m.end() + 40].lstrip().startswith("include")
             if framework in ("spring", "nestjs") and prefix:
                 raw = prefix + "/" + raw.strip("/")
-            yield framework, kind, method, raw, text.count("\n", 0, m.start() + len(m[0]) - len(m[0].lstrip())) + 1
+            yield framework, "mount" if mounts else kind, method, raw, text.count("\n", 0, m.start() + len(m[0]) - len(m[0].lstrip())) + 1
 
 
 def _routes(batches):

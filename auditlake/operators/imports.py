@@ -7,12 +7,16 @@ pass through files which only hand them on are followed to where they are declar
 
 from __future__ import annotations
 
+import posixpath
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import paths
+from auditlake.operators.mask import batches_of
 from auditlake.session import checkpointed
 
 #: What a name without an ending may end in, by preference.
@@ -42,6 +46,55 @@ def _prefixes(source: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(steps)), lambda n: F.array_join(F.slice(steps, F.lit(1), n), "/"))
 
 
+def places(file: str, kind: str, source: str, name: str) -> list[str]:
+    """The paths without ending that an import may mean, in order, but for declared packages."""
+    base = posixpath.dirname(file)
+    near = lambda p: posixpath.normpath(posixpath.join(base, p)).removeprefix("./")
+    if file.endswith(".py"):
+        if "/" in source:
+            return []
+        dots = len(source) - len(source.lstrip("."))
+        module = source.lstrip(".").replace(".", "/")
+        member = posixpath.join(module, name) if name != "*" else None  # a name may be a module itself
+        if dots:
+            up = "/".join([".."] * (dots - 1)) or "."
+            return [near(posixpath.join(up, p)) for p in (member, module or ".") if p is not None]
+        return [p for p in (member, module, f"src/{module}") if p]
+    if source.startswith("."):
+        return [near(source)]
+    if source[:2] in ("@/", "~/"):
+        return [f"src/{source[2:]}", source[2:]]
+    if file.endswith((".java", ".kt", ".scala", ".groovy")):
+        dotted = source.replace(".", "/").removesuffix("/*")
+        return [f"src/main/java/{dotted}", f"src/main/kotlin/{dotted}", dotted]
+    if file.endswith((".rb", ".php", ".dart")) and "\\" not in source:
+        return [near(source), source]
+    return [] if source[0] in "@~" else [source]
+
+
+def _packed(source: str, prefix: str, folder: str) -> list[str]:
+    """The paths inside a declared package, name space or alias."""
+    rest = source.replace("\\", "/")[len(prefix) :]
+    tries = [folder + rest, f"{folder}/src{rest}", *([f"{folder}/src/index", f"{folder}/index"] if not rest else [])]
+    return [posixpath.normpath(t).lstrip("/") for t in tries]
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows():
+        for batch in batches:
+            for project, file, kind, source, name, line, prefix, folder in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tries = [(i, t) for i, t in enumerate(places(file, kind, source, name))] if prefix is None else [(-len(prefix), t) for t in _packed(source, prefix, folder or "")]
+                for o, t in tries:
+                    if t and not t.startswith("../"):
+                        for e, ending in enumerate(ENDINGS):
+                            yield [project, file, kind, source, name, line, o, e, "__init__.py" if t == "." and ending == "/__init__.py" else t + ending]
+
+    yield from batches_of(rows(), CANDIDATE)
+
+
+CANDIDATE = pa.schema([("project", pa.string()), ("file", pa.string()), ("type", pa.string()), ("source", pa.string()), ("name", pa.string()), ("line", pa.int32()), ("_o", pa.int32()), ("_e", pa.int32()), ("_c", pa.string())])
+
+
 def edges(imports_: DataFrame, files: DataFrame) -> DataFrame:
     """(project, importer, source, name, line, target): each import against the project's files, the first candidate that exists.
 
@@ -49,40 +102,12 @@ def edges(imports_: DataFrame, files: DataFrame) -> DataFrame:
     and ``~/`` below ``src``, then the name as a path or module from the roots. Names that lead out
     of the project have no edge. Empty inputs give none.
     """
-    base = paths.directory(F.col("file"))
     rows = imports_.where(F.length("source") > 0).select("project", "file", "type", "source", "name", "line").distinct()
-    python = F.col("type").isin("from", "import") & ~F.col("source").contains("/") & F.col("file").endswith(".py")
-    dots = F.length(F.regexp_extract("source", r"^(\.*)", 1))
-    climbed = F.concat(base, F.repeat(F.lit("/.."), F.greatest(dots - 1, F.lit(0))))
-    module = F.replace(F.regexp_replace("source", r"^\.+", ""), F.lit("."), F.lit("/"))
-    member = F.when(F.col("name") != "*", F.concat_ws("/", module, "name"))  # a name may be a module itself
-    dotted = F.regexp_replace(F.replace("source", F.lit("."), F.lit("/")), r"/\*$", "")
-    jvm = F.col("file").rlike(r"\.(java|kt|scala|groovy)$")
-    near = lambda p: paths.normal_path(F.concat_ws("/", base, p))
-    direct = F.array(
-        F.when(python & (dots > 0), paths.normal_path(F.concat_ws("/", climbed, module))),
-        F.when(python & (dots > 0), paths.normal_path(F.concat_ws("/", climbed, member))),
-        F.when(~python & F.col("source").startswith("."), near(F.col("source"))),
-        F.when(F.col("type").isin("require", "include", "import") & ~F.col("source").startswith(".") & F.col("file").rlike(r"\.(rb|php|dart)$"), near(F.col("source"))),
-        F.when(~python & F.col("source").rlike("^[@~]/"), F.concat(F.lit("src/"), F.substring("source", 3, 4096))),
-        F.when(~python & F.col("source").rlike("^[@~]/"), F.substring("source", 3, 4096)),
-        F.when(python & (dots == 0), module),
-        F.when(python & (dots == 0), member),
-        F.when(python & (dots == 0), F.concat(F.lit("src/"), module)),
-        F.when(jvm, F.concat(F.lit("src/main/java/"), dotted)),
-        F.when(jvm, F.concat(F.lit("src/main/kotlin/"), dotted)),
-        F.when(jvm, dotted),
-        F.when(~python & ~jvm & ~F.col("source").rlike(r"^[.@~]"), F.col("source")),
-    )
-    told = rows.select("*", F.posexplode(direct).alias("_o", "_t")).where(F.length("_t") > 0)
     known = packages(files).select(F.col("project").alias("_p"), F.replace("prefix", F.lit("\\"), F.lit("/")).alias("_x"), "folder")
     looked = rows.where(~F.col("source").startswith(".")).select("*", F.explode(_prefixes(F.col("source"))).alias("_k"))
-    under = looked.join(known, (F.col("project") == F.col("_p")) & (F.col("_k") == F.col("_x")))
-    rest = F.substring(F.replace("source", F.lit("\\"), F.lit("/")), F.length("_k") + 1, F.lit(4096))
-    inside = F.explode(F.array(F.concat("folder", rest), F.concat("folder", F.lit("/src"), rest), F.when(rest == "", F.concat("folder", F.lit("/src/index"))), F.when(rest == "", F.concat("folder", F.lit("/index")))))
-    packed = under.select(*rows.columns, (-F.length("_k")).alias("_o"), inside.alias("_t")).where(F.length("_t") > 0).withColumn("_t", paths.normal_path(F.col("_t")))
-    tries = told.unionByName(packed)
-    candidates = tries.select("*", F.posexplode(F.transform(F.array(*[F.lit(e) for e in ENDINGS]), lambda e: F.concat("_t", e))).alias("_e", "_c"))
+    under = looked.join(known, (F.col("project") == F.col("_p")) & (F.col("_k") == F.col("_x"))).select(*rows.columns, F.col("_k").alias("prefix"), "folder")
+    tries = rows.select("*", F.lit(None).cast("string").alias("prefix"), F.lit(None).cast("string").alias("folder")).unionByName(under)
+    candidates = tries.mapInArrow(_candidates, "project string, file string, type string, source string, name string, line int, _o int, _e int, _c string")
     have = files.select(F.col("project").alias("_p"), F.col("file").alias("_f"))
     hits = candidates.join(have, (F.col("project") == F.col("_p")) & (F.col("_c") == F.col("_f")) & (F.col("file") != F.col("_f")))
     return hits.groupBy("project", F.col("file").alias("importer"), "type", "source", "name", "line").agg(F.min_by("_f", F.struct("_o", "_e", "_f")).alias("target"))
@@ -95,9 +120,14 @@ def followed(edges_: DataFrame) -> DataFrame:
     most :data:`HANDS` levels; each level is one join on (project, file).
     """
     hands = edges_.where(F.col("type").isin("reexport", "reexport-all")).select(F.col("project").alias("_p"), F.col("importer").alias("_by"), F.when(F.col("type") == "reexport", F.col("name")).alias("_n"), F.col("target").alias("_to")).distinct()
+    hands = checkpointed(hands)
+    own = hands.where(F.col("_n").isNotNull()).select(F.col("_p").alias("_op"), F.col("_by").alias("_oby"), F.col("_n").alias("_on")).distinct()
     current = checkpointed(edges_.select("project", "importer", "name", "target").distinct())
-    for _ in range(HANDS):
-        step = current.join(hands, (F.col("project") == F.col("_p")) & (F.col("target") == F.col("_by")) & (F.col("_n").isNull() | (F.col("_n") == F.col("name"))) & (F.col("_to") != F.col("importer"))).select("project", "importer", "name", F.col("_to").alias("target"))
+    for _ in range(HANDS if not hands.isEmpty() else 0):
+        met = current.join(hands, (F.col("project") == F.col("_p")) & (F.col("target") == F.col("_by")) & (F.col("_n").isNull() | (F.col("_n") == F.col("name"))) & (F.col("_to") != F.col("importer")))
+        # a name that the file hands on by itself does not come through its stars
+        apart = met.join(own, (F.col("project") == F.col("_op")) & (F.col("_by") == F.col("_oby")) & (F.col("name") == F.col("_on")), "left").where(F.col("_n").isNotNull() | F.col("_on").isNull())
+        step = apart.select("project", "importer", "name", F.col("_to").alias("target"))
         more = checkpointed(step.distinct().join(current, ["project", "importer", "name", "target"], "left_anti"))
         if more.isEmpty():
             break
@@ -133,7 +163,7 @@ def loaded_targets(files: DataFrame) -> DataFrame:
     worker = code.select("project", folder.alias("_d"), F.explode(F.regexp_extract_all("content", F.lit(r"""(?:serviceWorker\s*\.\s*register|new\s+(?:Shared)?Worker|importScripts)\s*\(\s*(?:new\s+URL\s*\(\s*)?["'`]([^"'`:?#]+)"""), F.lit(1))).alias("_t"), F.lit("worker").alias("proof"))
     told = reduce(DataFrame.unionByName, [manifest, script, importmap, worker]).where(F.length("_t") > 0)
     bare = F.regexp_replace("_t", "^/+", "")
-    tries = F.array(F.when(~F.col("_t").startswith("/"), paths.normal_path(F.concat_ws("/", "_d", "_t"))), bare, F.concat(F.lit("public/"), bare), F.concat(F.lit("static/"), bare), F.concat(F.lit("src/"), bare))
+    tries = F.array(paths.normal_path(F.concat_ws("/", "_d", "_t")), bare, F.concat(F.lit("public/"), bare), F.concat(F.lit("static/"), bare), F.concat(F.lit("src/"), bare))
     ends = F.array(*[F.lit(e) for e in ("", ".js", ".ts", "/index.js")])
     candidates = told.select("project", "proof", F.explode(F.flatten(F.transform(F.filter(tries, lambda t: t.isNotNull()), lambda t: F.transform(ends, lambda e: F.concat(t, e))))).alias("_c")).distinct()
     have = files.select(F.col("project").alias("_p"), F.col("file").alias("target"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import paths
+from auditlake.session import checkpointed
 
 # Frameworks by npm package with their platforms; a package of several platforms has several rows.
 NPM = {
@@ -76,6 +77,9 @@ def detect_platforms(frameworks: DataFrame, files: DataFrame) -> DataFrame:
     seen = told.where(F.col("platform").isNotNull()).unionByName(pages).groupBy("project", "platform").agg(F.max("_proper").alias("_proper"))
     native = seen.where("platform IN ('mobile', 'desktop')").select(F.col("project").alias("_p")).distinct()
     known = seen.join(native, F.col("project") == F.col("_p"), "left").where((F.col("platform") != "web") | F.col("_p").isNull() | F.col("_proper")).select("project", "platform")
+    # a script is what is left when nothing else tells
+    alone = known.groupBy(F.col("project").alias("_q")).agg(F.count(F.lit(1)).alias("_n"))
+    known = known.join(alone, F.col("project") == F.col("_q")).where("platform <> 'script' OR _n = 1").select("project", "platform")
     unknown = files.select("project").distinct().join(known.select("project").distinct(), "project", "left_anti").select("project", F.lit("inconnu").alias("platform"))
     return known.unionByName(unknown)
 
@@ -121,8 +125,7 @@ def served_routes(routes: DataFrame, files: DataFrame, depth: int = 8) -> DataFr
     # a module's path is a suffix of its file's: ancestors turned round make that an equi join
     tails = files.where(F.col("name").endswith(".py")).select(F.col("project").alias("_p"), F.col("file").alias("included"), F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("file", "/"))), lambda n: F.array_join(F.slice(F.split("file", "/"), -n, n), "/"))).alias("_tail"))
     mounts = named.join(tails, (F.col("project") == F.col("_p")) & (F.col("_inc") == F.col("_tail"))).groupBy("project", "module", "prefix", "_inc").agg(F.min_by("included", F.struct(F.length("included"), "included")).alias("included"))
-    mounted = mounts.select("project", F.concat("module", F.lit("\n"), "prefix").alias("_m"))
-    own = routes.where("framework = 'django'").withColumn("_m", F.concat("file", F.lit("\n"), "raw")).join(mounted, ["project", "_m"], "left_anti")
+    own = routes.where("framework = 'django' AND kind <> 'mount'")
     served = mount_includes(mounts, own.select("project", F.col("file").alias("module"), F.col("raw").alias("pattern"), F.col("file").alias("origin")), depth)
     other = routes.where("framework <> 'django'").select("project", "file", "pattern")
     return served.select("project", F.col("origin").alias("file"), "pattern").unionByName(other).distinct()
@@ -138,14 +141,13 @@ def mount_includes(mounts: DataFrame, children: DataFrame, depth: int = 8) -> Da
     if "origin" not in children.columns:
         children = children.withColumn("origin", F.col("module"))
     included = mounts.select(F.col("project").alias("_p"), F.col("included").alias("_m"), "prefix", F.col("module").alias("_by"))
-    current = children.select("project", "module", "pattern", "origin", F.lit(0).alias("level"))
-    out = []
+    current = children.select("project", "module", "pattern", "origin")
+    served = []
     for _ in range(depth):
-        up = current.join(included, (F.col("project") == F.col("_p")) & (F.col("module") == F.col("_m")), "left")
-        out.append(up.where(F.col("_p").isNull()).select("project", "module", paths.normal_route(F.col("pattern")).alias("pattern"), "origin"))
-        current = up.where(F.col("_p").isNotNull()).select("project", F.col("_by").alias("module"), F.concat(F.regexp_replace("prefix", "/+$", ""), F.lit("/"), F.regexp_replace("pattern", "^/+", "")).alias("pattern"), "origin", (F.col("level") + 1).alias("level"))
-    out.append(current.select("project", "module", paths.normal_route(F.col("pattern")).alias("pattern"), "origin"))
-    result = out[0]
-    for part in out[1:]:
-        result = result.unionByName(part)
-    return result
+        up = checkpointed(current.join(included, (F.col("project") == F.col("_p")) & (F.col("module") == F.col("_m")), "left"))
+        served.append(up.where(F.col("_p").isNull()).select("project", "module", "pattern", "origin"))
+        current = up.where(F.col("_p").isNotNull()).select("project", F.col("_by").alias("module"), F.concat(F.regexp_replace("prefix", "/+$", ""), F.lit("/"), F.regexp_replace("pattern", "^/+", "")).alias("pattern"), "origin")
+        if current.isEmpty():
+            break
+    whole = reduce(DataFrame.unionByName, [*served, current])
+    return whole.withColumn("pattern", paths.normal_route(F.col("pattern")))

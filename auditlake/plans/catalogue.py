@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from auditlake.plans import finding_queries, skew_queries, source_queries
+from auditlake.plans import finding_queries, planted_cases, skew_queries, source_queries
 
-MODULES = (finding_queries, skew_queries, source_queries)
+MODULES = (finding_queries, skew_queries, source_queries, planted_cases)
 FLAGSHIP = "pattern_rules"
 
 

@@ -57,13 +57,6 @@ def duplicate_blocks(spark, sf_dir):
     return blocks.select("hash", "n_files", "n_places", "first.file_id", "first.line")
 
 
-def comment_runs(spark, sf_dir):
-    """Runs of four or more comment lines: islands of line numbers."""
-    comments = _lines(spark, sf_dir).where(F.col("text").rlike(r"^\s*(//|#)"))
-    island = F.col("line") - F.row_number().over(Window.partitionBy("file_id").orderBy("line"))
-    return comments.withColumn("_i", island).groupBy("file_id", "_i").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("n")).where("n >= 4").drop("_i")
-
-
 def commented_code(spark, sf_dir):
     return code.comment_runs(_lines(spark, sf_dir))
 
@@ -72,14 +65,6 @@ def unreachable_code(spark, sf_dir):
     return code.unreachable(_lines(spark, sf_dir))
 
 
-def token_index(spark, sf_dir):
-    """Identifiers of all sources with their number and files: the inverted index."""
-    rows = table(spark, sf_dir, "files").where("content IS NOT NULL")
-    words = rows.select("file_id", F.explode(F.regexp_extract_all("content", F.lit(r"[A-Za-z_][A-Za-z0-9_]{2,}"), F.lit(0))).alias("name"))
-    per_file = words.groupBy("name", "file_id").agg(F.count(F.lit(1)).alias("n"))
-    return per_file.groupBy("name").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_files"))
-
-
 def identifier_index(spark, sf_dir):
     return code.identifiers(_files(spark, sf_dir))
 
@@ -90,31 +75,6 @@ def http_urls(spark, sf_dir):
     return urls.groupBy(F.substring_index("url", "://", 1).alias("scheme"), F.lower(F.substring_index("url", "://", -1)).alias("host")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_id").alias("n_files"))
 
 
-def express_routes(spark, sf_dir):
-    """Routes that scripts declare, in normal form, with their expression."""
-    rows = table(spark, sf_dir, "files").where(F.col("content").isNotNull())
-    pattern = r"(?:app|router|Route)(?:\.|::)(?:get|post|put|delete)\(['\"](/[^'\"]*)['\"]"
-    raw = rows.select("project", F.explode(F.regexp_extract_all("content", F.lit(pattern), F.lit(1))).alias("raw"))
-    routed = raw.withColumn("pattern", paths.normal_route(F.col("raw")))
-    return routed.groupBy("project", "pattern").agg(F.count(F.lit(1)).alias("n")).withColumn("segments", F.size(F.filter(F.split("pattern", "/"), lambda s: s != "")))
-
-
-def _decorated(spark, sf_dir):
-    rows = table(spark, sf_dir, "files").where(F.col("content").isNotNull())
-    return rows.select("project", F.explode(F.regexp_extract_all("content", F.lit(r'@app\.route\("(/[^"]*)"\)'), F.lit(1))).alias("raw"))
-
-
-def routes_by_decorator(spark, sf_dir):
-    """Routes that Python decorators declare."""
-    return _decorated(spark, sf_dir).groupBy("project", F.col("raw").alias("pattern")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def route_groups(spark, sf_dir):
-    """Shapes of routes that a project declares more than once."""
-    shape = F.regexp_replace("raw", "<[^>]*>", "*")
-    return _decorated(spark, sf_dir).groupBy("project", shape.alias("shape")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("raw").alias("patterns")).where("n > 1")
-
-
 def routes(spark, sf_dir):
     return code.routes(_files(spark, sf_dir)).select("project", "file", "framework", "kind", "method", "pattern", "regex", "line")
 
@@ -129,12 +89,6 @@ def route_match(spark, sf_dir):
     return links.join(r, (F.col("_q") == F.col("project")) & (F.col("_n") == F.col("segments")) & F.regexp_like("path", F.col("regex"))).groupBy("project", "pattern").agg(F.count(F.lit(1)).alias("links"))
 
 
-def js_imports(spark, sf_dir):
-    rows = table(spark, sf_dir, "files").where(F.col("relative_path").rlike(r"\.(js|ts)$") & F.col("content").isNotNull())
-    source = F.regexp_extract_all("content", F.lit(r"import [^;\n]*from ['\"]([^'\"\n]+)['\"]"), F.lit(1))
-    return rows.select("project", F.explode(source).alias("source")).groupBy("project", "source").agg(F.count(F.lit(1)).alias("n"))
-
-
 def imports(spark, sf_dir):
     return code.imports(_files(spark, sf_dir))
 
@@ -173,12 +127,6 @@ def style_rules(spark, sf_dir):
     return styles.style_findings(_files(spark, sf_dir)).select("rule_id", "severity", "project", "file", "line", "message")
 
 
-def style_declarations(spark, sf_dir):
-    """Custom properties that style sheets read, with their uses."""
-    rows = table(spark, sf_dir, "files").where(F.col("relative_path").endswith(".css") & F.col("content").isNotNull())
-    return rows.select("file_id", F.explode(F.regexp_extract_all("content", F.lit(r"var\((--[A-Za-z0-9-]+)\)"), F.lit(1))).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_id").alias("n_files"))
-
-
 def pattern_rules(spark, sf_dir):
     return scan.pattern_findings(_files(spark, sf_dir)).select("rule_id", "severity", "project", "file", "line", "confidence")
 
@@ -187,14 +135,6 @@ def secret_scan(spark, sf_dir):
     return scan.secret_findings(_files(spark, sf_dir)).select("rule_id", "severity", "project", "file", "line", "snippet")
 
 
-def hex_secrets(spark, sf_dir):
-    """Quoted hexadecimal secrets per kind of key: first place, files, redacted value; the shape that SQL can say too."""
-    found = _lines(spark, sf_dir).where(F.length("text") <= 2000)
-    key, value = F.lower(F.regexp_extract("text", r"(?i)(pass(?:word|wd|wort|phrase)?|secret|token|api_?key|access_?key|private_?key|pwd|contrasena|mot_?de_?passe)[\"']?\s*(=>|[:=]|was)\s*[\"']([0-9a-f]{24,64})[\"']", 1)), F.regexp_extract("text", r"(?i)(pass(?:word|wd|wort|phrase)?|secret|token|api_?key|access_?key|private_?key|pwd|contrasena|mot_?de_?passe)[\"']?\s*(=>|[:=]|was)\s*[\"']([0-9a-f]{24,64})[\"']", 3)
-    rows = found.select("file_id", "line", key.alias("kind"), value.alias("value")).where("value <> ''")
-    return rows.groupBy(F.substring(F.sha1("value"), 1, 12).alias("fingerprint"), "kind").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("file_id").alias("n_files"), F.min("file_id").alias("first_file"), F.min(F.concat(F.substring("value", 1, 4), F.lit("****"))).alias("redacted"))
-
-
 def quality_rules(spark, sf_dir):
     return structure.quality_findings(_files(spark, sf_dir).persist()).select("rule_id", "severity", "project", "file", "line")
 
@@ -328,12 +268,6 @@ def median_upper(spark, sf_dir):
     return upper_median(table(spark, sf_dir, "events"), "event_type", "value")
 
 
-def slow_events(spark, sf_dir):
-    rows = table(spark, sf_dir, "events")
-    worst = rows.groupBy(F.date_trunc("day", "ts").alias("day")).agg(F.count_if(F.col("value") > 80).alias("slow"), F.max("value").alias("worst"), F.count(F.lit(1)).alias("n"))
-    return worst.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "slow", "worst", "n")
-
-
 def _tables(spark, sf_dir):
     from auditlake.audit import Tables
 
@@ -361,18 +295,11 @@ def file_perimeters(spark, sf_dir):
     return attributed(described, perimeters(described)).groupBy("project", "path").agg(F.count(F.lit(1)).alias("n"))
 
 
-def priority_rollup(spark, sf_dir):
-    """Order lines at three grains in one pass, as a scale test of the grouping sets that reports use."""
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
-    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_returnflag").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    return rows.rollup("o_orderpriority", "l_returnflag").agg(F.grouping_id().alias("grain"), F.count(F.lit(1)).alias("n"))
-
-
 def queries():
     names = (
-        file_stack, language_stack, source_lines, debt_markers, nesting_depth, duplicate_blocks, comment_runs, commented_code, unreachable_code, token_index, identifier_index, http_urls, express_routes, routes_by_decorator, route_groups, routes, route_match, js_imports, imports, import_edges, declarations, function_units,
-        html_elements, visible_words, page_rules, style_rules, style_declarations, pattern_rules, secret_scan, hex_secrets, quality_rules, deadcode_rules, route_rules, project_rules, frameworks, platforms, dependency_rules, lock_packages, resolved_packages, unpinned, advisory_range_join, semver_compare,
-        cvss_scores, contrast_matrix, url_normalise, glob_filter, edit_plan, edit_fold, median_upper, slow_events, priority_rollup, audit_findings, audit_scores, file_perimeters,
+        file_stack, language_stack, source_lines, debt_markers, nesting_depth, duplicate_blocks, commented_code, unreachable_code, identifier_index, http_urls, routes, route_match, imports, import_edges, declarations, function_units,
+        html_elements, visible_words, page_rules, style_rules, pattern_rules, secret_scan, quality_rules, deadcode_rules, route_rules, project_rules, frameworks, platforms, dependency_rules, lock_packages, resolved_packages, unpinned, advisory_range_join, semver_compare,
+        cvss_scores, contrast_matrix, url_normalise, glob_filter, edit_plan, edit_fold, median_upper, audit_findings, audit_scores, file_perimeters,
     )
     return {f.__name__: f for f in names}
 
@@ -414,7 +341,6 @@ def oracle_sql() -> dict[str, str]:
     ext = r"CASE WHEN regexp_matches(regexp_extract(relative_path, '[^/]*$'), '^.+\.[^.]+$') THEN lower(regexp_extract(relative_path, '(\.[^./]+)$', 1)) ELSE '' END"
     globs = " ".join(f"WHEN regexp_matches(relative_path, '{glob_regex(g.lstrip('!'))}') THEN {not g.startswith('!')}" for g in reversed(GLOBS))
     advisories = ", ".join(f"('{i}', '{e}', '{p}', '{lo}', {chr(39) + hi + chr(39) if hi else 'NULL'}, '{sev}')" for (i, e, p, lo, hi, _), sev in zip(ADVISORIES, ("critical", "medium", "medium", "low", "low"), strict=True))
-    secret = r"(?i)(pass(?:word|wd|wort|phrase)?|secret|token|api_?key|access_?key|private_?key|pwd|contrasena|mot_?de_?passe)[\"'']?\s*(=>|[:=]|was)\s*[\"'']([0-9a-f]{24,64})[\"'']"
     return {
         "file_stack": rf"""SELECT project, {ext} AS language, count(*) AS files, CAST(sum(CASE WHEN content IS NULL OR content = '' THEN 0 ELSE length(content) - length(replace(content, chr(10), '')) + 1 - (CASE WHEN ends_with(content, chr(10)) THEN 1 ELSE 0 END) END) AS BIGINT) AS lines,
             CAST(sum(size) AS BIGINT) AS bytes FROM files WHERE relative_path IS NOT NULL GROUP BY 1, 2""",
@@ -427,21 +353,12 @@ def oracle_sql() -> dict[str, str]:
             b AS (SELECT file_id, line, substr(sha1(array_to_string(run, chr(10))), 1, 16) AS hash FROM w WHERE len(run) = 6 AND last - line + 1 <= 12),
             a AS (SELECT *, lag(line) OVER (PARTITION BY file_id, hash ORDER BY line) AS before FROM b)
             SELECT hash, count(DISTINCT file_id) AS n_files, count(*) AS n_places, min(file_id) AS file_id, CAST(arg_min(line, file_id * 1000000 + line) AS INT) AS line FROM a WHERE before IS NULL OR line - before >= 6 GROUP BY 1 HAVING count(*) > 1""",
-        "comment_runs": rf"WITH {_LINES}, c AS (SELECT file_id, line, line - row_number() OVER (PARTITION BY file_id ORDER BY line) AS i FROM l WHERE regexp_matches(text, '^\s*(//|#)')) SELECT file_id, CAST(min(line) AS INT) AS line, count(*) AS n FROM c GROUP BY file_id, i HAVING count(*) >= 4",
-        "token_index": "WITH w AS (SELECT file_id, unnest(regexp_extract_all(content, '[A-Za-z_][A-Za-z0-9_]{2,}')) AS name FROM files WHERE content IS NOT NULL) SELECT name, count(*) AS n, count(DISTINCT file_id) AS n_files FROM w GROUP BY 1",
         "http_urls": rf"WITH {_LINES}, u AS (SELECT file_id, unnest(regexp_extract_all(text, '(https?)://([A-Za-z0-9.-]+)')) AS url FROM l) SELECT split_part(url, '://', 1) AS scheme, lower(split_part(url, '://', 2)) AS host, count(*) AS n, count(DISTINCT file_id) AS n_files FROM u GROUP BY 1, 2",
-        "express_routes": r"""WITH r AS (SELECT project, unnest(regexp_extract_all(content, '(?:app|router|Route)(?:\.|::)(?:get|post|put|delete)\([''"](/[^''"]*)[''"]', 1)) AS raw FROM files WHERE content IS NOT NULL),
-            p AS (SELECT project, regexp_replace(regexp_replace(trim(raw, ' '), '[?#].*$', ''), '/{2,}', '/', 'g') AS b FROM r), q AS (SELECT project, CASE WHEN length(b) > 1 THEN regexp_replace(b, '/+$', '') ELSE b END AS pattern FROM p)
-            SELECT project, pattern, count(*) AS n, CAST(len(list_filter(string_split(pattern, '/'), lambda s: s <> '')) AS INT) AS segments FROM q GROUP BY 1, 2""",
-        "js_imports": r"""WITH s AS (SELECT project, unnest(regexp_extract_all(content, 'import [^;\n]*from [''"]([^''"\n]+)[''"]', 1)) AS source FROM files WHERE content IS NOT NULL AND regexp_matches(relative_path, '\.(js|ts)$')) SELECT project, source, count(*) AS n FROM s GROUP BY 1, 2""",
         "html_elements": r"""WITH h AS (SELECT file_id, regexp_replace(content, '<!--[\s\S]*?-->', '', 'g') AS content FROM files WHERE ends_with(relative_path, '.html') AND content IS NOT NULL),
             t AS (SELECT file_id, unnest(regexp_extract_all(content, '<(?:img|a)\b[^>]*>')) AS tag FROM h)
             SELECT regexp_extract(tag, '^<(img|a)', 1) AS tag, regexp_extract(tag, '\b(?:src|href)="([^"]*)"', 1) AS target, count(*) AS n, count(DISTINCT file_id) AS n_files FROM t WHERE regexp_matches(tag, '\b(?:src|href)="') GROUP BY 1, 2""",
         "visible_words": r"""SELECT file_id, CAST(len(list_filter(string_split_regex(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '(?is)<script\b.*?</script\s*>', ' ', 'g'), '(?is)<style\b.*?</style\s*>', ' ', 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'), ' '), '\s+'), lambda w: length(w) > 1)) AS INT) AS words
             FROM files WHERE ends_with(relative_path, '.html') AND content IS NOT NULL""",
-        "style_declarations": r"WITH v AS (SELECT file_id, unnest(regexp_extract_all(content, 'var\((--[A-Za-z0-9-]+)\)', 1)) AS name FROM files WHERE ends_with(relative_path, '.css') AND content IS NOT NULL) SELECT name, count(*) AS n, count(DISTINCT file_id) AS n_files FROM v GROUP BY 1",
-        "hex_secrets": f"""WITH {_LINES}, s AS (SELECT file_id, line, lower(regexp_extract(text, '{secret}', 1)) AS kind, regexp_extract(text, '{secret}', 3) AS value FROM l WHERE length(text) <= 2000)
-            SELECT substr(sha1(value), 1, 12) AS fingerprint, kind, count(*) AS n, count(DISTINCT file_id) AS n_files, min(file_id) AS first_file, min(substr(value, 1, 4) || '****') AS redacted FROM s WHERE value <> '' GROUP BY 1, 2""",
         "resolved_packages": "SELECT project, ecosystem, name, count(*) AS n_records FROM installed WHERE version IS NOT NULL AND recorded_at IS NOT NULL GROUP BY 1, 2, 3",
         "unpinned": r"SELECT project, ecosystem, count(DISTINCT name) AS n, min(name) AS first FROM installed WHERE version IS NULL OR regexp_matches(version, '[\^~*><|x ]|latest') GROUP BY 1, 2",
         "advisory_range_join": rf"""WITH c AS (SELECT ecosystem, name, count(*) AS n FROM installed WHERE version IS NOT NULL GROUP BY 1, 2),
@@ -463,10 +380,6 @@ def oracle_sql() -> dict[str, str]:
             n AS (SELECT url, regexp_replace(regexp_replace(regexp_replace(b, '\?&', '?', 'g'), '[?&]+$', ''), '([^/:])/+$', '\1') AS normal FROM t)
             SELECT url, normal, regexp_replace(lower(regexp_replace(url, '[?#].*$', '')), '/+$', '') AS comparable,
               CASE WHEN regexp_extract(url, '^(?:[a-zA-Z][\w+.-]*:)?//[^/?#]*([^#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '^(?:[a-zA-Z][\w+.-]*:)?//[^/?#]*([^#]*)', 1) END AS path FROM n""",
-        "routes_by_decorator": r"""WITH r AS (SELECT project, unnest(regexp_extract_all(content, '@app\.route\("(/[^"]*)"\)', 1)) AS raw FROM files WHERE content IS NOT NULL) SELECT project, raw AS pattern, count(*) AS n FROM r GROUP BY 1, 2""",
-        "route_groups": r"""WITH r AS (SELECT project, unnest(regexp_extract_all(content, '@app\.route\("(/[^"]*)"\)', 1)) AS raw FROM files WHERE content IS NOT NULL), g AS (SELECT project, regexp_replace(raw, '<[^>]*>', '*', 'g') AS shape, count(*) AS n, count(DISTINCT raw) AS patterns FROM r GROUP BY 1, 2) SELECT * FROM g WHERE n > 1""",
         "glob_filter": f"SELECT project, count(*) AS n, count(*) FILTER (CASE {globs} ELSE false END) AS ignored FROM files WHERE relative_path IS NOT NULL GROUP BY 1",
         "median_upper": "SELECT event_type, list_sort(list(value))[CAST(floor(count(value) / 2) AS BIGINT) + 1] AS median FROM events WHERE value IS NOT NULL GROUP BY 1",
-        "slow_events": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, count(*) FILTER (value > 80) AS slow, max(value) AS worst, count(*) AS n FROM events GROUP BY 1",
-        "priority_rollup": "SELECT o_orderpriority, l_returnflag, CAST(grouping(o_orderpriority, l_returnflag) AS BIGINT) AS grain, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY ROLLUP (o_orderpriority, l_returnflag)",
     }

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from auditlake.schema import COLUMNS, rank
+from auditlake.session import checkpointed
 
 SARIF_LEVEL = {"critical": "error", "high": "error", "medium": "warning", "low": "note", "info": "note"}
 SARIF_SCORE = {"critical": "9.5", "high": "8.0", "medium": "5.5", "low": "3.0", "info": "1.0"}
@@ -52,6 +53,52 @@ def sarif(findings: DataFrame, rules: DataFrame) -> str:
     return json.dumps({"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "auditlake", "rules": described}}, "results": results}]})
 
 
+def sarif_lines(findings: DataFrame, rules: DataFrame) -> DataFrame:
+    """(part, n, value): the lines of one SARIF 2.1.0 document, in the order of part and n; nothing passes through the driver.
+
+    Sorted by (part, n) and written as text, the files put together in the order of their names
+    are the document. Every result but the first begins with its comma.
+    """
+    described = rules.select("rule_id", "title", "severity").groupBy("rule_id").agg(F.min("title").alias("title"), F.min_by("severity", rank(F.col("severity"))).alias("severity"))
+    scores = F.create_map(*[F.lit(x) for kv in SARIF_SCORE.items() for x in kv])
+    rule = F.to_json(F.struct(F.col("rule_id").alias("id"), F.struct(F.coalesce("title", "rule_id").alias("text")).alias("shortDescription"), F.create_map(F.lit("security-severity"), F.coalesce(F.element_at(scores, F.col("severity")), F.lit("1.0"))).alias("properties")))
+    head = '{"version": "2.1.0", "$schema": "https://json.schemastore.org/sarif-2.1.0.json", "runs": [{"tool": {"driver": {"name": "auditlake", "rules": ['
+    bodies = described.select(F.lit(1).alias("part"), F.xxhash64("rule_id").alias("n"), rule.alias("value")).unionByName(sarif_results(findings).select(F.lit(3).alias("part"), F.monotonically_increasing_id().alias("n"), "value"))
+    bodies = checkpointed(bodies)  # numbered once
+    first = bodies.groupBy(F.col("part").alias("_p")).agg(F.min("n").alias("_first"))
+    joined = bodies.join(F.broadcast(first), F.col("part") == F.col("_p")).select("part", "n", F.when(F.col("n") == F.col("_first"), F.col("value")).otherwise(F.concat(F.lit(","), "value")).alias("value"))
+    frame = findings.sparkSession.createDataFrame([(0, 0, head), (2, 0, ']}}, "results": ['), (4, 0, "]}]}")], "part int, n bigint, value string")
+    return joined.unionByName(frame)
+
+
+def terminal_rows(findings: DataFrame, per_rule: int = 3, most: int = 60) -> DataFrame:
+    """(n, value): what a terminal shows: a few findings a rule, worst first, up to a number in all; critical ones are always shown.
+
+    The bounds are the report's: a last line tells how many findings are left out.
+    """
+    order = (rank(F.col("severity")), F.col("category"), F.col("rule_id"), F.coalesce("file", F.lit("")), F.coalesce("line", F.lit(0)))
+    critical = F.col("severity") == "critical"
+    few = findings.withColumn("_k", F.row_number().over(Window.partitionBy("rule_id").orderBy(*order))).where(critical | (F.col("_k") <= per_rule))
+    # at most per_rule rows a rule are left besides the critical ones
+    shown = few.where(~critical).orderBy(*order).limit(most).unionByName(few.where(critical))
+    place = F.concat_ws(":", F.coalesce("file", F.lit("-")), F.coalesce(F.col("line").cast("string"), F.lit("0")))
+    lines = shown.select(rank(F.col("severity")).alias("n"), F.format_string("%-8s %-32s %s  %s", F.col("severity"), F.col("rule_id"), place, F.coalesce("title", F.lit(""))).alias("value"))
+    total, seen = findings.agg(F.count(F.lit(1)).alias("t")), shown.agg(F.count(F.lit(1)).alias("s"))
+    rest = total.crossJoin(seen).where("t > s").select(F.lit(9).alias("n"), F.format_string("%d more", F.col("t") - F.col("s")).alias("value"))
+    return lines.unionByName(rest)
+
+
+def job_log_rows(findings: DataFrame) -> DataFrame:
+    """A line a category for the log of a build, most findings first."""
+    counts = findings.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("severity").isin("critical", "high")).alias("severe"))
+    return counts.orderBy(F.desc("n"), "category").select(F.format_string("%s: %d findings, %d severe", F.col("category"), F.col("n"), F.col("severe")).alias("value"))
+
+
+def review_text(findings: DataFrame, before: int) -> str | None:
+    """The comment of a change: its findings; that all are resolved if there were some before; else nothing."""
+    return review(findings) or (REVIEW_RESOLVED if before else None)
+
+
 def markdown(scores: DataFrame, plan: DataFrame, findings: DataFrame, per_category: int = 100) -> str:
     """Scores, plan and the first findings of each category; the bound is the format's."""
     cell = lambda v: str(v if v is not None else "").replace("|", "\\|").replace("\n", " ")
