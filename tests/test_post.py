@@ -167,8 +167,26 @@ def test_lock_files():
 def test_leaks_in_history(spark):
     token = "ghp_" + "lC2nMTe0T2SWH2YniMNqEKG0nzrfv9AwJXW8"
     log = f"commit aaaaaaa\nDate:   2024-01-02\n+++ b/src/a.js\n+x = '{token}'\n-y = '{token}'\ncommit bbbbbbb\nDate:   2024-01-01\n+++ b/tests/b.js\n+z = '{token}'\n"
-    row = histories.leaks(histories.leaks_in_logs(spark.createDataFrame([(log,)], "value string"))).first()
-    assert (row.kind, row.first_commit, row.last_commit, row.commits, row.files, row.test_data) == ("github-token", "bbbbbbb", "aaaaaaa", 2, ["src/a.js", "tests/b.js"], 0) and token not in row.redacted
+    added = histories.leaks_in_logs(spark.createDataFrame([(log,)], "value string"))
+    row = histories.leaks(added).first()
+    assert (row.kind, row.first_commit, row.last_commit, row.commits, row.n_files, row.first_file, row.test_data) == ("github-token", "bbbbbbb", "aaaaaaa", 2, 2, "src/a.js", 0) and token not in row.redacted
+    assert sorted(r.file for r in histories.leak_files(added).collect()) == ["src/a.js", "tests/b.js"]
+
+
+def test_copies_of_one_finding_and_directives(spark):
+    rows = frame(spark, *[finding("A") for _ in range(50)], finding("B"))
+    judged = post.filter_chain(rows, Config())
+    assert {(r.rule_id, r.reason): r["count"] for r in judged.groupBy("rule_id", "reason").count().collect()} == {("A", None): 1, ("A", "duplicate"): 49, ("B", None): 1}
+
+
+def test_history_keeps_the_latest_runs_and_backups(spark, tmp_path):
+    path = str(tmp_path / "history")
+    for day in (1, 2, 3):
+        kept = histories.append_history(spark.createDataFrame([(f"2024-01-0{day} 00:00:00", day)], "t string, score int").selectExpr("cast(t as timestamp) AS run_at", "score"), path, 2)
+    assert sorted(r.score for r in kept.collect()) == [2, 3]
+    files = spark.createDataFrame([("p", "a", "x"), ("p", "b", "y")], "project string, file string, content string")
+    histories.backup(files, files.where("file = 'a'"), str(tmp_path / "backup"))
+    assert [r.content for r in spark.read.parquet(str(tmp_path / "backup")).collect()] == ["x"]
 
 
 def test_baseline_round_trip(spark, tmp_path):
