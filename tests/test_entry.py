@@ -20,7 +20,7 @@ def test_flagship(spark):
 
 
 @needs_tables
-@pytest.mark.parametrize("name", ["p3_found", "scores_by_category", "filter_chain", "action_plan", "duplicate_blocks", "advisory_range_join", "cvss_scores", "contrast_matrix"])
+@pytest.mark.parametrize("name", ["p3_found", "scores_by_category", "filter_chain", "action_plan", "duplicate_blocks", "advisory_range_join", "cvss_scores", "contrast_matrix", "p3_file_captures", "planted_import_edges", "planted_mounted_routes", "planted_pattern_rules"])
 def test_queries_equal_their_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     from compare import canonical
