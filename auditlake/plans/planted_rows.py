@@ -1,4 +1,4 @@
-"""The rows that the planted queries have to give; fixed values, read one by one against the planted texts."""
+"""The rows that the planted queries have to give: recorded from the library and reviewed, so they guard against change."""
 
 from __future__ import annotations
 
